@@ -61,3 +61,65 @@ def intent_rules_df(spark: SparkSession) -> DataFrame:
 def replies_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, list(t)) for i, t in REPLIES],
                                  "intent string, texts array<string>")
+
+
+# ---------------------------------------------------------------------------
+# Derived fixtures: same definition in Spark and in SQL (CTE bodies).
+# ---------------------------------------------------------------------------
+
+WIDE_SLOTS = 7
+
+
+def wide_items(t) -> DataFrame:
+    """Per order, Item_k = max(p_name) of its lines with l_linenumber = k."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return (li.join(p, "l_partkey")
+            .groupBy("l_orderkey")
+            .pivot("l_linenumber", list(range(1, WIDE_SLOTS + 1)))
+            .agg(F.max("p_name"))
+            .select("l_orderkey", *[F.col(str(k)).alias(f"Item_{k}") for k in range(1, WIDE_SLOTS + 1)]))
+
+
+WIDE_ITEMS_SQL = (
+    "SELECT l_orderkey, "
+    + ", ".join(f"max(p_name) FILTER (WHERE l_linenumber = {k}) AS Item_{k}" for k in range(1, WIDE_SLOTS + 1))
+    + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"
+)
+
+
+def null_part(t) -> DataFrame:
+    p = t.part
+    return p.select(
+        "p_partkey", "p_name",
+        F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).otherwise(F.col("p_brand")).alias("p_brand"),
+        "p_type",
+        F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).otherwise(F.col("p_size")).alias("p_size"),
+        "p_retailprice")
+
+
+NULL_PART_SQL = ("SELECT p_partkey, p_name, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS p_brand, "
+                 "p_type, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, p_retailprice FROM part")
+
+
+def size_lookup(t) -> DataFrame:
+    """name → weight lookup with duplicate names (last row by p_partkey wins),
+    built from the parts of size <= 25 not named red..., so some names
+    miss (→ default)."""
+    return (t.part.filter((F.col("p_size") <= 25) & ~F.col("p_name").startswith("red"))
+            .groupBy(F.col("p_name").alias("name"))
+            .agg(F.max_by("p_size", "p_partkey").alias("weight")))
+
+
+SIZE_LOOKUP_SQL = "SELECT p_name AS name, arg_max(p_size, p_partkey) AS weight FROM part WHERE p_size <= 25 AND NOT starts_with(p_name, 'red') GROUP BY p_name"
+
+
+def predicted_labels(t) -> DataFrame:
+    d = t.documents.select("doc_id", "n_chars")
+    return (t.labels.join(d, "doc_id")
+            .select("doc_id", F.col("quality").alias("actual"),
+                    (F.col("n_chars") >= 1000).cast("int").alias("predicted")))
+
+
+PREDICTED_LABELS_SQL = ("SELECT doc_id, quality AS actual, (n_chars >= 1000)::INTEGER AS predicted "
+                        "FROM labels JOIN documents USING (doc_id)")

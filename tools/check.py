@@ -64,7 +64,7 @@ def main():
             scols = sdf.columns
             srows = [tuple(r) for r in sdf.collect()]
         except Exception:
-            print(f"FAIL {key}: spark error\n{traceback.format_exc()[-2500:]}")
+            print(f"FAIL {key}: spark error\n{traceback.format_exc()[-600:]}")
             bad += 1
             continue
         ts = time.time() - t0
@@ -77,7 +77,7 @@ def main():
             dcols = [d[0] for d in cur.description]
             drows = cur.fetchall()
         except Exception:
-            print(f"FAIL {key}: duckdb error\n{traceback.format_exc()[-2500:]}")
+            print(f"FAIL {key}: duckdb error\n{traceback.format_exc()[-600:]}")
             bad += 1
             continue
         if sorted(scols) != sorted(dcols):

@@ -11,12 +11,29 @@ TABLES = (
 )
 
 
+# Tables whose rows carry CPU-heavy payloads (long texts, vectors): when a
+# scan yields fewer splits than the cluster has cores (e.g. one small file
+# with one row group), rows are spread round-robin first so the per-row
+# work runs on every core. On big inputs the scan already has far more
+# splits than cores and nothing is added.
+CPU_HEAVY = {"documents", "pages", "conversations", "embeddings", "benchmark"}
+
+
+def balance(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    par = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table. Parquet carries the schema; Catalyst prunes columns
     and pushes filters into the scan, so callers just select/filter."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df) if name in CPU_HEAVY else df
 
 
 class Tables:

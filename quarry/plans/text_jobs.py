@@ -33,7 +33,7 @@ WITH toks AS (
 def doc_sentiment(spark, sf_dir):
     t = Tables(spark, sf_dir)
     docs = t.documents.select("doc_id", "lang", "text")
-    out = lexicon_sentiment(docs, "doc_id", T.preprocess_tokens("text"), FX.lexicon_df(spark))
+    out = lexicon_sentiment(docs, "doc_id", T.preprocess_tokens("text"), FX.LEXICON)
     return out.drop("text")
 
 

@@ -48,7 +48,7 @@ def main():
     from quarry.plans.catalog import load_all
     from quarry.session import build_session
 
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, extra={"spark.driver.memory": "12g"})
     reg = load_all()
     con = duckdb.connect()
     from quarry.sources.tables import TABLES

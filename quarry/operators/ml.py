@@ -94,9 +94,21 @@ def rf_classifier(label: str, trees: int = 100, depth: int = 10, seed: int = 42)
     return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42) -> OneVsRest:
-    """Gradient boosting is binary in Spark ML: one-vs-rest over classes."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed), labelCol=label, featuresCol="features")
+def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42, parallelism: int = 4) -> OneVsRest:
+    """Gradient boosting is binary in Spark ML: one-vs-rest over classes,
+    the per-class models trained concurrently."""
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed), labelCol=label, featuresCol="features",
+                     parallelism=parallelism)
+
+
+def training_frame(df: DataFrame) -> DataFrame:
+    """Iterative learners scan their input many times: spread it over at
+    least one partition per core and keep it (memory, spilling to disk)."""
+    from pyspark import StorageLevel
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def accuracy_of(pred: DataFrame, label: str) -> float:
@@ -161,7 +173,7 @@ def calibrated_svm(train: DataFrame, label: str, n_classes: int, reg: float = 0.
         svm = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(
             fit_part.withColumn("_y", y))
         marg = svm.transform(cal_part.withColumn("_y", y)).withColumn(
-            "_m", vector_to_array("rawPrediction")[1])
+            "_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
         cal = LogisticRegression(featuresCol="_mv", labelCol="_y").fit(
             VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(marg))
         svms.append(svm)

@@ -108,7 +108,7 @@ def _metrics_row(spark, name, n_train, n_test, metric, value):
 def train_rf_regressor(spark, d):
     """100 trees, depth 10 on part features → MAE on the test split."""
     p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
-    train, test = p.filter(F.col("split") == "train"), p.filter(F.col("split") == "test")
+    train, test = ML.training_frame(p.filter(F.col("split") == "train")), p.filter(F.col("split") == "test")
     m = ML.rf_regressor("p_retailprice").fit(train)
     mae = m.transform(test).agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction")))).first()[0]
     return _metrics_row(spark, "rf_regressor", train.count(), test.count(), "mae", mae)
@@ -116,7 +116,7 @@ def train_rf_regressor(spark, d):
 
 def _orders_split(spark, d):
     o = order_table(Tables(spark, d))
-    return o.filter(F.col("split") == "train"), o.filter(F.col("split") == "test")
+    return ML.training_frame(o.filter(F.col("split") == "train")), o.filter(F.col("split") == "test")
 
 
 @register("train_logistic")
@@ -147,7 +147,7 @@ def train_gbt_classifier(spark, d):
 def train_svm_calibrated(spark, d):
     """Text task: calibrated one-vs-rest linear SVM on TF-IDF features."""
     docs, labels = doc_table(Tables(spark, d))
-    train, test = docs.filter(F.col("split") == "train"), docs.filter(F.col("split") == "test")
+    train, test = ML.training_frame(docs.filter(F.col("split") == "train")), docs.filter(F.col("split") == "test")
     score = ML.calibrated_svm(train.select("doc_id", "label", "features"), "label", len(labels), max_iter=50)
     pred = score(test.select("doc_id", "label", "features"))
     return _metrics_row(spark, "svm_calibrated", train.count(), test.count(), "accuracy",
@@ -189,7 +189,7 @@ def refit_and_predict(spark, d):
 @register("feature_importance")
 def feature_importance(spark, d):
     p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
-    m = ML.rf_regressor("p_retailprice").fit(p.filter(F.col("split") == "train"))
+    m = ML.rf_regressor("p_retailprice").fit(ML.training_frame(p.filter(F.col("split") == "train")))
     return ML.feature_importance(m, PART_FEATURES)
 
 
@@ -200,7 +200,7 @@ def predict_topk_enriched(spark, d):
     of the class's mean length in thousands of characters)."""
     t = Tables(spark, d)
     docs, labels = doc_table(t)
-    train = docs.filter(F.col("split") == "train")
+    train = ML.training_frame(docs.filter(F.col("split") == "train"))
     m = ML.logistic("label", 1000, c=5.0, n=train.count()).fit(train)
     pred = m.transform(docs.filter(F.col("split") == "test"))
     top = ML.topk_probabilities(pred, "doc_id", labels, 5, 0.03)

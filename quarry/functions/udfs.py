@@ -17,8 +17,7 @@ _NON_LETTER = re.compile(f"[^a-z{WHITESPACE}]")
 _WS_RUN = re.compile(f"[{WHITESPACE}]+")
 
 
-@pandas_udf("string")
-def clean_text_pandas(s: pd.Series) -> pd.Series:
+def _clean_text_batch(s: pd.Series) -> pd.Series:
     """Arrow-batched twin of ``functions.text.clean_text``."""
     def one(t):
         if t is None:
@@ -29,8 +28,7 @@ def clean_text_pandas(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@pandas_udf("int")
-def otsu_from_histogram(v: pd.Series, n: pd.Series) -> int:
+def _otsu_from_histogram(v: pd.Series, n: pd.Series) -> int:
     """Grouped-aggregate twin of the Otsu threshold, fed with one image's
     histogram (≤ 256 rows, never the pixels): maximal
     (N·S0 − n0·S)² / (n0·(N − n0)), lowest threshold on ties, 0 if none."""
@@ -49,8 +47,7 @@ def otsu_from_histogram(v: pd.Series, n: pd.Series) -> int:
     return int(vs[best])
 
 
-@udtf(returnType="row: bigint, col: bigint, cell: string, is_header: boolean")
-class PipeTableRows:
+class _PipeTableRows:
     """Python UDTF twin of ``parse_pipe_table``: one output row per cell."""
 
     _SEP = re.compile(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$")
@@ -63,3 +60,17 @@ class PipeTableRows:
             inner = re.sub(r"^\||\|$", "", ln.strip())
             for c, cell in enumerate(inner.split("|")):
                 yield r, c, cell.strip(), r == 0
+
+
+# The UDF objects are built on first use: declaring them parses their type
+# strings, which needs an active session.
+def clean_text_pandas(col):
+    return pandas_udf(_clean_text_batch, "string")(col)
+
+
+def otsu_from_histogram(v, n):
+    return pandas_udf(_otsu_from_histogram, "int")(v, n)
+
+
+def pipe_table_rows_udtf():
+    return udtf(_PipeTableRows, returnType="row: bigint, col: bigint, cell: string, is_header: boolean")

@@ -86,3 +86,30 @@ def response_lookup(spark, d):
     j = intents.join(F.broadcast(rep), "intent")  # one row per intent: bounded
     pick = F.element_at("texts", (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.size("texts")) + 1).cast("int"))
     return j.select("conv_id", "turn", "intent", pick.alias("reply"))
+
+
+_BOX_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+@register("box_neighbour_filter", sql=f"""
+WITH b AS (
+  SELECT row_number() OVER (ORDER BY {', '.join(_BOX_ORDER)})::BIGINT AS id, l_orderkey // 4 AS img,
+         l_partkey % 200 AS x, l_suppkey % 200 AS y, floor(l_quantity)::INTEGER AS w, floor(l_quantity)::INTEGER AS h
+  FROM lineitem),
+c AS (SELECT a.id, count(o.id) AS n_overlap FROM b a LEFT JOIN b o
+      ON o.img = a.img AND o.id <> a.id AND o.x < a.x + a.w AND a.x < o.x + o.w AND o.y < a.y + a.h AND a.y < o.y + o.h
+      GROUP BY a.id)
+SELECT b.*, n_overlap FROM b JOIN c USING (id) WHERE w >= 30 AND h >= 30 AND n_overlap >= 3""")
+def box_neighbour_filter(spark, d):
+    """Candidate boxes from every lineitem row (image = order key div 4,
+    x = part mod 200, y = supplier mod 200, side = quantity): keep boxes of
+    at least 30×30 overlapping at least 3 other boxes of their image. The
+    overlap counts come from prefix/dominance counts, never from box pairs."""
+    from quarry.operators.boxes import neighbour_filter
+    from quarry.operators.ranking import sequential_id
+    li = Tables(spark, d).lineitem.select(*_BOX_ORDER)
+    boxes = sequential_id(li, _BOX_ORDER).select(
+        "id", F.floor(F.col("l_orderkey") / 4).cast("bigint").alias("img"),
+        F.pmod("l_partkey", F.lit(200)).alias("x"), F.pmod("l_suppkey", F.lit(200)).alias("y"),
+        F.floor("l_quantity").cast("int").alias("w"), F.floor("l_quantity").cast("int").alias("h"))
+    return neighbour_filter(boxes, 3, 30, 30).select("id", "img", "x", "y", "w", "h", "n_overlap")

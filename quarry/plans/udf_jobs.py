@@ -37,6 +37,6 @@ def udtf_table_rows(spark, d):
     texts = SS.nation_pipe_tables(t.nation, t.region)
     name = f"pipe_tables_{uuid.uuid4().hex[:8]}"
     texts.createOrReplaceTempView(name)
-    spark.udtf.register("pipe_table_rows", U.PipeTableRows)
+    spark.udtf.register("pipe_table_rows", U.pipe_table_rows_udtf())
     return spark.sql(f"SELECT p.region, r.row, r.col, r.cell, r.is_header FROM {name} p, "
                      "LATERAL pipe_table_rows(p.md) r")

@@ -487,3 +487,65 @@ def hstack(a: DataFrame, b: DataFrame) -> DataFrame:
     w = dims(a).select("img", F.col("w").alias("_w"))
     right = b.join(w, "img").select("img", "ch", "y", (F.col("x") + F.col("_w")).cast("int").alias("x"), "v")
     return a.select(*KEYS, "v").unionByName(right)
+
+
+# ------------------------------------------------------------- edges
+
+# Tangents of 22.5° and 67.5° separating the gradient
+# direction sectors of non-maximum suppression.
+TAN_22_5 = 0.4142135623730950488
+TAN_67_5 = 2.4142135623730950488
+
+
+def sobel(g: DataFrame) -> DataFrame:
+    """(gx, gy) with the 3×3 Sobel kernels, replicate border: derivative
+    [-1, 0, 1] along one axis, smoothing [1, 2, 1] along the other."""
+    d, s = [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]
+    gx = separable(g, weighted(d, "replicate"), weighted(s, "replicate")).withColumnRenamed("v", "gx")
+    gy = separable(g, weighted(s, "replicate"), weighted(d, "replicate")).withColumnRenamed("v", "gy")
+    return gx.join(gy, KEYS)
+
+
+def edge_candidates(g: DataFrame, low: float, high: float) -> DataFrame:
+    """Sobel → L1 magnitude → non-maximum suppression along the gradient
+    sector → (img, ch, y, x, weak, strong) for the surviving pixels."""
+    s = sobel(g).withColumn("v", F.abs("gx") + F.abs("gy"))
+    mag = s.select(*KEYS, "v")
+    a = from_lines(line_pass(to_lines(mag, "x"), gather(1, "constant")), "x")
+    nb = from_lines(line_pass(to_lines(a, "y"), gather(1, "constant")), "y").withColumnRenamed("v", "nb")
+    j = s.join(nb, KEYS)
+
+    def at(dy, dx):  # neighbour magnitude, 0 outside the image
+        return F.coalesce(F.col("nb")[dy + 1][dx + 1], F.lit(0.0))
+    m, ax, ay = F.col("v"), F.abs("gx"), F.abs("gy")
+    horiz = ay <= ax * F.lit(TAN_22_5)
+    vert = ay > ax * F.lit(TAN_67_5)
+    same_sign = (F.col("gx") * F.col("gy")) > 0
+    keep = (F.when(horiz, (m > at(0, -1)) & (m >= at(0, 1)))
+            .when(vert, (m > at(-1, 0)) & (m >= at(1, 0)))
+            .when(same_sign, (m > at(-1, -1)) & (m > at(1, 1)))
+            .otherwise((m > at(-1, 1)) & (m > at(1, -1))))
+    c = j.filter(keep & (m > low))
+    return c.select(*KEYS, (m > high).alias("strong"))
+
+
+def canny(g: DataFrame, low: float = 100.0, high: float = 700.0) -> DataFrame:
+    """Edges with hysteresis: candidates above ``low`` after suppression
+    are kept when an 8-neighbour chain of candidates links them to a pixel
+    above ``high`` (breadth-first reachability, see operators.graph)."""
+    from quarry.operators.graph import reachability
+
+    c = edge_candidates(g, low, high)
+    node = (F.col("img") * F.lit(1 << 40) + F.col("ch") * F.lit(1 << 32)
+            + F.col("y") * F.lit(1 << 16) + F.col("x"))
+    cand = c.withColumn("node", node)
+    offs = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+                               for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]))
+    nbr = (cand.withColumn("o", offs)
+           .select(F.col("node").alias("src"), "img", "ch", (F.col("y") + F.col("o.dy")).alias("y"),
+                   (F.col("x") + F.col("o.dx")).alias("x")))
+    edges = nbr.join(cand.select(*KEYS, F.col("node").alias("dst")), KEYS).select("src", "dst")
+    seeds = cand.filter("strong").select("node")
+    reached = reachability(edges, seeds).select("node")
+    on = cand.join(reached, "node", "left_semi").select(*KEYS, F.lit(255).alias("e"))
+    return g.select(*KEYS).join(on, KEYS, "left").select(*KEYS, F.coalesce("e", F.lit(0)).alias("v"))

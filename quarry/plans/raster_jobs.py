@@ -454,3 +454,45 @@ SELECT r.img, 2 - r.ch, r.y, (r.x + w)::INTEGER, r.v FROM raster r JOIN dims USI
 def raster_hstack(spark, d):
     r = raster(Tables(spark, d))
     return RA.hstack(r, RA.channel_reorder(r))
+
+
+_SOBEL_X = [(-1, -1, -1.0), (0, -1, -2.0), (1, -1, -1.0), (-1, 1, 1.0), (0, 1, 2.0), (1, 1, 1.0)]
+_SOBEL_Y = [(-1, -1, -1.0), (-1, 0, -2.0), (-1, 1, -1.0), (1, -1, 1.0), (1, 0, 2.0), (1, 1, 1.0)]
+
+
+def _sobel_sql(taps, name):
+    vals = ", ".join(f"({dy}, {dx}, {D(w)})" for dy, dx, w in taps)
+    return (f"SELECT t.img, t.ch, t.y, t.x, sum(k.kw * s.v) AS {name} FROM gray t JOIN dims dm USING (img) "
+            f"CROSS JOIN (VALUES {vals}) AS k(dy, dx, kw) JOIN gray s ON s.img = t.img AND s.ch = t.ch "
+            f"AND s.y = {map_sql('t.y + k.dy', 'dm.h', 'replicate')} AND s.x = {map_sql('t.x + k.dx', 'dm.w', 'replicate')} "
+            "GROUP BY t.img, t.ch, t.y, t.x")
+
+
+def _nb(dy, dx):
+    return (f"coalesce((SELECT m2.m FROM mag m2 WHERE m2.img = mg.img AND m2.ch = mg.ch AND m2.y = mg.y + ({dy}) "
+            f"AND m2.x = mg.x + ({dx})), 0.0)")
+
+
+EDGE_LOW, EDGE_HIGH = 100.0, 700.0
+
+
+@register("raster_edges", sql=W(f""",
+gx AS ({_sobel_sql(_SOBEL_X, 'gx')}), gy AS ({_sobel_sql(_SOBEL_Y, 'gy')}),
+mag AS (SELECT img, ch, y, x, gx, gy, abs(gx) + abs(gy) AS m FROM gx JOIN gy USING (img, ch, y, x)),
+nms AS (SELECT mg.*, CASE
+    WHEN abs(gy) <= abs(gx) * {D(RA.TAN_22_5)} THEN m > {_nb(0, -1)} AND m >= {_nb(0, 1)}
+    WHEN abs(gy) > abs(gx) * {D(RA.TAN_67_5)} THEN m > {_nb(-1, 0)} AND m >= {_nb(1, 0)}
+    WHEN gx * gy > 0 THEN m > {_nb(-1, -1)} AND m > {_nb(1, 1)}
+    ELSE m > {_nb(-1, 1)} AND m > {_nb(1, -1)} END AS keep FROM mag mg),
+cand AS (SELECT img, ch, y, x, m > {D(EDGE_HIGH)} AS strong FROM nms WHERE keep AND m > {D(EDGE_LOW)}),
+reach(img, ch, y, x) AS (
+  SELECT img, ch, y, x FROM cand WHERE strong
+  UNION
+  SELECT c.img, c.ch, c.y, c.x FROM reach r JOIN cand c ON c.img = r.img AND c.ch = r.ch
+    AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1)
+SELECT g.img, g.ch, g.y, g.x, CASE WHEN r.img IS NULL THEN 0 ELSE 255 END AS v
+FROM gray g LEFT JOIN (SELECT DISTINCT * FROM reach) r USING (img, ch, y, x)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def raster_edges(spark, d):
+    """Gradient edges (Sobel, L1 magnitude, non-maximum suppression,
+    hysteresis 100/700) on the gray rasters."""
+    return RA.canny(gray(Tables(spark, d)), EDGE_LOW, EDGE_HIGH)

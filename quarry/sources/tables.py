@@ -40,6 +40,9 @@ class Tables:
     """``t = Tables(spark, sf_dir); t.lineitem`` – lazy DataFrame handles."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from quarry.session import ship_package
+
+        ship_package(spark)
         self._spark = spark
         self._dir = sf_dir
 

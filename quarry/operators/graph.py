@@ -15,27 +15,41 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir
 
 
+COMPACT_EVERY = 16  # rounds after which the visited pieces are merged into one checkpoint
+
+
 def reachability(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst",
                  node: str = "node", goal=None, max_rounds: int | None = None) -> DataFrame:
     """All nodes reachable from ``seeds`` with the minimum number of hops:
     (node, hop). ``goal``: optional node value; the search stops after the
     round that reaches it. ``max_rounds`` is an optional safety bound for
-    callers that want one (none by default: run to exhaustion)."""
+    callers that want one (none by default: run to exhaustion).
+
+    The visited set is kept as the list of checkpointed frontiers (each
+    written once), merged into a single checkpoint every few rounds, so no
+    round rewrites everything found so far."""
+    from functools import reduce
+
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
-    visited = seeds.select(F.col(node).alias(node)).distinct().withColumn("hop", F.lit(0)).checkpoint(eager=True)
-    frontier = visited.select(node)
+    # the edge table is joined every round: materialise it once (reliably)
+    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct().checkpoint(eager=True)
+    first = seeds.select(F.col(node).alias(node)).distinct().withColumn("hop", F.lit(0)).checkpoint(eager=True)
+    pieces = [first]
+    frontier = first.select(node)
     hop = 0
     while max_rounds is None or hop < max_rounds:
-        if goal is not None and not visited.filter(F.col(node) == F.lit(goal)).isEmpty():
+        if goal is not None and not frontier.filter(F.col(node) == F.lit(goal)).isEmpty():
             break
         hop += 1
+        visited = reduce(lambda a, b: a.unionByName(b), pieces)
         nxt = (frontier.join(e, frontier[node] == e["_s"]).select(F.col("_d").alias(node)).distinct()
                .join(visited.select(node), node, "left_anti"))
-        nxt = nxt.checkpoint(eager=True)
+        nxt = nxt.withColumn("hop", F.lit(hop)).checkpoint(eager=True)
         if nxt.isEmpty():
             break
-        visited = visited.unionByName(nxt.withColumn("hop", F.lit(hop))).checkpoint(eager=True)
-        frontier = nxt
-    return visited
+        pieces.append(nxt)
+        if len(pieces) >= COMPACT_EVERY:
+            pieces = [reduce(lambda a, b: a.unionByName(b), pieces).checkpoint(eager=True)]
+        frontier = nxt.select(node)
+    return reduce(lambda a, b: a.unionByName(b), pieces)

@@ -25,7 +25,7 @@ WITH RECURSIVE
 pairs AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem),
 edges AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),
 bfs(node, hop) AS (
-  SELECT s * 2, 0 FROM (VALUES {', '.join(f'({s})' for s in SEEDS)}) AS seeds(s)
+  SELECT (s * 2)::BIGINT, 0 FROM (VALUES {', '.join(f'({s})' for s in SEEDS)}) AS seeds(s)
   UNION
   SELECT e.dst, bfs.hop + 1 FROM bfs JOIN edges e ON e.src = bfs.node WHERE bfs.hop < {ORACLE_DEPTH})
 SELECT node, min(hop)::INTEGER AS hop FROM bfs GROUP BY node""")

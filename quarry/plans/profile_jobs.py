@@ -230,7 +230,7 @@ def safe_cast(spark, d):
                     F.col("o_orderstatus").try_cast("double").alias("status_num"))
 
 
-@register("record_project", sql="SELECT page_id AS id, url AS link, length(html) AS html_len FROM pages")
+@register("record_project", sql="SELECT page_id AS id, url AS link, length(html)::INTEGER AS html_len FROM pages")
 def record_project(spark, d):
     p = Tables(spark, d).pages
     return p.select(F.col("page_id").alias("id"), F.col("url").alias("link"), F.length("html").alias("html_len"))

@@ -202,7 +202,7 @@ def raster_piecewise(spark, d):
 
 _CDF_SQL = """
 h AS (SELECT img, v, count(*) AS n FROM gray GROUP BY 1, 2),
-c AS (SELECT img, v, n, sum(n) OVER (PARTITION BY img ORDER BY v) AS cum, sum(n) OVER (PARTITION BY img) AS tot FROM h)"""
+c AS (SELECT img, v, n, (sum(n) OVER (PARTITION BY img ORDER BY v))::BIGINT AS cum, (sum(n) OVER (PARTITION BY img))::BIGINT AS tot FROM h)"""
 
 
 @register("running_cdf", sql=W(f", {_CDF_SQL} SELECT img, v, n, cum, cum / tot AS share FROM c"))
@@ -333,7 +333,7 @@ _GRID_SQL = "(SELECT DISTINCT img, ch FROM raster) c JOIN dims USING (img)"
 
 
 @register("raster_resize_interp", sql=W(_bilinear_sql(f"""
-SELECT img, ch, yy AS y, xx AS x, h, w,
+SELECT img, ch, yy::INTEGER AS y, xx::INTEGER AS x, h, w,
        least(greatest((yy + 0.5::DOUBLE) * (h / {D(OUT)}) - 0.5::DOUBLE, 0.0::DOUBLE), h - 1.0::DOUBLE) AS sy,
        least(greatest((xx + 0.5::DOUBLE) * (w / {D(OUT)}) - 0.5::DOUBLE, 0.0::DOUBLE), w - 1.0::DOUBLE) AS sx
 FROM {_GRID_SQL} CROSS JOIN range({OUT}) ry(yy) CROSS JOIN range({OUT}) rx(xx)""", clamp=True)))
@@ -355,7 +355,7 @@ _IA, _IB, _IC, _ID, _IE, _IF = _inverse(ROT)
 
 
 @register("raster_affine", sql=W(_bilinear_sql(f"""
-SELECT img, ch, yy AS y, xx AS x, h, w,
+SELECT img, ch, yy::INTEGER AS y, xx::INTEGER AS x, h, w,
        {D(_IA)} * xx + {D(_IB)} * yy + {D(_IC)} AS sx, {D(_ID)} * xx + {D(_IE)} * yy + {D(_IF)} AS sy
 FROM {_GRID_SQL}, LATERAL (SELECT unnest(range(h)) AS yy), LATERAL (SELECT unnest(range(w)) AS xx)""", clamp=False)))
 def raster_affine(spark, d):
@@ -364,7 +364,7 @@ def raster_affine(spark, d):
 
 
 @register("raster_translate", sql=W(f"""
-SELECT c.img, c.ch, yy AS y, xx AS x, coalesce(r.v, 0) AS v
+SELECT c.img, c.ch, yy::INTEGER AS y, xx::INTEGER AS x, coalesce(r.v, 0) AS v
 FROM {_GRID_SQL}, LATERAL (SELECT unnest(range(h)) AS yy), LATERAL (SELECT unnest(range(w)) AS xx)
 LEFT JOIN raster r ON r.img = c.img AND r.ch = c.ch AND r.y = yy - 1 AND r.x = xx - 2"""))
 def raster_translate(spark, d):

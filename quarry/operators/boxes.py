@@ -33,7 +33,7 @@ def count_le(items: DataFrame, queries: DataFrame, grp: list[str]) -> DataFrame:
     w = Window.partitionBy(*grp).orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0)
     ans = (hist.unionByName(probes).withColumn("n", F.sum("c").over(w))
            .filter(F.col("t") == 1).select(*grp, "k", "n"))
-    return queries.join(ans, [*grp, "k"]).select("qid", *[c for c in grp if c == "term"], "n")
+    return queries.join(ans, [*grp, "k"]).select("qid", "n")
 
 
 def dominance_count(items: DataFrame, queries: DataFrame, grp: list[str], levels: int) -> DataFrame:
@@ -51,44 +51,66 @@ def dominance_count(items: DataFrame, queries: DataFrame, grp: list[str], levels
     return queries.select("qid").join(per, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def overlap_counts(boxes: DataFrame, grp: str = "img") -> DataFrame:
-    """(id, grp, x, y, w, h) → (id, n_overlap): boxes of the same group
-    overlapping each box with positive area, the box itself excluded.
+# Images with at most this many boxes are compared inside one bounded array
+# (≤ SMALL_GROUP² tests per image, never emitted as rows); larger images go
+# through the pair-free prefix/dominance counts.
+SMALL_GROUP = 64
+
 
-    The four 1-D and the four 2-D counts each run as ONE tagged pass (the
-    term name is part of the group key), and the eight answers per box are
-    folded with one aggregate instead of eight joins."""
+def overlap_counts(boxes: DataFrame, grp: str = "img", small_group: int = SMALL_GROUP) -> DataFrame:
+    """(id, grp, x, y, w, h) → (id, n_overlap): boxes of the same group
+    overlapping each box with positive area, the box itself excluded."""
+    sizes = boxes.groupBy(grp).agg(F.count("*").alias("_n"))
+    tagged = boxes.join(sizes, grp)
+    small = tagged.filter(F.col("_n") <= small_group).drop("_n")
+    large = tagged.filter(F.col("_n") > small_group).drop("_n")
+    return _overlap_small(small, grp).unionByName(_overlap_large(large, grp))
+
+
+def _overlap_small(boxes: DataFrame, grp: str) -> DataFrame:
+    """Bounded images: each box tests the (≤ small_group) boxes of its image
+    held in one array."""
+    b = boxes.select("id", grp, "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    lists = b.groupBy(grp).agg(F.collect_list(F.struct("id", "x", "y", "x2", "y2")).alias("bs"))
+    j = b.join(lists, grp)
+    hits = F.filter("bs", lambda o: (o["id"] != F.col("id")) & (o["x"] < F.col("x2")) & (F.col("x") < o["x2"])
+                    & (o["y"] < F.col("y2")) & (F.col("y") < o["y2"]))
+    return j.select("id", grp, F.size(hits).cast("bigint").alias("n_overlap"))
+
+
+def _overlap_large(boxes: DataFrame, grp: str) -> DataFrame:
     b = boxes.select("id", grp, "x", "y", "w", "h").withColumn("x2", F.col("x") + F.col("w")) \
         .withColumn("y2", F.col("y") + F.col("h"))
     hi = b.agg(F.max(F.greatest("x2", "y2"))).first()[0] or 0  # one number: coordinate range
+    if hi == 0 and b.isEmpty():
+        return b.select("id", grp, F.lit(0).cast("bigint").alias("n_overlap"))
     levels = max(1, int(hi + 1).bit_length())
-    g = [grp, "term"]
-
-    def tagged(specs, cols):
-        out = None
-        for name, exprs in specs.items():
-            df = b.select(grp, F.lit(name).alias("term"), *[e.alias(c) for e, c in zip(exprs, cols)])
-            out = df if out is None else out.unionByName(df)
-        return out
-
-    # one-sided counts: items' key <= query key
-    one_items = {"L": [F.col("x2")], "Xlt": [F.col("x")], "D": [F.col("y2")], "Ylt": [F.col("y")]}
-    one_q = {"L": [F.col("id"), F.col("x")], "Xlt": [F.col("id"), F.col("x2") - 1],
-             "D": [F.col("id"), F.col("y")], "Ylt": [F.col("id"), F.col("y2") - 1]}
-    ones = count_le(tagged(one_items, ["k"]), tagged(one_q, ["qid", "k"]), g)
-    # corner counts: items (ix, iy) dominated by the query point (qx, qy)
-    two_items = {"LD": [F.col("x2"), F.col("y2")], "LYlt": [F.col("x2"), F.col("y")],
-                 "XltD": [F.col("x"), F.col("y2")], "XltYlt": [F.col("x"), F.col("y")]}
-    two_q = {"LD": [F.col("id"), F.col("x"), F.col("y")], "LYlt": [F.col("id"), F.col("x"), F.col("y2") - 1],
-             "XltD": [F.col("id"), F.col("x2") - 1, F.col("y")],
-             "XltYlt": [F.col("id"), F.col("x2") - 1, F.col("y2") - 1]}
-    twos = _dominance_tagged(tagged(two_items, ["ix", "iy"]), tagged(two_q, ["qid", "qx", "qy"]), g, levels)
-    names = list(one_items) + list(two_items)
-    parts = ones.unionByName(twos).groupBy("qid").agg(
-        *[F.sum(F.when(F.col("term") == t, F.col("n"))).alias(t) for t in names])
     n = b.groupBy(grp).agg(F.count("*").alias("N"))
-    out = (b.select("id", grp).join(n, grp).join(parts.withColumnRenamed("qid", "id"), "id", "left")
-           .na.fill(0, names))
+    g = [grp]
+
+    def one_d(item_col, q_expr):
+        items = b.select(grp, F.col(item_col).alias("k"))
+        qs = b.select(grp, F.col("id").alias("qid"), q_expr.alias("k"))
+        return count_le(items, qs, g)
+
+    def two_d(ix, iy, qx, qy):
+        items = b.select(grp, F.col(ix).alias("ix"), F.col(iy).alias("iy"))
+        qs = b.select(grp, F.col("id").alias("qid"), qx.alias("qx"), qy.alias("qy"))
+        return dominance_count(items, qs, g, levels)
+
+    terms = {
+        "L": one_d("x2", F.col("x")),                    # B.x2 <= A.x
+        "Xlt": one_d("x", F.col("x2") - 1),              # B.x  <  A.x2
+        "D": one_d("y2", F.col("y")),                    # B.y2 <= A.y
+        "Ylt": one_d("y", F.col("y2") - 1),              # B.y  <  A.y2
+        "LD": two_d("x2", "y2", F.col("x"), F.col("y")),
+        "LYlt": two_d("x2", "y", F.col("x"), F.col("y2") - 1),
+        "XltD": two_d("x", "y2", F.col("x2") - 1, F.col("y")),
+        "XltYlt": two_d("x", "y", F.col("x2") - 1, F.col("y2") - 1),
+    }
+    out = b.select("id", grp).join(n, grp)
+    for name, df in terms.items():
+        out = out.join(df.select(F.col("qid").alias("id"), F.col("n").alias(name)), "id")
     N = F.col("N")
     L, D = F.col("L"), F.col("D")
     R = N - F.col("Xlt")
@@ -101,24 +123,6 @@ def overlap_counts(boxes: DataFrame, grp: str = "img") -> DataFrame:
     return out.select("id", grp, (N - non - 1).cast("bigint").alias("n_overlap"))
 
 
-def _dominance_tagged(items: DataFrame, queries: DataFrame, grp: list[str], levels: int) -> DataFrame:
-    """Like ``dominance_count`` but keeps the query's ``term`` tag:
-    returns (qid, term, n) for the queries that dominate something."""
-    ls = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    it = (items.withColumn("lvl", ls)
-          .select(*grp, "lvl", F.expr("shiftright(iy, lvl)").alias("blk"), F.col("ix").alias("k")))
-    q = queries.withColumn("lvl", ls).withColumn("m", F.col("qy") + 1)
-    q = q.filter(F.expr("shiftright(m, lvl)").bitwiseAND(F.lit(1)) == 1)
-    q = q.select(*grp, "lvl", (F.expr("shiftright(m, lvl)") - 1).alias("blk"), F.col("qx").alias("k"), "qid")
-    hist = it.groupBy(*grp, "lvl", "blk", "k").agg(F.count("*").alias("c")).withColumn("t", F.lit(0))
-    probes = (q.select(*grp, "lvl", "blk", "k").distinct()
-              .withColumn("c", F.lit(0).cast("bigint")).withColumn("t", F.lit(1)))
-    w = Window.partitionBy(*grp, "lvl", "blk").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0)
-    ans = (hist.unionByName(probes).withColumn("n", F.sum("c").over(w))
-           .filter(F.col("t") == 1).select(*grp, "lvl", "blk", "k", "n"))
-    return q.join(ans, [*grp, "lvl", "blk", "k"]).groupBy("qid", "term").agg(F.sum("n").alias("n"))
-
-
 def neighbour_filter(boxes: DataFrame, min_neighbors: int = 3, min_w: int = 30, min_h: int = 30,
                      grp: str = "img") -> DataFrame:
     """Boxes at least min_w × min_h that overlap at least ``min_neighbors``

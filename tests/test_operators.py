@@ -113,7 +113,7 @@ def test_box_overlap_counts_match_brute_force(spark):
         img = rnd.randrange(3) if i < 100 else 0  # image 0 is the hot one
         rows.append((i, img, rnd.randrange(40), rnd.randrange(40), rnd.randrange(1, 15), rnd.randrange(1, 15)))
     df = spark.createDataFrame(rows, "id bigint, img bigint, x bigint, y bigint, w int, h int")
-    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df).collect()}
+    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df, small_group=45).collect()}
     for a in rows:
         want = sum(1 for b in rows if b[0] != a[0] and b[1] == a[1]
                    and b[2] < a[2] + a[4] and a[2] < b[2] + b[4] and b[3] < a[3] + a[5] and a[3] < b[3] + b[5])

@@ -497,23 +497,31 @@ TAN_22_5 = 0.4142135623730950488
 TAN_67_5 = 2.4142135623730950488
 
 
+def neighbourhood3(r: DataFrame, border: str) -> DataFrame:
+    """Adds ``nb``: the 3×3 neighbourhood of each pixel as nb[dy+1][dx+1]
+    (two line passes)."""
+    a = from_lines(line_pass(to_lines(r.select(*KEYS, "v"), "x"), gather(1, border)), "x")
+    nb = from_lines(line_pass(to_lines(a, "y"), gather(1, border)), "y").withColumnRenamed("v", "nb")
+    return r.join(nb, KEYS)
+
+
 def sobel(g: DataFrame) -> DataFrame:
-    """(gx, gy) with the 3×3 Sobel kernels, replicate border: derivative
-    [-1, 0, 1] along one axis, smoothing [1, 2, 1] along the other."""
-    d, s = [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]
-    gx = separable(g, weighted(d, "replicate"), weighted(s, "replicate")).withColumnRenamed("v", "gx")
-    gy = separable(g, weighted(s, "replicate"), weighted(d, "replicate")).withColumnRenamed("v", "gy")
-    return gx.join(gy, KEYS)
+    """(gx, gy) with the 3×3 Sobel kernels, replicate border, from one
+    gathered 3×3 neighbourhood per pixel."""
+    n = neighbourhood3(g.withColumn("v", F.col("v").cast("double")), "replicate")
+
+    def p(dy, dx):
+        return F.col("nb")[dy + 1][dx + 1]
+    gx = (p(-1, 1) + 2 * p(0, 1) + p(1, 1)) - (p(-1, -1) + 2 * p(0, -1) + p(1, -1))
+    gy = (p(1, -1) + 2 * p(1, 0) + p(1, 1)) - (p(-1, -1) + 2 * p(-1, 0) + p(-1, 1))
+    return n.select(*KEYS, gx.alias("gx"), gy.alias("gy"))
 
 
 def edge_candidates(g: DataFrame, low: float, high: float) -> DataFrame:
     """Sobel → L1 magnitude → non-maximum suppression along the gradient
     sector → (img, ch, y, x, weak, strong) for the surviving pixels."""
     s = sobel(g).withColumn("v", F.abs("gx") + F.abs("gy"))
-    mag = s.select(*KEYS, "v")
-    a = from_lines(line_pass(to_lines(mag, "x"), gather(1, "constant")), "x")
-    nb = from_lines(line_pass(to_lines(a, "y"), gather(1, "constant")), "y").withColumnRenamed("v", "nb")
-    j = s.join(nb, KEYS)
+    j = neighbourhood3(s, "constant")
 
     def at(dy, dx):  # neighbour magnitude, 0 outside the image
         return F.coalesce(F.col("nb")[dy + 1][dx + 1], F.lit(0.0))

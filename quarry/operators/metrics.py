@@ -34,7 +34,9 @@ def classification_report(df: DataFrame, actual="actual", predicted="predicted")
     """Per class precision, recall, F1, support; then accuracy, macro and
     weighted averages as extra rows (``label`` = 'accuracy', 'macro avg',
     'weighted avg'); undefined ratios are 0."""
-    cm = confusion_matrix(df, actual, predicted)
+    from pyspark import StorageLevel
+    # the K×K matrix feeds four small aggregates: compute it once
+    cm = confusion_matrix(df, actual, predicted).persist(StorageLevel.MEMORY_AND_DISK)
     per = cm.groupBy(F.col("actual").alias("c")).agg(
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum("n").alias("support"))

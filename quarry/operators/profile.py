@@ -48,29 +48,59 @@ def unpivot_columns(df: DataFrame, ids: list[str], cols: list[str], var="column"
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/`quantile_cont`
-    semantics) for several columns with ONE distributed sort.
-
-    Long form (column, value) is globally indexed, each column's start
-    offset comes from a small per-column count table, and only the rows at
-    the two interpolation positions of each q are kept.
+    semantics) for several columns at once.
+
+    Values are first reduced to (column, value, count) with map-side partial
+    aggregation, so repeated values cost nothing; the distinct values are
+    then put in one distributed order (range partitions) and each gets the
+    number of values before it (per-partition running sums plus the totals
+    of the earlier partitions). The 2·|cols|·|qs| interpolation positions
+    are located with a range condition against that table, the positions
+    being the small, broadcast side.
     """
     long = unpivot_columns(df, [], cols, cast="double").filter(F.col("value").isNotNull())
-    idx = global_index(long, [F.col("column"), F.col("value")])
-    per_col = long.groupBy("column").agg(F.count("*").alias("n"))
-    starts = per_col.select("column", "n", F.coalesce(F.sum("n").over(
-        Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    targets = (starts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    vc = long.groupBy("column", "value").agg(F.count("*").alias("c"))
+    cum = _prefix_counts(vc, ["column", "value"])  # adds "before" (values of the column before this one)
+    per_col = vc.groupBy("column").agg(F.sum("c").alias("n"))
+    targets = (per_col.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
                .withColumn("pos", (F.col("n") - 1) * F.col("q"))
-               .withColumn("lo", F.col("start") + F.floor("pos"))
-               .withColumn("hi", F.col("start") + F.ceil("pos"))
+               .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
                .withColumn("frac", F.col("pos") - F.floor("pos")))
-    picked = idx.select("column", F.col("_idx").alias("at"), "value")
-    lo = picked.withColumnRenamed("at", "lo").withColumnRenamed("value", "v_lo")
-    hi = picked.withColumnRenamed("at", "hi").withColumnRenamed("value", "v_hi")
-    return (targets.join(lo, ["column", "lo"]).join(hi, ["column", "hi"])
+    ends = targets.select("column", "q", F.col("lo").alias("at"), F.lit("lo").alias("end")).unionByName(
+        targets.select("column", "q", F.col("hi").alias("at"), F.lit("hi").alias("end")))
+    ends = ends.withColumnRenamed("column", "_col")
+    hit = cum.join(F.broadcast(ends),  # 2·|cols|·|qs| rows
+                   (F.col("column") == F.col("_col")) & (F.col("before") <= F.col("at"))
+                   & (F.col("at") < F.col("before") + F.col("c")))
+    vals = hit.groupBy("column", "q").agg(
+        F.max(F.when(F.col("end") == "lo", F.col("value"))).alias("v_lo"),
+        F.max(F.when(F.col("end") == "hi", F.col("value"))).alias("v_hi"))
+    return (vals.join(targets.select("column", "q", "frac"), ["column", "q"])
             .select("column", "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
 
 
+def _prefix_counts(df: DataFrame, order: list[str], weight: str = "c") -> DataFrame:
+    """Adds ``before`` = sum of ``weight`` over rows earlier in ``order``
+    within the same first order column, computed globally: range partitions,
+    a running sum inside each partition, and the totals of earlier
+    partitions (one row per partition, broadcast)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_in", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    tot = s.groupBy("_pid").agg(F.sum(weight).alias("_t"))
+    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    g = s.join(F.broadcast(offs), "_pid").withColumn("_glob", F.col("_off") + F.col("_in"))
+    # subtract everything belonging to earlier values of the first order column
+    first = order[0]
+    starts = g.groupBy(first).agg(F.min("_glob").alias("_start"))
+    return g.join(starts, first).withColumn("before", F.col("_glob") - F.col("_start")).drop(
+        "_pid", "_in", "_off", "_glob", "_start")
+
+
 def null_counts(df: DataFrame, only_with_nulls: bool = False) -> DataFrame:
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     out = row.unpivot([], df.columns, "column", "n_null")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality
+from quarry.llm import bpe, quality, token_files
 
 QUERIES = {
+    "op2_bpe_prefix_dp": bpe.op2_bpe_prefix_dp,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
 }
 
 SQL = {

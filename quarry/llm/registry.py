@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, quality, token_files
+from quarry.llm import bpe, chat, mixing, quality, sharding, token_files
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op2_bpe_prefix_dp": bpe.op2_bpe_prefix_dp,
+    "op4_chat_format": chat.op4_chat_format,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
 }
 
 SQL = {
+    "op1_mix_sources": mixing.SQL,
+    "op4_chat_format": chat.SQL,
     "op6_quality_rules": quality.SQL,
 }

@@ -21,21 +21,15 @@ of the same names.
 
 from __future__ import annotations
 
-import json
-import unicodedata
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from quarry.llm.chunks import ChunkMemo
+from quarry.llm.chunks import ChunkMemo, Rules
 from quarry.llm.common import read
 
-# White space as the split pattern's engine sees it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
-PAIRS_KEPT = 2_000_000
-PIECES_KEPT = 600_000
+PAIRS_KEPT = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,15 +51,14 @@ class PrefixBPE:
 
     def __init__(self, path: str):
         import ahocorasick
-        import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
-        model = spec["model"]
+        self.rules = Rules(path)
+        model = self.rules.spec["model"]
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = {i: t for t, i in (vocab | self.special).items()}
+        tokens = {i: t for t, i in (vocab | self.rules.special).items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+        self.decimal = [str(i) for i in range(len(self.tokens))]
         # How a token came about: its rank and its two parts; letters have none.
         self.merge = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(model["merges"])}
         self.rank, self.left, self.right = {}, {}, {}
@@ -81,12 +74,9 @@ class PrefixBPE:
             else:
                 self.inner.add_word(t, (i, len(t)))
         self.inner.make_automaton()
-        self._piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
-        self._special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        alphabet = byte_alphabet()
-        self._byte = {b: alphabet[b] for b in range(256)}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._letter = byte_alphabet()
+        self._pairs: dict[int, bool] = {}
+        self.rules.spec = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE on the joined texts of two tokens leaves them apart.
@@ -94,7 +84,7 @@ class PrefixBPE:
         Both are unmerged along their shared border, latest merge first. A
         merge across the border that BPE would have done before the merge just
         undone would have used up one of its sides: then they don't stay."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is not None:
             return known
         x, y, bound, apart = a, b, len(self.merge), True
@@ -112,11 +102,15 @@ class PrefixBPE:
                 y, bound = self.left[y], ry + 1
         if len(self._pairs) >= PAIRS_KEPT:
             self._pairs.clear()
-        self._pairs[a, b] = apart
+        self._pairs[a << 32 | b] = apart
         return apart
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token, written in the byte alphabet."""
+        """Ids of one pre-token."""
+        if not piece.isascii():
+            piece = "".join(map(self._letter.__getitem__, piece.encode("utf-8")))
+        elif not piece.isprintable():
+            piece = "".join(map(self._letter.__getitem__, piece.encode("ascii")))
         n = len(piece)
         whole = self.last.get(piece)
         if whole is not None:
@@ -140,36 +134,8 @@ class PrefixBPE:
                 return out[::-1]
         raise ValueError(f"no encoding for {piece!r}")
 
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-        else:
-            text = text.lower()
-        out = []
-        for piece in self._piece.findall(text):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                letters = "".join(map(self._byte.__getitem__, piece.encode("utf-8")))
-                ids = np.array(self.encode_piece(letters), dtype="<u4").tobytes()
-                if len(piece) <= 48:
-                    if len(self._pieces) >= PIECES_KEPT:
-                        self._pieces.clear()
-                    self._pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a text without ASCII white space, as little-endian uint32."""
-        if "<" not in chunk or not self._special.search(chunk):
-            return self._plain(chunk)
-        out, at = [], 0
-        for m in self._special.finditer(chunk):
-            out += [self._plain(chunk[at:m.start()]), np.array([self.special[m[0]]], dtype="<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(chunk[at:])])
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [self.encode_chunk(c) for c in chunks]
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(self.encode_piece(p), dtype="<u4").tobytes() for p in pieces]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -182,7 +148,8 @@ def model(path: str) -> tuple[PrefixBPE, ChunkMemo]:
     """The encoder of a file and its chunk memory, once per worker."""
     if path not in _MODELS:
         m = PrefixBPE(path)
-        _MODELS[path] = m, ChunkMemo(m.encode_chunks)
+        special = {t: np.array([i], dtype="<u4").tobytes() for t, i in m.rules.special.items()}
+        _MODELS[path] = m, ChunkMemo(m.rules, m.encode_pieces, special)
     return _MODELS[path]
 
 
@@ -190,55 +157,70 @@ def _column(batch, name):
     return batch.column(batch.schema.get_field_index(name))
 
 
-def encode_documents(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (little-endian uint32, four bytes a token) and
-    ``n_tokens`` of the whole text."""
+ROWS = 256  # texts handled at a time within an Arrow batch
+
+
+def _mapped(df: DataFrame, drop: tuple[str, ...], added: list[StructField], work) -> DataFrame:
+    """``df`` without ``drop``, with ``added`` columns that ``work`` makes of small slices."""
     import pyarrow as pa
 
-    keep = [f for f in df.schema.fields if f.name not in ("ids", "n_tokens")]
-    schema = StructType([*keep, StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
+    keep = [f for f in df.schema.fields if f.name not in (*drop, *[f.name for f in added])]
     names = [f.name for f in keep]
 
     def run(batches):
-        memo = model(path)[1]
         for b in batches:
-            ids = memo.ids_of(_column(b, text).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*[_column(b, n) for n in names], pa.array(ids, pa.binary()),
-                 pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*names, "ids", "n_tokens"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*[_column(part, n) for n in names], *work(part)],
+                                                 names=[*names, *[f.name for f in added]])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*keep, *added]))
 
 
-def decode_documents(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``df`` with ``ids`` turned back: ``ids_text`` (decimal, joined by one
-    space) and ``decoded`` in place of the ids."""
+def encode_documents(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` (little-endian uint32, four bytes a token) and
+    ``n_tokens`` of the whole text."""
     import pyarrow as pa
 
-    keep = [f for f in df.schema.fields if f.name not in (ids, "ids_text", "decoded")]
-    schema = StructType([*keep, StructField("ids_text", StringType()), StructField("decoded", StringType())])
-    names = [f.name for f in keep]
+    def work(part):
+        ids = model(path)[1].ids_of(_column(part, text).to_pylist())
+        return pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())
 
-    def run(batches):
+    return _mapped(df, (), [StructField("ids", BinaryType()), StructField("n_tokens", LongType())], work)
+
+
+def decode_documents(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``df`` with ``decoded``, the text of its ``ids``."""
+    import pyarrow as pa
+
+    def work(part):
         m = model(path)[0]
-        decimal = [str(i) for i in range(len(m.tokens))]
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [np.frombuffer(x or b"", dtype="<u4").tolist() for x in _column(part, ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[_column(part, n) for n in names],
-                     pa.array([" ".join(map(decimal.__getitem__, x)) for x in got], pa.string()),
-                     pa.array([m.decode(x) for x in got], pa.string())], names=[*names, "ids_text", "decoded"])
+        got = [np.frombuffer(x or b"", dtype="<u4").tolist() for x in _column(part, ids).to_pylist()]
+        return (pa.array([m.decode(x) for x in got], pa.string()),)
+
+    return _mapped(df, (), [StructField("decoded", StringType())], work)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``df`` without its text, with ``n_tokens``, ``ids_text`` (decimal ids joined
+    by one space) and ``decoded``: both ways in one pass over the texts."""
+    import pyarrow as pa
+
+    def work(part):
+        m, memo = model(path)
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in memo.ids_of(_column(part, text).to_pylist())]
+        return (pa.array([len(x) for x in got], pa.int64()),
+                pa.array([" ".join(map(m.decimal.__getitem__, x)) for x in got], pa.string()),
+                pa.array([m.decode(x) for x in got], pa.string()))
 
-    return df.mapInArrow(run, schema)
+    return _mapped(df, (text,), [StructField("n_tokens", LongType()), StructField("ids_text", StringType()),
+                                 StructField("decoded", StringType())], work)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of a table of texts."""
-    d = decode_documents(encode_documents(df.select("doc_id", "text"), path).drop("text"), path)
-    return d.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
-                    F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(df.select("doc_id", "text"), path).select(
+        "doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
-"""Encoding of whole texts from remembered chunks.
+"""Encoding of whole texts from remembered chunks and pieces.
 
-A tokenizer whose pre-tokenizer never crosses ASCII white space gives, for a
-text, the ids of its chunks (runs without it) one after the other. Most
-chunks of a corpus are frequent, so a worker remembers the ids of each chunk;
-only new ones go to the encoder. The memory is bounded: it is emptied when it
-holds ``LIMIT`` chunks, and chunks longer than ``LONGEST`` are never kept.
+The tokenizer's rules never look across ASCII white space, so a text's ids are
+those of its chunks (runs without it) one after the other, and a chunk's ids
+are those of its pieces (pre-tokens). A worker remembers the ids of chunks
+and of pieces; only new pieces go to the encoder. Both memories are bounded:
+when one is full, further entries live for one batch, and after ``TURNS``
+times its size of such entries it starts anew. Entries longer than
+``LONGEST`` characters are never kept.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Callable, Iterable
 
-LIMIT = 600_000
+KEPT = 200_000
+TURNS = 10
 LONGEST = 48
 
 _BLANK = "\t\n\x0b\x0c\r"
+# White space as the split pattern's engine sees it.
+_WHITE = r"\t-\r \x85\xa0  -     　"
 
 
 def split(text: str) -> list[str]:
@@ -25,25 +32,88 @@ def split(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Rules:
+    """What the tokenizer file does before its model: special strings stand for
+    themselves, the rest is brought to NFC, lower-cased and cut by the pattern."""
+
+    def __init__(self, path: str):
+        import regex
+
+        self.spec = json.load(open(path, encoding="utf-8"))
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self._piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
+        self._special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # lower case is taken character by character: no final sigma
+                return self._piece.findall("".join(map(str.lower, text)))
+        text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[:-1].isalpha() and text[-1] in ".,":
+            return [text[:-1], text[-1]]
+        return self._piece.findall(text)
+
+    def pieces(self, chunk: str) -> list[str]:
+        if "<" not in chunk or not self._special.search(chunk):
+            return self._plain(chunk)
+        out, at = [], 0
+        for m in self._special.finditer(chunk):
+            out += [*self._plain(chunk[at:m.start()]), m[0]]
+            at = m.end()
+        return out + self._plain(chunk[at:])
+
+
+class Memory:
+    """A bounded dictionary; what doesn't fit stays until ``forget``."""
+
+    def __init__(self, kept: int, first: dict):
+        self.known, self._first, self._kept = dict(first), first, kept
+        self._passing: list = []
+        self._passed = 0
+
+    def add(self, keys: list[str], values: Iterable[bytes]) -> None:
+        room = self._kept - len(self.known)
+        self.known.update(zip(keys, values))
+        if room < len(keys):
+            self._passing += keys[max(room, 0):]
+        self._passing += [k for k in keys[: max(room, 0)] if len(k) > LONGEST]
+
+    def forget(self) -> None:
+        for k in self._passing:
+            self.known.pop(k, None)
+        self._passed += len(self._passing)
+        self._passing = []
+        if self._passed > TURNS * self._kept:
+            self.known, self._passed = dict(self._first), 0
+
+
 class ChunkMemo:
     """``ids_of(texts)`` gives each text's ids as little-endian bytes.
 
-    ``encode_new`` takes a list of chunks and gives the bytes of each."""
+    ``encode_new`` takes a list of pieces and gives the bytes of each;
+    ``special`` has the bytes of the special strings."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], limit: int = LIMIT):
-        self._encode, self._limit, self._known = encode_new, limit, {"": b""}
+    def __init__(self, rules: Rules, encode_new: Callable[[list[str]], Iterable[bytes]], special: dict[str, bytes],
+                 kept: int = KEPT):
+        self._rules, self._encode = rules, encode_new
+        self._chunks, self._pieces = Memory(kept, {"": b""}), Memory(kept, special)
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         split_up = [split(t or "") for t in texts]
-        known = self._known
-        new = list(set().union(*split_up).difference(known))
+        new = list(set().union(*split_up).difference(self._chunks.known))
+        if new:
+            cut = list(map(self._rules.pieces, new))
+            fresh = list(set().union(*cut).difference(self._pieces.known))
+            if fresh:
+                self._pieces.add(fresh, self._encode(fresh))
+            of = self._pieces.known.__getitem__
+            self._chunks.add(new, [b"".join(map(of, p)) for p in cut])
+            self._pieces.forget()
+        of = self._chunks.known.__getitem__
+        out = [b"".join(map(of, ws)) for ws in split_up]
         if new:
-            known.update(zip(new, self._encode(new)))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split_up]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        if len(known) > self._limit:
-            known.clear()
-            known[""] = b""
+            self._chunks.forget()
         return out

@@ -16,6 +16,8 @@ _A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, read by Spark from any file system."""
     ship_package(spark)
+    # Texts are long: small batches keep what a Python worker holds small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, fingerprints, mixing, quality, sharding, token_files
+from quarry.llm import bpe, chat, fingerprints, language, mixing, quality, sharding, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_bpe_prefix_dp": bpe.op2_bpe_prefix_dp,
     "op3_bottom_k_fingerprints": fingerprints.op3_bottom_k_fingerprints,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_byte_gru_language": language.op5_byte_gru_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,

@@ -2,10 +2,11 @@
 
 Texts are encoded, sorted by document id and cut into shards of about
 ``SHARD_IDS`` ids at document borders. A shard is one binary file body: a
-header, the documents' ids and lengths, and the bit-planes of a wavelet
-matrix. Plane b holds bit b of every id in the order that stable partitions
-by the higher bits leave; counts of ones at every ``STEP`` bits give rank, and
-rank gives access, counting and occurrence lookup without unpacking. Spark
+header, the documents' ids and lengths, the sorted ids that occur, and the
+bit-planes of a wavelet matrix over their numbers in that order. Plane b holds
+bit b of every number in the order that stable partitions by the higher bits
+leave; counts of ones at every ``STEP`` bits give rank, and rank gives access,
+counting and occurrence lookup without unpacking. Spark
 writes the bodies (one row and one Parquet file each), so half-written shards
 of a lost executor never show.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import tokenizer_path
-from quarry.llm.chunks import ChunkMemo
+from quarry.llm.chunks import ChunkMemo, Rules
 from quarry.llm.common import read, scratch_path
 
 MAGIC = b"QWM1"
@@ -39,10 +40,11 @@ _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of ids below 2**bits, highest bit first."""
+    """Bit-planes of a sequence of tokens, highest bit first; ``alphabet`` has
+    the sorted tokens that occur, and the planes their places in it."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.bits, self.planes = n, len(planes), planes
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray]):
+        self.n, self.alphabet, self.bits, self.planes = n, alphabet, len(planes), planes
         self.zeros: list[int] = []
         self._ones: list[np.ndarray] = []
         for p in planes:
@@ -51,19 +53,24 @@ class WaveletMatrix:
             self.zeros.append(n - int(self._ones[-1][-1]))
 
     @staticmethod
-    def build(ids: np.ndarray, bits: int) -> WaveletMatrix:
+    def build(ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
+        seen = np.bincount(ids) > 0 if n else np.zeros(0, bool)
+        alphabet = np.flatnonzero(seen).astype("<u4")
+        bits = max(len(alphabet) - 1, 0).bit_length()
+        kind = np.uint16 if bits <= 16 else np.uint32
+        a = (np.cumsum(seen) - 1).astype(kind)[ids] if n else np.zeros(0, kind)
         room = -(-n // STEP) * (STEP // 8)
-        planes, a = [], ids
+        planes = []
         for b in range(bits - 1, -1, -1):
-            one = (a & a.dtype.type(1 << b)) != 0
+            one = (a & kind(1 << b)) != 0
             plane = np.zeros(room, dtype=np.uint8)
             packed = np.packbits(one, bitorder="little")
             plane[: len(packed)] = packed
             planes.append(plane)
             if b:
-                a = np.concatenate([a[~one], a[one]])
-        return WaveletMatrix(n, planes)
+                a = np.concatenate([a.compress(~one), a.compress(one)])
+        return WaveletMatrix(n, alphabet, planes)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
@@ -83,12 +90,16 @@ class WaveletMatrix:
             bit, ones = self._bit(lev, i), self._rank1(lev, i)
             v = v << 1 | bit
             i = self.zeros[lev] + ones if bit else i - ones
-        return v
+        return int(self.alphabet[v])
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+    def _code(self, token: int) -> int | None:
+        k = int(np.searchsorted(self.alphabet, token))
+        return k if k < len(self.alphabet) and self.alphabet[k] == token else None
+
+    def _range(self, code: int, lo: int, hi: int) -> tuple[int, int]:
         for lev in range(self.bits):
             a, b = self._rank1(lev, lo), self._rank1(lev, hi)
-            if token >> (self.bits - 1 - lev) & 1:
+            if code >> (self.bits - 1 - lev) & 1:
                 lo, hi = self.zeros[lev] + a, self.zeros[lev] + b
             else:
                 lo, hi = lo - a, hi - b
@@ -96,9 +107,10 @@ class WaveletMatrix:
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of a token among the first i ids."""
-        if token >> self.bits:
+        code = self._code(token)
+        if code is None:
             return 0
-        lo, hi = self._range(token, 0, i)
+        lo, hi = self._range(code, 0, i)
         return hi - lo
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
@@ -126,23 +138,23 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[lev], count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, dtype=kind)
             z = self.zeros[lev]
-            out[~one] = v[:z]
-            out[one] = v[z:] | kind(1 << (self.bits - 1 - lev))
+            out[np.flatnonzero(~one)] = v[:z]
+            out[np.flatnonzero(one)] = v[z:] | kind(1 << (self.bits - 1 - lev))
             v = out
-        return v
+        return self.alphabet[v]
 
 
-def pack(doc_ids: list[int], sizes: list[int], ids: np.ndarray, bits: int) -> bytes:
+def pack(doc_ids: list[int], sizes: list[int], ids: np.ndarray) -> bytes:
     """One shard's file body."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    wm = WaveletMatrix.build(ids, bits)
+    wm = WaveletMatrix.build(ids)
     index = squeeze(np.array([doc_ids, sizes], dtype="<i8").tobytes())
     planes = [squeeze(p.tobytes()) for p in wm.planes]
-    head = struct.pack("<4sIQQ", MAGIC, bits, len(doc_ids), len(ids))
-    lengths = struct.pack(f"<{bits + 1}Q", len(index), *map(len, planes))
-    return b"".join([head, lengths, index, *planes])
+    parts = [index, squeeze(wm.alphabet.tobytes()), *planes]
+    head = struct.pack("<4sIQQ", MAGIC, wm.bits, len(doc_ids), len(ids))
+    return b"".join([head, struct.pack(f"<{len(parts)}Q", *map(len, parts)), *parts])
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
@@ -153,21 +165,22 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at = struct.calcsize("<4sIQQ")
-    lengths = struct.unpack_from(f"<{bits + 1}Q", body, at)
-    at += 8 * (bits + 1)
+    lengths = struct.unpack_from(f"<{bits + 2}Q", body, at)
+    at += 8 * (bits + 2)
     parts = []
     for size in lengths:
         parts.append(zstandard.ZstdDecompressor().decompress(body[at: at + size]))
         at += size
     index = np.frombuffer(parts[0], dtype="<i8").reshape(2, n_docs)
-    return index[0], index[1], WaveletMatrix(n, [np.frombuffer(p, dtype=np.uint8) for p in parts[1:]])
+    return index[0], index[1], WaveletMatrix(
+        n, np.frombuffer(parts[1], dtype="<u4"), [np.frombuffer(p, dtype=np.uint8) for p in parts[2:]])
 
 
-_MEMO: dict[str, tuple[ChunkMemo, int]] = {}
+_MEMO: dict[str, tuple[ChunkMemo, str]] = {}
 
 
-def library_memo(path: str) -> tuple[ChunkMemo, int]:
-    """Chunk memory over the tokenizers library, and the bits an id needs."""
+def library_memo(path: str) -> tuple[ChunkMemo, str]:
+    """Chunk memory over the tokenizers library, and the type of an id."""
     if path not in _MEMO:
         import os
 
@@ -177,22 +190,31 @@ def library_memo(path: str) -> tuple[ChunkMemo, int]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        bits = max(t.get_vocab_size() - 1, END_ID).bit_length()
-        kind = "<u2" if bits <= 16 else "<u4"
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            # (chunks are told apart by the offsets, so many share one call)
-            got = t.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(e.ids, dtype=kind).tobytes() for e in got]
-
-        _MEMO[path] = ChunkMemo(encode), bits
+        rules = Rules(path)
+        model, rules.spec = rules.spec["model"], {}
+        size = max(t.get_vocab_size(), END_ID + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        last = np.zeros(size, dtype=bool)
+        last[[i for s, i in model["vocab"].items() if s.endswith(model["end_of_word_suffix"])]] = True
+
+        def encode(pieces: list[str]) -> list[bytes]:
+            # One call for many pieces: each ends with its only word-end token.
+            ids = np.array(t.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=kind)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) != len(pieces):
+                raise ValueError("pieces and word ends differ")
+            raw, width = ids.tobytes(), ids.itemsize
+            at = [0, *(ends * width).tolist()]
+            return [raw[a:b] for a, b in zip(at, at[1:])]
+
+        special = {s: np.array([i], dtype=kind).tobytes() for s, i in rules.special.items()}
+        _MEMO[path] = ChunkMemo(rules, encode, special), kind
     return _MEMO[path]
 
 
 def shards(rows: Iterator, path: str, part: int, limit: int = SHARD_IDS) -> Iterator[tuple]:
     """(part, shard, n_ids, body) of texts that come in order of their ids."""
-    memo, bits = library_memo(path)
-    kind = "<u2" if bits <= 16 else "<u4"
+    memo, kind = library_memo(path)
     end = np.array([END_ID], dtype=kind).tobytes()
     width, k = len(end), 0
     docs, sizes, parts, n = [], [], [], 0
@@ -203,10 +225,10 @@ def shards(rows: Iterator, path: str, part: int, limit: int = SHARD_IDS) -> Iter
             parts += [x, end]
             n += sizes[-1]
             if n >= limit:
-                yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind), bits)
+                yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind))
                 docs, sizes, parts, n, k = [], [], [], 0, k + 1
     if docs:
-        yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind), bits)
+        yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind))
 
 
 def write_token_files(df: DataFrame, where: str, path: str, doc_id: str = "doc_id", text: str = "text",
@@ -250,7 +272,7 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
         for b in batches:
             for part, shard, body in zip(*(c.to_pylist() for c in b.columns)):
                 docs, sizes, wm = unpack(body)
-                ids = wm.all().astype("<u4")
+                ids = wm.all()
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - s): 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, fingerprints, language, mixing, quality, sharding, token_files
+from quarry.llm import bpe, chat, fingerprints, language, mixing, neardup, quality, sharding, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_byte_gru_language": language.op5_byte_gru_language,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_chosen_path_dedup": neardup.op7_chosen_path_dedup,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
 }
@@ -19,4 +20,5 @@ SQL = {
     "op1_mix_sources": mixing.SQL,
     "op4_chat_format": chat.SQL,
     "op6_quality_rules": quality.SQL,
+    "op7_chosen_path_dedup": neardup.SQL,
 }

@@ -13,11 +13,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 _A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, read by Spark from any file system."""
+def prepare(spark: SparkSession) -> None:
+    """Settings that the operators rely on: the package on the workers, and
+    small Arrow batches, because texts are long."""
     ship_package(spark)
-    # Texts are long: small batches keep what a Python worker holds small.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, read by Spark from any file system."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

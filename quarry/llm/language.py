@@ -249,14 +249,15 @@ def train(df: DataFrame) -> ByteGRU | None:
 _POOLERS: dict[bytes, Pooler] = {}
 
 
-def identify(df: DataFrame, net: ByteGRU | None, text: str = "text") -> DataFrame:
+def identify(df: DataFrame, net: ByteGRU | None, text: str = "text", pred: str = "lang_pred",
+             score: str = "score") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` of every whole text."""
     import pyarrow as pa
 
-    keep = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
+    keep = [f for f in df.schema.fields if f.name not in (pred, score)]
     names = [f.name for f in keep]
     if net is None:
-        return df.select(*[F.col(f"`{n}`") for n in names], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return df.select(*[F.col(f"`{n}`") for n in names], F.lit("und").alias(pred), F.lit(0.0).alias(score))
 
     def run(batches):
         pooler = Pooler(net)
@@ -267,18 +268,15 @@ def identify(df: DataFrame, net: ByteGRU | None, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(part.schema.get_field_index(n)) for n in names],
                      pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                    names=[*names, "lang_pred", "score"])
+                    names=[*names, pred, score])
 
-    return df.mapInArrow(run, StructType([*keep, StructField("lang_pred", StringType()),
-                                          StructField("score", DoubleType())]))
+    return df.mapInArrow(run, StructType([*keep, StructField(pred, StringType()), StructField(score, DoubleType())]))
 
 
 def filter_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` whose language is known with a score of ``MIN_SCORE`` or more."""
-    d = identify(df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("text").alias("__text")),
-                 train(df), "__text")
-    return d.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(
-        *[F.col(f"`{c}`") for c in df.columns])
+    d = identify(df, train(df), "text", "__pred", "__score")
+    return d.filter((F.col("__pred") != "und") & (F.col("__score") >= MIN_SCORE)).drop("__pred", "__score")
 
 
 def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,9 +287,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 
 def filter_documents(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose document is the first of its component."""
-    kept = near_duplicates(df).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """The rows of ``df`` but those of documents that aren't the first of their
+    component. Rows without an id stay."""
+    gone = stored(near_duplicates(df).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
+    small = gone.count() <= SMALL_IDS
+    return df.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op7_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, fingerprints, language, mixing, neardup, quality, sharding, token_files
+from quarry.llm import bpe, chat, extract, fingerprints, language, mixing, neardup, quality, sharding, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chosen_path_dedup": neardup.op7_chosen_path_dedup,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
+    "op10_dom_boosted_extract": extract.op10_dom_boosted_extract,
 }
 
 SQL = {

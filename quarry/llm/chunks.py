@@ -11,11 +11,12 @@ times its size of such entries it starts anew. Entries longer than
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Callable, Iterable
 
-KEPT = 200_000
+KEPT = 500_000
 TURNS = 10
 LONGEST = 48
 
@@ -102,6 +103,13 @@ class ChunkMemo:
         self._chunks, self._pieces = Memory(kept, {"": b""}), Memory(kept, special)
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # only lists of strings come and go here; none refers back
+        try:
+            return self._ids_of(texts)
+        finally:
+            gc.enable()
+
+    def _ids_of(self, texts: list[str | None]) -> list[bytes]:
         split_up = [split(t or "") for t in texts]
         new = list(set().union(*split_up).difference(self._chunks.known))
         if new:

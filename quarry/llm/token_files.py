@@ -190,6 +190,7 @@ def library_memo(path: str) -> tuple[ChunkMemo, str]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        t.normalizer = None  # pieces come normalised
         rules = Rules(path)
         model, rules.spec = rules.spec["model"], {}
         size = max(t.get_vocab_size(), END_ID + 1)
@@ -199,7 +200,7 @@ def library_memo(path: str) -> tuple[ChunkMemo, str]:
 
         def encode(pieces: list[str]) -> list[bytes]:
             # One call for many pieces: each ends with its only word-end token.
-            ids = np.array(t.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=kind)
+            ids = np.array(t.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=kind)
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) != len(pieces):
                 raise ValueError("pieces and word ends differ")
@@ -248,7 +249,8 @@ def write_token_files(df: DataFrame, where: str, path: str, doc_id: str = "doc_i
             yield pa.RecordBatch.from_pylist([dict(zip(("part", "shard", "n_ids", "body"), row))], schema=pa.schema(
                 [("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("body", pa.binary())]))
 
-    ordered = df.select(doc_id, text).repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
+    # (the range key is the id alone: its sample goes to the driver, texts must not)
+    ordered = df.select(doc_id, text).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
     (ordered.mapInArrow(run, "part int, shard int, n_ids long, body binary")
      .write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(where))
 

@@ -94,8 +94,12 @@ def compile_rules(rules=RULES, prefix: str = "") -> Column:
 def filter_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df``, with its columns, that pass the base rule and the table."""
     p = "__m_"
-    scored = measures(df, text, prefix=p)
-    return scored.filter(~base_failed(p) & compile_rules(prefix=p)).select([F.col(f"`{c}`") for c in df.columns])
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    # A plain filter would be pushed below the projections, with all they compute
+    # copied into it; a generated column holds it above them.
+    passed = F.when(~base_failed(p) & compile_rules(prefix=p), 1)
+    return measures(df, text, prefix=p).select(*keep, F.explode_outer(F.array(passed)).alias("__pass")).filter(
+        "__pass = 1").select(*keep)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,8 +183,9 @@ def encode_documents(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def work(part):
-        ids = model(path)[1].ids_of(_column(part, text).to_pylist())
-        return pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())
+        ids, first = model(path)[1].ids_of(_column(part, text).to_pylist())
+        return (pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
+                pa.array(np.diff(first), pa.int64()))
 
     return _mapped(df, (), [StructField("ids", BinaryType()), StructField("n_tokens", LongType())], work)
 
@@ -208,7 +209,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def work(part):
         m, memo = model(path)
-        got = [np.frombuffer(x, dtype="<u4").tolist() for x in memo.ids_of(_column(part, text).to_pylist())]
+        ids, first = memo.ids_of(_column(part, text).to_pylist())
+        got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
         return (pa.array([len(x) for x in got], pa.int64()),
                 pa.array([" ".join(map(m.decimal.__getitem__, x)) for x in got], pa.string()),
                 pa.array([m.decode(x) for x in got], pa.string()))

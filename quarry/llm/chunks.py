@@ -3,10 +3,14 @@
 The tokenizer's rules never look across ASCII white space, so a text's ids are
 those of its chunks (runs without it) one after the other, and a chunk's ids
 are those of its pieces (pre-tokens). A worker remembers the ids of chunks
-and of pieces; only new pieces go to the encoder. Both memories are bounded:
-when one is full, further entries live for one batch, and after ``TURNS``
-times its size of such entries it starts anew. Entries longer than
-``LONGEST`` characters are never kept.
+and of pieces; only new pieces go to the encoder.
+
+Chunks are found in numpy: a table of ``1 << SLOT_BITS`` slots holds, at the
+place that a chunk's hash names, its 64-bit hash, its first eight bytes, and
+where its ids lie in a pool. A new chunk takes the slot of an older one. A
+full pool is emptied with the table. Pieces are in a dictionary of at most
+``KEPT`` entries; when it is full, further ones live for one batch, and
+after ``TURNS`` times its size of these it starts anew.
 """
 
 from __future__ import annotations
@@ -16,10 +20,17 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterable
 
-KEPT = 500_000
+import numpy as np
+
+from quarry.llm.shingles import joined_words
+
+SLOT_BITS = 21
+POOL = 12_000_000
+KEPT = 400_000
 TURNS = 10
 LONGEST = 48
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first k bytes
 _BLANK = "\t\n\x0b\x0c\r"
 # White space as the split pattern's engine sees it.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -68,60 +79,89 @@ class Rules:
 
 
 class Memory:
-    """A bounded dictionary; what doesn't fit stays until ``forget``."""
+    """A bounded dictionary from strings to bytes."""
 
     def __init__(self, kept: int, first: dict):
-        self.known, self._first, self._kept = dict(first), first, kept
-        self._passing: list = []
-        self._passed = 0
+        self.known, self._first, self._kept, self._passed = dict(first), first, kept, 0
 
-    def add(self, keys: list[str], values: Iterable[bytes]) -> None:
+    def keep(self, found: dict[str, bytes]) -> None:
+        """Remember new entries while there is room."""
         room = self._kept - len(self.known)
-        self.known.update(zip(keys, values))
-        if room < len(keys):
-            self._passing += keys[max(room, 0):]
-        self._passing += [k for k in keys[: max(room, 0)] if len(k) > LONGEST]
-
-    def forget(self) -> None:
-        for k in self._passing:
-            self.known.pop(k, None)
-        self._passed += len(self._passing)
-        self._passing = []
+        if room >= len(found):
+            self.known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
+            return
+        self._passed += len(found)
         if self._passed > TURNS * self._kept:
             self.known, self._passed = dict(self._first), 0
 
 
 class ChunkMemo:
-    """``ids_of(texts)`` gives each text's ids as little-endian bytes.
+    """``ids_of(texts)`` gives the ids of all texts in one array, and where each text's begin.
 
     ``encode_new`` takes a list of pieces and gives the bytes of each;
-    ``special`` has the bytes of the special strings."""
+    ``special`` has the bytes of the special strings; ``kind`` is an id's type."""
 
     def __init__(self, rules: Rules, encode_new: Callable[[list[str]], Iterable[bytes]], special: dict[str, bytes],
-                 kept: int = KEPT):
-        self._rules, self._encode = rules, encode_new
-        self._chunks, self._pieces = Memory(kept, {"": b""}), Memory(kept, special)
-
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+                 kind: str = "<u4", kept: int = KEPT, slot_bits: int = SLOT_BITS, pool: int = POOL):
+        self._rules, self._encode, self._pieces = rules, encode_new, Memory(kept, special)
+        self._kind, self._bits, self._most = kind, slot_bits, pool
+        self._empty()
+
+    def _empty(self) -> None:
+        n = 1 << self._bits
+        self._hash, self._head = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self._at, self._size = np.zeros(n, np.uint32), np.zeros(n, np.uint16)
+        self._pool, self._used = np.zeros(1 << 16, self._kind), 0
+
+    def _store(self, raw: bytes) -> int:
+        """Put ids at the end of the pool; where they begin."""
+        ids = np.frombuffer(raw, self._kind)
+        at, end = self._used, self._used + len(ids)
+        if end > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros(max(len(self._pool), end), self._kind)])
+        self._pool[at:end] = ids
+        self._used = end
+        return at
+
+    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self._used > self._most:
+            self._empty()
+        whole, start, end, h, first = joined_words([(t or "").encode("utf-8", "replace") for t in texts])
+        # The first eight bytes: with the hash they are the chunk's identity.
+        eight = np.ndarray(len(whole), "<u8", whole + b" " * 8, strides=(1,))
+        head = eight[start] & _FIRST[np.minimum(end - start, 8)]
+        slot = (h >> np.uint64(64 - self._bits)).astype(np.int64)
+        hit = (self._hash[slot] == h) & (self._head[slot] == head)
+        at, size = self._at[slot].astype(np.int64), self._size[slot].astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            at[miss], size[miss] = self._learn(whole, start, end, h, head, slot, miss)
+        before = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(at - before[:-1], size) + np.arange(before[-1])
+        return self._pool[take], before[first]
+
+    def _learn(self, whole, start, end, h, head, slot, miss) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks that aren't in the table: place and number in the pool."""
+        _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        new = miss[one]
+        raw = self._encoded([whole[a:b].decode("utf-8") for a, b in zip(start[new].tolist(), end[new].tolist())])
+        size = np.array([len(r) for r in raw]) // np.dtype(self._kind).itemsize
+        at = self._store(b"".join(raw)) + np.cumsum(size) - size
+        keep = (end[new] - start[new] <= LONGEST) & (size < 1 << 16)
+        s = slot[new][keep]
+        self._hash[s], self._head[s], self._at[s], self._size[s] = h[new][keep], head[new][keep], at[keep], size[keep]
+        # (of two new chunks with one slot the last assignment wins in all four arrays alike)
+        return at[back], size[back]
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
         gc.disable()  # only lists of strings come and go here; none refers back
         try:
-            return self._ids_of(texts)
+            cut = list(map(self._rules.pieces, chunks))
+            known = self._pieces.known
+            fresh = list(set().union(*cut).difference(known))
+            found = dict(zip(fresh, self._encode(fresh))) if fresh else {}
+            out = [b"".join([known[p] if p in known else found[p] for p in ps]) for ps in cut]
+            self._pieces.keep(found)
+            return out
         finally:
             gc.enable()
-
-    def _ids_of(self, texts: list[str | None]) -> list[bytes]:
-        split_up = [split(t or "") for t in texts]
-        new = list(set().union(*split_up).difference(self._chunks.known))
-        if new:
-            cut = list(map(self._rules.pieces, new))
-            fresh = list(set().union(*cut).difference(self._pieces.known))
-            if fresh:
-                self._pieces.add(fresh, self._encode(fresh))
-            of = self._pieces.known.__getitem__
-            self._chunks.add(new, [b"".join(map(of, p)) for p in cut])
-            self._pieces.forget()
-        of = self._chunks.known.__getitem__
-        out = [b"".join(map(of, ws)) for ws in split_up]
-        if new:
-            self._chunks.forget()
-        return out

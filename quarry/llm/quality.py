@@ -74,7 +74,11 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     out = {"n_words": size, "word_chars": F.length(F.array_join(w, "")), "n_symbols": symbols,
            "n_dup_lines": F.size(ln) - F.size(F.array_distinct(ln)), "n_repeat_words": covered,
            "n_stop_words": stops, "n_lines": F.size(ln)}
-    return d.select(*keep, *[c.cast("long").alias(prefix + k) for k, c in out.items()])
+    # The counts come out of a generator: a later filter on them would otherwise be
+    # pushed below these projections, with all that they compute copied into it.
+    counts = F.struct(*[c.cast("long").alias(k) for k, c in out.items()])
+    d = d.select(*keep, F.explode_outer(F.array(counts)).alias("__q_c"))
+    return d.select(*keep, *[F.col(f"__q_c.{k}").alias(prefix + k) for k in out])
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -95,11 +99,7 @@ def filter_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df``, with its columns, that pass the base rule and the table."""
     p = "__m_"
     keep = [F.col(f"`{c}`") for c in df.columns]
-    # A plain filter would be pushed below the projections, with all they compute
-    # copied into it; a generated column holds it above them.
-    passed = F.when(~base_failed(p) & compile_rules(prefix=p), 1)
-    return measures(df, text, prefix=p).select(*keep, F.explode_outer(F.array(passed)).alias("__pass")).filter(
-        "__pass = 1").select(*keep)
+    return measures(df, text, prefix=p).filter(~base_failed(p) & compile_rules(prefix=p)).select(*keep)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,35 +41,39 @@ def _grown(n: int) -> None:
         _powers[k] = p
 
 
-def _piece_words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a byte array that starts and ends with a blank."""
+def _piece_words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of a byte array that starts and ends with a blank."""
     inside = ~_BLANK[c]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
     _grown(len(c))
     sums = np.cumsum((c.astype(_U) + _U(1)) * _powers[0][: len(c)], dtype=_U)
     h = (sums[end - 1] - sums[start - 1]) * _powers[1][start]
-    return start, mix(h + (end - start).astype(_U) * _U(_SIZE))
+    return start, end, mix(h + (end - start).astype(_U) * _U(_SIZE))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and where each text's words begin (one more entry at the end)."""
-    raws = [(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]
+def joined_words(raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts (as bytes) joined by blanks; start, end and hash of each word in
+    that; and the number of each text's first word (one more entry at the end)."""
     whole = b" " + b" ".join(raws) + b" "
     at = np.cumsum([0, *[len(r) + 1 for r in raws]])
     c = np.frombuffer(whole, np.uint8)
-    starts, hashes, a = [], [], 0
+    found, a = [], 0
     while a < len(c) - 1:
         b = min(a + PIECE, len(c) - 1)
         while not _BLANK[c[b]]:
             b += 1
-        s, h = _piece_words(c[a: b + 1])
-        starts.append(s + a)
-        hashes.append(h)
+        s, e, h = _piece_words(c[a: b + 1])
+        found.append((s + a, e + a, h))
         a = b
-    if not starts:
-        return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+    starts, ends, hashes = (np.concatenate(x) for x in zip(*found))
+    return whole, starts, ends, hashes, np.searchsorted(starts, at)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where each text's words begin (one more entry at the end)."""
+    *_, hashes, first = joined_words([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts])
+    return hashes, first
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:

@@ -36,8 +36,6 @@ SHARD_IDS = 1 << 20
 STEP = 512
 END_ID = 2
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-
 
 class WaveletMatrix:
     """Bit-planes of a sequence of tokens, highest bit first; ``alphabet`` has
@@ -45,12 +43,15 @@ class WaveletMatrix:
 
     def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray]):
         self.n, self.alphabet, self.bits, self.planes = n, alphabet, len(planes), planes
-        self.zeros: list[int] = []
-        self._ones: list[np.ndarray] = []
-        for p in planes:
-            per = _POP[p].reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
-            self._ones.append(np.concatenate([[0], np.cumsum(per)]))
-            self.zeros.append(n - int(self._ones[-1][-1]))
+        self.zeros = [n - int(np.bitwise_count(p.view(np.uint64)).sum(dtype=np.int64)) for p in planes]
+        self._ones: dict[int, np.ndarray] = {}
+
+    def _blocks(self, level: int) -> np.ndarray:
+        """Ones before each block of STEP bits of a plane, made when first asked for."""
+        if level not in self._ones:
+            per = np.bitwise_count(self.planes[level]).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
+            self._ones[level] = np.concatenate([[0], np.cumsum(per)])
+        return self._ones[level]
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
@@ -76,9 +77,9 @@ class WaveletMatrix:
         """Ones among the first i bits of a plane."""
         block = i // STEP
         p = self.planes[level][block * (STEP // 8): i // 8]
-        ones = int(self._ones[level][block]) + int(_POP[p].sum())
+        ones = int(self._blocks(level)[block]) + int(np.bitwise_count(p).sum())
         if i % 8:
-            ones += int(_POP[self.planes[level][i // 8] & ((1 << i % 8) - 1)])
+            ones += (int(self.planes[level][i // 8]) & ((1 << i % 8) - 1)).bit_count()
         return ones
 
     def _bit(self, level: int, i: int) -> int:
@@ -209,27 +210,27 @@ def library_memo(path: str) -> tuple[ChunkMemo, str]:
             return [raw[a:b] for a, b in zip(at, at[1:])]
 
         special = {s: np.array([i], dtype=kind).tobytes() for s, i in rules.special.items()}
-        _MEMO[path] = ChunkMemo(rules, encode, special), kind
+        _MEMO[path] = ChunkMemo(rules, encode, special, kind), kind
     return _MEMO[path]
 
 
 def shards(rows: Iterator, path: str, part: int, limit: int = SHARD_IDS) -> Iterator[tuple]:
     """(part, shard, n_ids, body) of texts that come in order of their ids."""
     memo, kind = library_memo(path)
-    end = np.array([END_ID], dtype=kind).tobytes()
-    width, k = len(end), 0
-    docs, sizes, parts, n = [], [], [], 0
+    end = np.array([END_ID], dtype=kind)
+    docs, sizes, parts, n, k = [], [], [], 0, 0
     for doc_ids, texts in rows:
-        for d, x in zip(doc_ids, memo.ids_of(texts)):
+        ids, first = memo.ids_of(texts)
+        for d, a, b in zip(doc_ids, first[:-1].tolist(), first[1:].tolist()):
             docs.append(d)
-            sizes.append(len(x) // width + 1)
-            parts += [x, end]
+            sizes.append(b - a + 1)
+            parts += [ids[a:b], end]
             n += sizes[-1]
             if n >= limit:
-                yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind))
+                yield part, k, n, pack(docs, sizes, np.concatenate(parts))
                 docs, sizes, parts, n, k = [], [], [], 0, k + 1
     if docs:
-        yield part, k, n, pack(docs, sizes, np.frombuffer(b"".join(parts), dtype=kind))
+        yield part, k, n, pack(docs, sizes, np.concatenate(parts))
 
 
 def write_token_files(df: DataFrame, where: str, path: str, doc_id: str = "doc_id", text: str = "text",

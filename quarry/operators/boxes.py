@@ -8,11 +8,11 @@ inclusion–exclusion
     non-overlapping = L + R + D + U − LD − LU − RD − RU
 
 where the one-sided counts are 1-D prefix counts and the corner terms are
-2-D dominance counts. Box coordinates are integer pixel positions, so a
-prefix count is a running sum over a per-image *histogram* of coordinates
-(map-side aggregated; at most one row per distinct coordinate, i.e.
-bounded by the image size however many boxes an image has), probed at the
-distinct query coordinates and joined back to the boxes. A 2-D dominance
+2-D dominance counts. Coordinates are replaced by their ranks within the
+image, and a prefix count is a running sum over a per-image *histogram* of
+ranks (map-side aggregated; one row per distinct coordinate, however many
+boxes an image has), probed at the distinct query coordinates and joined back
+to the boxes. A 2-D dominance
 count is split into ≤ log₂(size) such 1-D counts over dyadic blocks of the
 second coordinate.
 """
@@ -36,91 +36,77 @@ def count_le(items: DataFrame, queries: DataFrame, grp: list[str]) -> DataFrame:
     return queries.join(ans, [*grp, "k"]).select("qid", "n")
 
 
-def dominance_count(items: DataFrame, queries: DataFrame, grp: list[str], levels: int) -> DataFrame:
-    """For every query (grp…, qid, qx, qy): #items (grp…, ix, iy) with
-    ix <= qx and iy <= qy (coordinates in [0, 2^levels)). Returns (qid, n),
-    with n = 0 for queries that dominate nothing."""
-    ls = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+def dominance_count(items: DataFrame, queries: DataFrame, grp: list[str]) -> DataFrame:
+    """For every query (grp…, qid, qx, qy, levels): #items (grp…, ix, iy,
+    levels) with ix <= qx and iy <= qy, for whole coordinates from 0 below
+    2^levels (one value of ``levels`` per group). Returns (qid, n); queries
+    that dominate nothing may be missing."""
+    ls = F.explode(F.sequence(F.lit(0), F.col("levels")))
     it = (items.withColumn("lvl", ls)
           .select(*grp, "lvl", F.expr("shiftright(iy, lvl)").alias("blk"), F.col("ix").alias("k")))
     q = queries.withColumn("lvl", ls).withColumn("m", F.col("qy") + 1)
     q = q.filter(F.expr("shiftright(m, lvl)").bitwiseAND(F.lit(1)) == 1)
     q = q.select(*grp, "lvl", (F.expr("shiftright(m, lvl)") - 1).alias("blk"), F.col("qx").alias("k"), "qid")
     parts = count_le(it, q, [*grp, "lvl", "blk"])
-    per = parts.groupBy("qid").agg(F.sum("n").alias("n"))
-    return queries.select("qid").join(per, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-# Images with at most this many boxes are compared inside one bounded array
-# (≤ SMALL_GROUP² tests per image, never emitted as rows); larger images go
-# through the pair-free prefix/dominance counts.
-SMALL_GROUP = 64
-
-
-def overlap_counts(boxes: DataFrame, grp: str = "img", small_group: int = SMALL_GROUP) -> DataFrame:
-    """(id, grp, x, y, w, h) → (id, n_overlap): boxes of the same group
-    overlapping each box with positive area, the box itself excluded."""
-    sizes = boxes.groupBy(grp).agg(F.count("*").alias("_n"))
-    tagged = boxes.join(sizes, grp)
-    small = tagged.filter(F.col("_n") <= small_group).drop("_n")
-    large = tagged.filter(F.col("_n") > small_group).drop("_n")
-    return _overlap_small(small, grp).unionByName(_overlap_large(large, grp))
-
-
-def _overlap_small(boxes: DataFrame, grp: str) -> DataFrame:
-    """Bounded images: each box tests the (≤ small_group) boxes of its image
-    held in one array."""
-    b = boxes.select("id", grp, "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
-    lists = b.groupBy(grp).agg(F.collect_list(F.struct("id", "x", "y", "x2", "y2")).alias("bs"))
-    j = b.join(lists, grp)
-    hits = F.filter("bs", lambda o: (o["id"] != F.col("id")) & (o["x"] < F.col("x2")) & (F.col("x") < o["x2"])
-                    & (o["y"] < F.col("y2")) & (F.col("y") < o["y2"]))
-    return j.select("id", grp, F.size(hits).cast("bigint").alias("n_overlap"))
-
-
-def _overlap_large(boxes: DataFrame, grp: str) -> DataFrame:
-    b = boxes.select("id", grp, "x", "y", "w", "h").withColumn("x2", F.col("x") + F.col("w")) \
-        .withColumn("y2", F.col("y") + F.col("h"))
-    hi = b.agg(F.max(F.greatest("x2", "y2"))).first()[0] or 0  # one number: coordinate range
-    if hi == 0 and b.isEmpty():
-        return b.select("id", grp, F.lit(0).cast("bigint").alias("n_overlap"))
-    levels = max(1, int(hi + 1).bit_length())
-    n = b.groupBy(grp).agg(F.count("*").alias("N"))
-    g = [grp]
-
-    def one_d(item_col, q_expr):
-        items = b.select(grp, F.col(item_col).alias("k"))
-        qs = b.select(grp, F.col("id").alias("qid"), q_expr.alias("k"))
-        return count_le(items, qs, g)
-
-    def two_d(ix, iy, qx, qy):
-        items = b.select(grp, F.col(ix).alias("ix"), F.col(iy).alias("iy"))
-        qs = b.select(grp, F.col("id").alias("qid"), qx.alias("qx"), qy.alias("qy"))
-        return dominance_count(items, qs, g, levels)
-
-    terms = {
-        "L": one_d("x2", F.col("x")),                    # B.x2 <= A.x
-        "Xlt": one_d("x", F.col("x2") - 1),              # B.x  <  A.x2
-        "D": one_d("y2", F.col("y")),                    # B.y2 <= A.y
-        "Ylt": one_d("y", F.col("y2") - 1),              # B.y  <  A.y2
-        "LD": two_d("x2", "y2", F.col("x"), F.col("y")),
-        "LYlt": two_d("x2", "y", F.col("x"), F.col("y2") - 1),
-        "XltD": two_d("x", "y2", F.col("x2") - 1, F.col("y")),
-        "XltYlt": two_d("x", "y", F.col("x2") - 1, F.col("y2") - 1),
-    }
-    out = b.select("id", grp).join(n, grp)
-    for name, df in terms.items():
-        out = out.join(df.select(F.col("qid").alias("id"), F.col("n").alias(name)), "id")
-    N = F.col("N")
-    L, D = F.col("L"), F.col("D")
-    R = N - F.col("Xlt")
-    U = N - F.col("Ylt")
-    LD = F.col("LD")
-    LU = L - F.col("LYlt")
-    RD = D - F.col("XltD")
-    RU = N - F.col("Xlt") - F.col("Ylt") + F.col("XltYlt")
-    non = L + R + D + U - LD - LU - RD - RU
-    return out.select("id", grp, (N - non - 1).cast("bigint").alias("n_overlap"))
+    return parts.groupBy("qid").agg(F.sum("n").alias("n"))
+
+
+# The one-sided counts: (item coordinate, query coordinate, its offset). An
+# item is counted when its coordinate is at most the query's plus the offset.
+_SIDES = {"L": ("x2", "x", 0), "Xlt": ("x", "x2", -1), "D": ("y2", "y", 0), "Ylt": ("y", "y2", -1)}
+_CORNERS = {"LD": ("L", "D"), "LYlt": ("L", "Ylt"), "XltD": ("Xlt", "D"), "XltYlt": ("Xlt", "Ylt")}
+
+
+def _ranked(boxes: DataFrame, grp: str) -> DataFrame:
+    """Boxes with their four coordinates replaced by dense ranks (from 0) among
+    the image's coordinates of that axis, and ``levels``, the bits these need.
+    Ranks keep every comparison, so coordinates may be negative or real."""
+    ends = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(end).alias("end"), F.col(end).cast("double").alias("v"))
+                     for axis, end in (("x", "x"), ("x", "x2"), ("y", "y"), ("y", "y2"))])
+    long = boxes.select("id", grp, F.explode(ends).alias("e")).select("id", grp, "e.*")
+    values = long.select(grp, "axis", "v").distinct()
+    ranks = values.withColumn("r", F.row_number().over(Window.partitionBy(grp, "axis").orderBy("v")) - 1)
+    top = ranks.groupBy(grp).agg(F.max("r").alias("top"))
+    wide = long.join(ranks, [grp, "axis", "v"]).groupBy("id", grp).agg(
+        *[F.max(F.when(F.col("end") == e, F.col("r"))).alias(e) for e in ("x", "x2", "y", "y2")])
+    return wide.join(top, grp).withColumn("levels", F.length(F.bin("top")) + 1).drop("top")
+
+
+def overlap_counts(boxes: DataFrame, grp: str = "img") -> DataFrame:
+    """(id, grp, x, y, w, h) → (id, grp, n_overlap): boxes of the same group
+    that share a positive area with each box, itself excluded. A box without
+    an area (w or h not above 0) overlaps nothing. One way for all sizes:
+    all one-sided counts are one tagged pass, all corner counts another."""
+    solid = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).select(
+        "id", grp, "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    b = _ranked(solid, grp)
+
+    def tagged(rows: dict) -> DataFrame:
+        return b.select(grp, "id", "levels", F.explode(F.array(*[
+            F.struct(F.lit(t).alias("term"), *cols) for t, cols in rows.items()])).alias("t")).select(grp, "id", "levels", "t.*")
+
+    def query(side: str):
+        _, q, off = _SIDES[side]
+        return F.col(q) + off
+
+    qid = F.struct("id", "term").alias("qid")
+    one = count_le(tagged({t: [F.col(s[0]).alias("k")] for t, s in _SIDES.items()}).select(grp, "term", "k"),
+                   tagged({t: [query(t).alias("k")] for t in _SIDES}).select(grp, "term", qid, "k"), [grp, "term"])
+    two = dominance_count(
+        tagged({t: [F.col(_SIDES[p][0]).alias("ix"), F.col(_SIDES[q][0]).alias("iy")] for t, (p, q) in _CORNERS.items()}),
+        tagged({t: [query(p).alias("qx"), query(q).alias("qy")] for t, (p, q) in _CORNERS.items()}).withColumn("qid", qid),
+        [grp, "term"])
+    terms = one.unionByName(two).groupBy(F.col("qid.id").alias("id")).agg(
+        *[F.sum(F.when(F.col("qid.term") == t, F.col("n")).otherwise(0)).alias(t) for t in (*_SIDES, *_CORNERS)])
+    n = solid.groupBy(grp).agg(F.count("*").alias("N"))
+    # not overlapping: left + right + below + above - the four corners
+    right, up = F.col("N") - F.col("Xlt"), F.col("N") - F.col("Ylt")
+    lu, rd = F.col("L") - F.col("LYlt"), F.col("D") - F.col("XltD")
+    ru = F.col("N") - F.col("Xlt") - F.col("Ylt") + F.col("XltYlt")
+    apart = F.col("L") + right + F.col("D") + up - F.col("LD") - lu - rd - ru
+    found = solid.select("id", grp).join(n, grp).join(terms, "id").select("id", (F.col("N") - apart - 1).alias("_c"))
+    return boxes.select("id", grp).join(found, "id", "left").select(
+        "id", grp, F.coalesce("_c", F.lit(0)).cast("bigint").alias("n_overlap"))
 
 
 def neighbour_filter(boxes: DataFrame, min_neighbors: int = 3, min_w: int = 30, min_h: int = 30,

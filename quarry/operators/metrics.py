@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import ensure_checkpoint_dir
+
 
 def accuracy(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame:
     return df.agg(F.count("*").alias("n"),
                   F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"))
 
 
-MAX_CLASSES = 1000  # K×K grid is built from the (size-checked) class list
-
-
 def confusion_matrix(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame:
     """actual × predicted counts over all classes seen on either side, zero
-    filled. Classes are few (bounded label set); counts use partial agg."""
-    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
-        F.count("*").alias("n"))
-    classes = (df.select(F.col(actual).alias("c")).union(df.select(F.col(predicted).alias("c")))
-               .distinct().limit(MAX_CLASSES + 1).collect())
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    labels = [r[0] for r in classes]
-    grid = df.sparkSession.createDataFrame(
-        [(a, b) for a in labels for b in labels], counts.select("actual", "predicted").schema)
-    return (grid.join(counts, ["actual", "predicted"], "left")
+    filled. A null label is a class of its own, so the counts always add up
+    to the rows. The grid is the class list against itself (the K² rows that
+    the result has anyway)."""
+    counts = df.groupBy(F.col(actual).alias("_a"), F.col(predicted).alias("_p")).agg(F.count("*").alias("n"))
+    classes = counts.select(F.col("_a").alias("c")).union(counts.select(F.col("_p").alias("c"))).distinct()
+    grid = classes.select(F.col("c").alias("actual")).crossJoin(classes.select(F.col("c").alias("predicted")))
+    return (grid.join(counts, F.col("actual").eqNullSafe(F.col("_a")) & F.col("predicted").eqNullSafe(F.col("_p")), "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -34,9 +29,11 @@ def classification_report(df: DataFrame, actual="actual", predicted="predicted")
     """Per class precision, recall, F1, support; then accuracy, macro and
     weighted averages as extra rows (``label`` = 'accuracy', 'macro avg',
     'weighted avg'); undefined ratios are 0."""
-    from pyspark import StorageLevel
-    # the K×K matrix feeds four small aggregates: compute it once
-    cm = confusion_matrix(df, actual, predicted).persist(StorageLevel.MEMORY_AND_DISK)
+    # the K×K matrix feeds four small aggregates: compute it once. Rows without
+    # one of the labels can't be judged and are left out.
+    ensure_checkpoint_dir(df.sparkSession)
+    cm = confusion_matrix(df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull()),
+                          actual, predicted).checkpoint()
     per = cm.groupBy(F.col("actual").alias("c")).agg(
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum("n").alias("support"))

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -26,16 +25,16 @@ from quarry.operators.profile import global_index
 
 # ---------------------------------------------------------------- features
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> tuple[DataFrame, PipelineModel]:
-    """Code = 0-based rank of the value in sorted distinct order (the
-    mapping is the fitted model, reusable on other tables)."""
-    stages = [StringIndexer(inputCol=c, outputCol=c + "_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in cols]
-    model = Pipeline(stages=stages).fit(df)
-    out = model.transform(df)
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Code = 0-based rank of the value in sorted distinct order; null stays
+    null. The mapping of each column is a table (value, code) made in Spark,
+    reusable on other tables by the same left join."""
+    out, maps = df, {}
     for c in cols:
-        out = out.withColumn(c + suffix, F.col(c + "_idx").cast("int")).drop(c + "_idx")
-    return out, model
+        values = df.select(F.col(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+        maps[c] = global_index(values, ["_v"], name="_code").select("_v", F.col("_code").cast("int").alias("_code"))
+        out = out.join(maps[c], F.col(c) == F.col("_v"), "left").withColumnRenamed("_code", c + suffix).drop("_v")
+    return out, maps
 
 
 def standardize(train: DataFrame, apply_to: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
@@ -77,6 +76,9 @@ def assemble(cols: list[str], out: str = "features") -> VectorAssembler:
 
 # ---------------------------------------------------------------- models
 
+MAX_DEPTH = 30  # Spark's deepest tree: stands for "unbounded"
+
+
 def rf_regressor(label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestRegressor:
     # min_samples_split has no Spark twin; minInstancesPerNode is the nearest knob (kept at 1).
     return RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
@@ -90,7 +92,7 @@ def logistic(label: str, max_iter: int = 1000, c: float | None = None, n: int |
                               family="multinomial")
 
 
-def rf_classifier(label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
+def rf_classifier(label: str, trees: int = 100, depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
 
 
@@ -101,14 +103,16 @@ def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42, parallelism: i
                      parallelism=parallelism)
 
 
+TRAIN_PARTITIONS = 16
+
+
 def training_frame(df: DataFrame) -> DataFrame:
-    """Iterative learners scan their input many times: spread it over at
-    least one partition per core and keep it (memory, spilling to disk)."""
+    """Iterative learners scan their input many times: spread it by the first
+    column over a fixed number of partitions (one per core on larger
+    clusters) and keep it (memory, spilling to disk)."""
     from pyspark import StorageLevel
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.repartition(max(par, TRAIN_PARTITIONS), *df.columns[:1]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def accuracy_of(pred: DataFrame, label: str) -> float:
@@ -160,24 +164,26 @@ def feature_importance(model, names: list[str]) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
-def calibrated_svm(train: DataFrame, label: str, n_classes: int, reg: float = 0.0, max_iter: int = 100):
+def calibrated_svm(train: DataFrame, label: str, n_classes: int, reg: float = 0.0, max_iter: int = 2000):
     """Linear SVM per class (one-vs-rest) with sigmoid-calibrated
-    probabilities: each class margin is mapped through a 1-feature logistic
-    regression fitted on the margins of a held-out half, then the class
-    probabilities are normalised to sum to 1. Returns a scoring function."""
-    fit_part = train.filter(F.pmod(F.xxhash64(*train.columns[:1]), F.lit(2)) == 0)
-    cal_part = train.filter(F.pmod(F.xxhash64(*train.columns[:1]), F.lit(2)) == 1)
+    probabilities, cross-fitted: each half of the rows gets its margins from
+    an SVM trained on the other half, a 1-feature logistic regression maps
+    these margins to probabilities, and the SVM that serves is trained on all
+    rows. Class probabilities are normalised to sum to 1. Returns a scoring
+    function."""
+    half = F.pmod(F.xxhash64(*train.columns[:1]), F.lit(2))
     svms, cals = [], []
+
+    def margins(svm, rows):
+        return svm.transform(rows).withColumn("_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
+
     for k in range(n_classes):
-        y = (F.col(label) == k).cast("double")
-        svm = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(
-            fit_part.withColumn("_y", y))
-        marg = svm.transform(cal_part.withColumn("_y", y)).withColumn(
-            "_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-        cal = LogisticRegression(featuresCol="_mv", labelCol="_y").fit(
-            VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(marg))
-        svms.append(svm)
-        cals.append(cal)
+        svc = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter)
+        rows = train.withColumn("_y", (F.col(label) == k).cast("double")).withColumn("_half", half)
+        apart = [margins(svc.fit(rows.filter(F.col("_half") != h)), rows.filter(F.col("_half") == h)) for h in (0, 1)]
+        cals.append(LogisticRegression(featuresCol="_mv", labelCol="_y").fit(
+            VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(apart[0].unionByName(apart[1]))))
+        svms.append(svc.fit(rows))
 
     def score(df: DataFrame) -> DataFrame:
         out = df

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row in partition
 
 
@@ -18,26 +20,30 @@ def global_index(df: DataFrame, order: list, n_parts: int | None = None,
                  name: str = "_idx") -> DataFrame:
     """0-based position of each row in the total order ``order``.
 
-    Distributed two-pass method: range-partition on the order (sampled
-    bounds split hot values only if the order is total, so pass a unique
-    tie-break last), sort inside partitions, take the in-partition position,
-    then add the row count of all earlier partitions. The per-partition
-    count table has one row per partition and is broadcast. No window over
-    the whole table, so nothing is gathered into one task.
+    Range-partition on the order (give it a unique tie-break last: bounds
+    can split hot values only if the order is total), sort inside the
+    partitions, take the place in the partition, and add the row counts of
+    all earlier partitions. The sorted rows are written to the checkpoint
+    folder with partition and place in them first: rows and counts must come
+    from one and the same layout, and two evaluations of a range exchange
+    need not sample the same bounds (they differ as soon as one of them is
+    pruned to other columns). The count table has one row per partition.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_mid", F.monotonically_increasing_id())
          .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+         .drop("_mid").checkpoint())
     counts = s.groupBy("_pid").agg(F.count("*").alias("_n"))
     offs = counts.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     return (s.join(F.broadcast(offs), "_pid")
             .withColumn(name, F.col("_off") + F.col("_loc"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+            .drop("_pid", "_loc", "_off"))
 
 
 def unpivot_columns(df: DataFrame, ids: list[str], cols: list[str], var="column",
@@ -89,7 +95,9 @@ def _prefix_counts(df: DataFrame, order: list[str], weight: str = "c") -> DataFr
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_in", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    # (checkpointed: see global_index)
+    ensure_checkpoint_dir(spark)
+    s = s.withColumn("_in", F.coalesce(F.sum(weight).over(w), F.lit(0))).checkpoint()
     tot = s.groupBy("_pid").agg(F.sum(weight).alias("_t"))
     offs = tot.select("_pid", F.coalesce(F.sum("_t").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
@@ -97,7 +105,8 @@ def _prefix_counts(df: DataFrame, order: list[str], weight: str = "c") -> DataFr
     # subtract everything belonging to earlier values of the first order column
     first = order[0]
     starts = g.groupBy(first).agg(F.min("_glob").alias("_start"))
-    return g.join(starts, first).withColumn("before", F.col("_glob") - F.col("_start")).drop(
+    # (one row per value of the first order column: the caller's list of columns)
+    return g.join(F.broadcast(starts), first).withColumn("before", F.col("_glob") - F.col("_start")).drop(
         "_pid", "_in", "_off", "_glob", "_start")
 
 
@@ -116,11 +125,14 @@ def table_info(df: DataFrame) -> DataFrame:
 
 def histogram_bins(df: DataFrame, col: str, n_bins: int) -> DataFrame:
     """Equal-width bins over [min, max], last bin right-closed, nulls ignored;
-    empty bins kept (joined from the bin range)."""
+    empty bins kept (joined from the bin range). A constant column gets the
+    range of width one around its value; without values the edges are null."""
     spark = df.sparkSession
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     lo_v, hi_v = v.agg(F.min("v"), F.max("v")).first()  # one row: the range
-    lo, hi = F.lit(lo_v), F.lit(hi_v)
+    if lo_v is not None and lo_v == hi_v:
+        lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
+    lo, hi = F.lit(lo_v).cast("double"), F.lit(hi_v).cast("double")
     binned = (v.select(F.least(F.floor((F.col("v") - lo) / (hi - lo) * n_bins).cast("int"),
                                F.lit(n_bins - 1)).alias("bin"))
               .groupBy("bin").agg(F.count("*").alias("n")))

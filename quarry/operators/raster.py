@@ -197,8 +197,9 @@ def log_transform(r: DataFrame) -> DataFrame:
     """c·ln(1+v) with c = 255/ln(1+max of the image), truncated."""
     mx = r.groupBy("img").agg(F.max("v").alias("mx"))
     j = r.join(mx, "img")
-    c = F.lit(255.0) / F.log(F.lit(1.0) + F.col("mx"))
-    val = F.when(F.col("mx") > 0, F.floor(c * F.log(F.lit(1.0) + F.col("v")))).otherwise(F.lit(0))
+    # as 255·ln(1+v)/ln(1+max), the maximum itself to 255: no rounding takes it below
+    val = (F.when(F.col("mx") == 0, F.lit(0)).when(F.col("v") == F.col("mx"), F.lit(255))
+           .otherwise(F.floor(F.lit(255.0) * F.log(F.lit(1.0) + F.col("v")) / F.log(F.lit(1.0) + F.col("mx")))))
     return j.select(*KEYS, val.cast("int").alias("v"))
 
 
@@ -544,9 +545,7 @@ def canny(g: DataFrame, low: float = 100.0, high: float = 700.0) -> DataFrame:
     from quarry.operators.graph import reachability
 
     c = edge_candidates(g, low, high)
-    node = (F.col("img") * F.lit(1 << 40) + F.col("ch") * F.lit(1 << 32)
-            + F.col("y") * F.lit(1 << 16) + F.col("x"))
-    cand = c.withColumn("node", node)
+    cand = c.withColumn("node", F.struct(*KEYS))
     offs = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
                                for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]))
     nbr = (cand.withColumn("o", offs)

@@ -138,7 +138,7 @@ def train_rf_classifier(spark, d):
 @register("train_gbt_classifier")
 def train_gbt_classifier(spark, d):
     train, test = _orders_split(spark, d)
-    m = ML.gbt_multiclass("label", CHECK_GBT_ROUNDS).fit(train)
+    m = ML.gbt_multiclass("label", 100).fit(train)
     return _metrics_row(spark, "gbt_ovr", train.count(), test.count(), "accuracy",
                         ML.accuracy_of(m.transform(test), "label"))
 
@@ -148,7 +148,7 @@ def train_svm_calibrated(spark, d):
     """Text task: calibrated one-vs-rest linear SVM on TF-IDF features."""
     docs, labels = doc_table(Tables(spark, d))
     train, test = ML.training_frame(docs.filter(F.col("split") == "train")), docs.filter(F.col("split") == "test")
-    score = ML.calibrated_svm(train.select("doc_id", "label", "features"), "label", len(labels), max_iter=50)
+    score = ML.calibrated_svm(train.select("doc_id", "label", "features"), "label", len(labels))
     pred = score(test.select("doc_id", "label", "features"))
     return _metrics_row(spark, "svm_calibrated", train.count(), test.count(), "accuracy",
                         ML.accuracy_of(pred, "label"))
@@ -160,17 +160,12 @@ def compare_models(spark, d):
     best by validation."""
     train, test = _orders_split(spark, d)
     ests = {"logistic": ML.logistic("label", 1000), "random_forest": ML.rf_classifier("label", 100),
-            "gbt_ovr": ML.gbt_multiclass("label", CHECK_GBT_ROUNDS)}
+            "gbt_ovr": ML.gbt_multiclass("label", 100)}
     return ML.compare_models(train, test, "label", ests)
 
 
-# Model sizes of the registered check jobs. The operators default to the
-# source's sizes (100 boosting rounds; grid numTrees [100, 200] x maxDepth
-# [10, 20, unbounded -> 30]); the registered jobs keep the same shape (3
-# models, a 2x3 grid, 3 folds) at smaller sizes so the rows-only check of
-# every model job finishes in about a minute on one machine.
-CHECK_GBT_ROUNDS = 20
-GRID = {"numTrees": [10, 20], "maxDepth": [4, 8, 12]}
+# numTrees x maxDepth; the deepest stands for unbounded.
+GRID = {"numTrees": [100, 200], "maxDepth": [10, 20, ML.MAX_DEPTH]}
 
 
 @register("grid_search_cv")
@@ -215,7 +210,7 @@ def predict_topk_enriched(spark, d):
                        R("score", 1).alias("score"), T.band_label("score").alias("b"))
     return (top.join(F.broadcast(info), "label", "left")  # one row per class
             .select("doc_id", "rank", "label", "confidence",
-                    F.coalesce("description", F.lit("No description available.")).alias("description"),
+                    F.coalesce("description", F.lit("(not described)")).alias("description"),
                     F.col("b.label").alias("severity"), F.col("b.colour").alias("colour"), "score"))
 
 
@@ -224,7 +219,7 @@ def sink_model(spark, d):
     """Persist a fitted pipeline, reload it, and score with both: the
     predictions must agree row by row."""
     train, test = _orders_split(spark, d)
-    pipe = Pipeline(stages=[ML.rf_classifier("label", 20)])
+    pipe = Pipeline(stages=[ML.rf_classifier("label", 100)])
     model = pipe.fit(train)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)

@@ -62,11 +62,12 @@ def sort_desc(spark, d):
 
 
 @register("sorted_dictionary", sql="""
-SELECT row_number() OVER (ORDER BY name)::BIGINT AS pos, name FROM (
-  SELECT replace(trim(p_name, ' ' || chr(9) || chr(10) || chr(13)), '_', ' ') AS name FROM part)""")
+SELECT row_number() OVER (ORDER BY name, p_partkey)::BIGINT AS pos, p_partkey, name FROM (
+  SELECT p_partkey, replace(trim(p_name, ' ' || chr(9) || chr(10) || chr(13)), '_', ' ') AS name FROM part)""")
 def sorted_dictionary(spark, d):
-    p = Tables(spark, d).part.select(F.translate(T.strip_ws("p_name"), "_", " ").alias("name"))
-    return RK.sequential_id(p, ["name"], name="pos")
+    p = Tables(spark, d).part.select("p_partkey", F.translate(T.strip_ws("p_name"), "_", " ").alias("name"))
+    # the key breaks ties, so that a frequent name can be split over partitions
+    return RK.sequential_id(p, ["name", "p_partkey"], name="pos")
 
 
 @register("array_head", sql="""

@@ -162,14 +162,7 @@ SELECT img, ch, y, x, CASE WHEN mx = 0 THEN 0 WHEN v = mx THEN 255
        ELSE floor({D(255)} * ln(1.0::DOUBLE + v) / ln(1.0::DOUBLE + mx)) END::INTEGER AS v
 FROM raster JOIN (SELECT img, max(v) AS mx FROM raster GROUP BY 1) USING (img)"""))
 def raster_log(spark, d):
-    """c·ln(1+v), c = 255/ln(1+max): computed as 255·ln(1+v)/ln(1+max),
-    with the image maximum mapped to 255 exactly."""
-    r = raster(Tables(spark, d))
-    mx = r.groupBy("img").agg(F.max("v").alias("mx"))
-    j = r.join(mx, "img")
-    val = (F.when(F.col("mx") == 0, F.lit(0)).when(F.col("v") == F.col("mx"), F.lit(255))
-           .otherwise(F.floor(F.lit(255.0) * F.log(F.lit(1.0) + F.col("v")) / F.log(F.lit(1.0) + F.col("mx")))))
-    return j.select(*RA.KEYS, val.cast("int").alias("v"))
+    return RA.log_transform(raster(Tables(spark, d)))
 
 
 GAMMAS = (0.1, 0.5, 1.2, 2.2)
@@ -498,5 +491,5 @@ SELECT g.img, g.ch, g.y, g.x, CASE WHEN r.img IS NULL THEN 0 ELSE 255 END AS v
 FROM gray g LEFT JOIN (SELECT DISTINCT * FROM reach) r USING (img, ch, y, x)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def raster_edges(spark, d):
     """Gradient edges (Sobel, L1 magnitude, non-maximum suppression,
-    hysteresis 100/700) on the gray rasters."""
+    hysteresis 100/250, see above) on the gray rasters."""
     return RA.canny(gray(Tables(spark, d)), EDGE_LOW, EDGE_HIGH)

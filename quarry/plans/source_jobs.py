@@ -14,9 +14,6 @@ from quarry.sources import files as FS
 from quarry.sources.tables import Tables
 
 CUSTOMER_DDL = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-PART_DDL = ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
-            "p_retailprice double")
-
 
 @register("scan_csv", sql="SELECT * FROM customer")
 def scan_csv(spark, d):
@@ -38,13 +35,13 @@ ORDERS_NOSTATUS_DDL = ("o_orderkey bigint, o_custkey bigint, o_totalprice double
 SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus AS status FROM orders""")
 def scan_recursive_union(spark, d):
     """orders land as CSV in nested per-status folders plus one junk file;
-    the recursive scan stacks them all, drops the junk rows, and recovers
-    the status from each file's path."""
+    the recursive scan stacks them all, sets the junk rows apart, and
+    recovers the status from each file's path."""
     root = scratch_path(spark, "orders-tree")
     FS.write_csv(Tables(spark, d).orders, root, partition_by=["o_orderstatus"])
     junk = spark.createDataFrame([("not-a-key", "x", "y", "z", "w")], "a string, b string, c string, d string, e string")
     junk.coalesce(1).write.mode("append").option("header", True).csv(f"{root}/o_orderstatus=JUNK/deeper")
-    df = FS.read_csv_tree(spark, root, ORDERS_NOSTATUS_DDL)
+    df, _rejects = FS.read_csv_tree(spark, root, ORDERS_NOSTATUS_DDL)
     return df.select("o_orderkey", "o_totalprice", "o_orderdate",
                      F.regexp_extract("_path", r"o_orderstatus=([^/]+)/", 1).alias("status"))
 
@@ -70,10 +67,20 @@ def materialize_or_reuse(spark, d):
     return FS.materialize_or_reuse(spark, path, build, check)
 
 
-@register("sink_csv", sql="SELECT * FROM part")
+DOCS_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@register("sink_csv", sql="""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' || text || chr(9) WHEN 1 THEN '"' || text || '",' WHEN 2 THEN ''
+       WHEN 3 THEN NULL ELSE text END AS text, lang, source, n_chars FROM documents""")
 def sink_csv(spark, d):
-    path = FS.write_csv(Tables(spark, d).part, scratch_path(spark, "part-csv"))
-    return FS.read_csv(spark, path, PART_DDL)
+    """Whole texts with blanks at the ends, quotes, line ends, empty and null
+    cells come back unchanged."""
+    k = F.col("doc_id") % 5
+    text = (F.when(k == 0, F.concat(F.lit("  "), "text", F.lit("\t"))).when(k == 1, F.concat(F.lit('"'), "text", F.lit('",')))
+            .when(k == 2, F.lit("")).when(k == 3, F.lit(None)).otherwise(F.col("text")))
+    path = FS.write_csv(Tables(spark, d).documents.withColumn("text", text), scratch_path(spark, "documents-csv"))
+    return FS.read_csv(spark, path, DOCS_DDL)
 
 
 @register("sink_vectors", sql="SELECT vec_id, embedding FROM embeddings")

@@ -83,11 +83,14 @@ def stream_validate_score(spark, d):
     stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", conv.schema).filter(F.col("role") == "user")
     checked = validate_requests(stream.select("conv_id", "turn", "text"))
     tokens = T.preprocess_tokens(T.synonym_rewrite(F.lower(T.strip_ws("text"))))
-    scored = lexicon_sentiment(checked, "turn", tokens, FX.LEXICON)
-    scored = scored.withColumn("polarity", F.when(F.col("status") == "accepted", F.col("polarity")))
+
+    def score(batch):
+        s = lexicon_sentiment(batch, ["conv_id", "turn"], tokens, FX.LEXICON)
+        s = s.withColumn("polarity", F.when(F.col("status") == "accepted", F.col("polarity")))
+        return s.select("conv_id", "turn", "status", "error", "polarity")
+
     ok, bad = scratch_path(spark, "accepted"), scratch_path(spark, "rejected")
-    SJ.run_foreach_batch(scored.select("conv_id", "turn", "status", "error", "polarity"),
-                         SJ.two_sink_writer(ok, bad), ok + "-ckpt")
+    SJ.run_foreach_batch(checked, SJ.two_sink_writer(ok, bad, prepare=score), ok + "-ckpt")
     a = spark.read.parquet(ok).select("conv_id", "turn", F.lit("accepted").alias("sink"), "error", "polarity")
     b = spark.read.parquet(bad).select("conv_id", "turn", F.lit("rejected").alias("sink"), "error", "polarity")
     return a.unionByName(b)

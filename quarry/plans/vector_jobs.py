@@ -132,7 +132,10 @@ def text_search(spark, d):
     kNN engine on sparse rows → source fields joined back."""
     t = Tables(spark, d)
     long, vocab = doc_tfidf(spark, d)
-    base = TF.sparse_rows(long, "doc_id").withColumnRenamed("doc_id", "id")
+    # documents with no vocabulary term stay candidates, as zero vectors
+    base = (t.documents.select("doc_id").join(TF.sparse_rows(long, "doc_id"), "doc_id", "left")
+            .select(F.col("doc_id").alias("id"), F.coalesce("idx", F.array().cast("array<int>")).alias("idx"),
+                    F.coalesce("val", F.array().cast("array<double>")).alias("val")))
     qtok = TF.with_ngrams(t.benchmark.select(F.col("item_id").alias("qid"), "text"),
                           T.preprocess_tokens(T.clean_text("text"))).select("qid", "terms")
     qcounts = (TF.explode_terms(qtok, ["qid"], "terms", "term").groupBy("qid", "term")

@@ -47,8 +47,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is
-    set (local tests) do we create a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``; only on a local master
+    with nothing set (tests) do we create a scratch folder of our own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             named = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset conf raises
             named = None
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("QUARRY_SCRATCH", "/tmp"))
     sc.setCheckpointDir(named)

@@ -8,38 +8,68 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from quarry.session import ensure_checkpoint_dir
+
+
+# A null cell. Quoted empty cells are empty texts; a text equal to this mark
+# is the one value that a round trip can't keep.
+NULL_MARK = "\\N"
+_CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": NULL_MARK, "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CORRUPT = "_corrupt_record"
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Header line, no index column; overwrite (idempotent on task retry)."""
-    w = df.write.mode("overwrite").option("header", True)
+    """Header line, no index column; overwrite (idempotent on task retry).
+    Blanks, quotes, line ends, empty texts and nulls come back as they were."""
+    w = df.write.mode("overwrite").options(**_CSV).option("quoteAll", True)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
+def _schema(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str,
+                     **options) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the declared schema, rejects). Every record is parsed in
+    full whatever columns are used later, so both have the same rows for
+    every query; a reject keeps its line in ``_corrupt_record``. Quoted line
+    ends belong to their cell, so a file is read by one task."""
+    full = StructType([*_schema(schema).fields, StructField(CORRUPT, StringType())])
+    df = (spark.read.schema(full).options(**_CSV).options(multiLine=True, mode="PERMISSIVE", columnPruning=False,
+                                                          columnNameOfCorruptRecord=CORRUPT, **options).csv(path)
+          .withColumn("_path", F.col("_metadata.file_path")))
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint()  # both outputs come from one and the same parse
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select("_path", CORRUPT)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Typed CSV read: declared schema, header skipped (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Typed CSV read: declared schema, header skipped (no inference pass). A
+    row that doesn't fit fails the query instead of turning into nulls."""
+    return (spark.read.schema(schema).options(**_CSV)
+            .options(multiLine=True, mode="FAILFAST", columnPruning=False).csv(path))
 
 
 def read_csv_positional(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Header present but ignored: the declared names are applied by
     position (``enforceSchema``)."""
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path))
+    return (spark.read.schema(schema).options(**_CSV)
+            .options(multiLine=True, mode="FAILFAST", columnPruning=False, enforceSchema=True).csv(path))
 
 
 def read_csv_tree(spark: SparkSession, root: str, schema: StructType | str,
-                  glob: str = "*.csv") -> DataFrame:
-    """Every matching file below ``root`` (recursively), stacked; rows that
-    do not fit the schema are dropped, unreadable files skipped; the source
-    path is kept as ``_path``."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-            .option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True)
-            .csv(root).withColumn("_path", F.col("_metadata.file_path")))
+                  glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """Every matching file below ``root`` (recursively), stacked: (rows that fit
+    the schema, rejects). Unreadable files are skipped; the source path is
+    kept as ``_path``."""
+    return read_csv_checked(spark, root, schema, recursiveFileLookup=True, pathGlobFilter=glob, ignoreCorruptFiles=True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -110,11 +110,13 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(v)
 
 
-def two_sink_writer(ok_path: str, bad_path: str, split_col: str = "status", ok_value: str = "accepted"):
+def two_sink_writer(ok_path: str, bad_path: str, split_col: str = "status", ok_value: str = "accepted",
+                    prepare=None):
     """foreachBatch writer sending accepted rows and rejects to two tables
-    (per-batch folders, overwritten on replay)."""
+    (per-batch folders, overwritten on replay). ``prepare`` is applied to the
+    batch first: what needs joins or sums over the batch goes there."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = (prepare(batch) if prepare else batch).persist()
         batch.filter(F.col(split_col) == ok_value).write.mode("overwrite").parquet(f"{ok_path}/batch={batch_id}")
         batch.filter(F.col(split_col) != ok_value).write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
         batch.unpersist()

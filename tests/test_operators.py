@@ -105,16 +105,132 @@ def test_split_merge_round_trip(spark):
 
 
 def test_box_overlap_counts_match_brute_force(spark):
+    """Negative and real coordinates, boxes without an area, an image of many boxes."""
     import random
     from quarry.operators.boxes import overlap_counts
     rnd = random.Random(7)
     rows = []
-    for i in range(120):
+    for i in range(160):
         img = rnd.randrange(3) if i < 100 else 0  # image 0 is the hot one
-        rows.append((i, img, rnd.randrange(40), rnd.randrange(40), rnd.randrange(1, 15), rnd.randrange(1, 15)))
-    df = spark.createDataFrame(rows, "id bigint, img bigint, x bigint, y bigint, w int, h int")
-    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df, small_group=45).collect()}
+        rows.append((i, img, rnd.choice([rnd.randrange(-20, 20), rnd.uniform(-20, 20)]) * 1.0, rnd.randrange(-5, 40) * 1.0,
+                     rnd.choice([0.0, 0.5, rnd.randrange(1, 15) * 1.0]), rnd.choice([0.0, -1.0, 3.0, rnd.uniform(1, 15)])))
+    df = spark.createDataFrame(rows, "id bigint, img bigint, x double, y double, w double, h double")
+    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df).collect()}
     for a in rows:
-        want = sum(1 for b in rows if b[0] != a[0] and b[1] == a[1]
+        want = sum(1 for b in rows if b[0] != a[0] and b[1] == a[1] and min(a[4], a[5], b[4], b[5]) > 0
                    and b[2] < a[2] + a[4] and a[2] < b[2] + b[4] and b[3] < a[3] + a[5] and a[3] < b[3] + b[5])
         assert got[a[0]] == want
+    assert overlap_counts(df.limit(0)).count() == 0
+
+
+def test_global_index_with_payload_columns(spark):
+    """Ids are 1..n in order whatever the frame carries and later drops."""
+    from pyspark.sql import functions as F
+    from quarry.operators.ranking import sequential_id
+    df = spark.range(120_000).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.lit("x"), 40).alias("payload"),
+                                     (F.col("id") % 7).alias("cls"))
+    got = sequential_id(df.withColumnRenamed("id", "orig"), ["k"], name="pos")
+    assert got.select("pos").distinct().count() == 120_000
+    assert got.agg(F.min("pos"), F.max("pos")).first()[:] == (1, 120_000)
+    rows = got.filter("pos % 1000 = 1").orderBy("pos").collect()
+    ks = sorted(r.k for r in df.select("k").collect())
+    assert [r.k for r in rows] == ks[::1000] and len(rows[0].payload) == 40
+
+
+def test_split_stratified_with_payload_columns(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.ml import split_stratified
+    df = spark.range(50_000).select("id", (F.col("id") % 5).alias("cls"), F.repeat(F.lit("y"), 30).alias("payload"))
+    got = {r.cls: r.n for r in split_stratified(df, "cls", "id").filter("split = 'test'").groupBy("cls").agg(
+        F.count("*").alias("n")).collect()}
+    assert got == {k: 2000 for k in range(5)}
+
+
+def test_split_bucket_spreads_equal_steps(spark):
+    from pyspark.sql import functions as F
+    from quarry.functions.common import is_test
+    n = spark.range(20_000).select((F.col("id") * 100).alias("i")).filter(is_test("i")).count()
+    assert 3600 < n < 4400
+
+
+def test_csv_round_trip_keeps_every_cell(spark, tmp_path):
+    from quarry.sources import files as FS
+    rows = [(1, "  blanks  "), (2, 'quo"te, comma'), (3, "line\nend\r\nand \\ back\\n"), (4, ""), (5, None), (6, "\t"),
+            (7, "é漢🙂"), (8, '"'), (9, "a\rb"), (10, ",")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    path = FS.write_csv(df, str(tmp_path / "csv"))
+    back = FS.read_csv(spark, path, "id long, text string")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == rows
+    assert back.count() == back.select("id").count() == back.select("text").count() == len(rows)
+
+
+def test_csv_rejects_are_kept_apart(spark, tmp_path):
+    from quarry.sources import files as FS
+    root = tmp_path / "tree" / "a=1"
+    root.mkdir(parents=True)
+    (root / "x.csv").write_text('id,v\n1,2.5\nbad,3\n4,zz\n5,6\n')
+    good, bad = FS.read_csv_tree(spark, str(tmp_path / "tree"), "id long, v double")
+    assert good.count() == good.select("v").count() == len(good.collect()) == 2
+    assert sorted(r._corrupt_record for r in bad.collect()) == ["4,zz", "bad,3"]
+
+
+def test_confusion_matrix_counts_null_labels(spark):
+    from quarry.operators.metrics import classification_report, confusion_matrix
+    df = spark.createDataFrame([(1, 1), (None, 1), (0, None), (1, 0)], "actual int, predicted int")
+    got = {(r.actual, r.predicted): r.n for r in confusion_matrix(df).collect()}
+    assert len(got) == 9 and sum(got.values()) == 4 and got[None, 1] == 1 and got[0, None] == 1
+    assert {r.label: r.support for r in classification_report(df).collect()}["accuracy"] == 2
+
+
+def test_histogram_of_a_constant_column(spark):
+    from quarry.operators.profile import histogram_bins
+    df = spark.createDataFrame([(3.0,)] * 5 + [(None,)], "v double")
+    rows = sorted(map(tuple, histogram_bins(df, "v", 4).collect()))
+    assert (rows[0][1], rows[-1][2]) == (2.5, 3.5) and sum(r[3] for r in rows) == 5
+    assert [r[3] for r in sorted(map(tuple, histogram_bins(df.filter("v < 0"), "v", 2).collect()))] == [0, 0]
+
+
+def test_lexicon_with_repeated_words_and_shared_keys(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.text_features import lexicon_sentiment
+    df = spark.createDataFrame([(1, 1, "good bad good"), (1, 2, "none"), (2, 1, None)], "a int, b int, t string")
+    lex = [("good", 5, 2), ("good", 7, 1), ("bad", -4, 8)]
+    got = {(r.a, r.b): (r.n_hits, round(r.polarity, 6)) for r in lexicon_sentiment(df, ["a", "b"], F.split("t", " "), lex).collect()}
+    assert got == {(1, 1): (3, 0.2), (1, 2): (0, 0.0), (2, 1): (0, 0.0)}
+    many = [(f"w{i}", 1, 1) for i in range(25_000)] + [("good", 5, 2), ("bad", -4, 8)]
+    got = {(r.a, r.b): r.n_hits for r in lexicon_sentiment(df, ["a", "b"], F.split("t", " "), many).collect()}
+    assert got[1, 1] == 3
+
+
+def test_rules_of_any_number(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators import joins as J
+    rules = spark.createDataFrame([(i, f"L{i}", f"key{i:04d}") for i in range(1200)], "priority int, label string, keyword string")
+    df = spark.createDataFrame([("has key1100 and key0007",), ("key1199",), ("nothing",)], "t string")
+    got = [r.intent for r in J.keyword_classify(df, F.col("t"), rules, "none").collect()]
+    assert got == ["L7", "L1199", "none"]
+
+
+def test_label_encode_keeps_nulls(spark):
+    from quarry.operators.ml import label_encode
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id int, c string")
+    out, maps = label_encode(df, ["c"])
+    assert {r.id: r.c_code for r in out.collect()} == {1: 1, 2: None, 3: 0, 4: 1}
+    assert {r._v: r._code for r in maps["c"].collect()} == {"a": 0, "b": 1}
+
+
+def test_edges_at_the_default_thresholds_and_large_image_ids(spark):
+    """A high-contrast step edge at 100/700, image ids beyond 2^23, wide images."""
+    from quarry.operators import raster as RA
+    rows = [(1 << 40, 0, y, x, 255 if x >= 4 else 0) for y in range(6) for x in range(8)]
+    r = spark.createDataFrame(rows, "img bigint, ch int, y int, x int, v int")
+    got = {(t["y"], t["x"]) for t in RA.canny(r).filter("v = 255").collect()}
+    assert got and {x for _, x in got} <= {3, 4} and {y for y, _ in got} == set(range(6))
+
+
+def test_reachability_stops_at_the_goal(spark):
+    from quarry.operators.graph import reachability
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10)], "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "node int")
+    got = {r.node: r.hop for r in reachability(edges, seeds, goal=3).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}

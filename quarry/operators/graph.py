@@ -9,10 +9,12 @@ The loop ends when the frontier is empty (or the goal is reached).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, scratch_path
 
 
 COMPACT_EVERY = 16  # rounds after which the visited pieces are merged into one checkpoint
@@ -32,8 +34,13 @@ def reachability(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str
 
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    # the edge table is joined every round: materialise it once (reliably)
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct().checkpoint(eager=True)
+    # The edge table is joined every round: written once, bucketed by source in
+    # shared storage, so that a round exchanges only its frontier.
+    name = f"edges_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct().repartition(buckets, "_s")
+     .write.bucketBy(buckets, "_s").sortBy("_s").option("path", scratch_path(spark, name)).saveAsTable(name))
+    e = spark.table(name)
     first = seeds.select(F.col(node).alias(node)).distinct().withColumn("hop", F.lit(0)).checkpoint(eager=True)
     pieces = [first]
     frontier = first.select(node)
@@ -52,4 +59,5 @@ def reachability(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str
         if len(pieces) >= COMPACT_EVERY:
             pieces = [reduce(lambda a, b: a.unionByName(b), pieces).checkpoint(eager=True)]
         frontier = nxt.select(node)
+    spark.sql(f"DROP TABLE {name}")  # the files stay with the checkpoints; the result no longer needs them
     return reduce(lambda a, b: a.unionByName(b), pieces)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.text import round_half_up
+from quarry.session import ensure_checkpoint_dir
 
 QUERY_BLOCK_ROWS = 2048
 BASE_BLOCK_ROWS = 16384
@@ -87,12 +88,11 @@ def knn_topk(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2"
     'unit_l2' = squared Euclidean of unit vectors (2 − 2·dot). Ties are
     broken by the smaller id.
     """
-    from pyspark import StorageLevel
     spark = queries.sparkSession
-    # both sides are sized first and then scanned by the cogroup: keep them
-    # (memory, spilling to disk) so their upstream work runs once
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides are sized first and then scanned by the cogroup: checkpoint
+    # them so their upstream work runs once
+    ensure_checkpoint_dir(spark)
+    queries, base = queries.checkpoint(), base.checkpoint()
     nq = queries.count()
     nb = base.count()
     par = spark.sparkContext.defaultParallelism

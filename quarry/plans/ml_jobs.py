@@ -175,16 +175,20 @@ def grid_search_cv(spark, d):
     return res
 
 
-@register("refit_and_predict")
+@register("refit_and_predict", sql=f"""
+SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS id, o_orderkey, true AS known FROM orders
+WHERE {split_bucket_sql('o_orderkey')} < 20""")
 def refit_and_predict(spark, d):
     """Refit the chosen model on all training rows, predict the held-out
-    rows, write (id, prediction) as CSV with sequential ids, read back."""
+    rows, write (id, key, prediction) as CSV with sequential ids, read back.
+    ``known``: the prediction is one of the classes."""
     train, test = _orders_split(spark, d)
     m = ML.logistic("label", 1000).fit(train)
     pred = m.transform(test).select("o_orderkey", F.col("prediction").cast("int").alias("prediction"))
-    out = sequential_id(pred, ["o_orderkey"]).select("id", "prediction")
-    path = FS.write_csv(out, scratch_path(spark, "submission"))
-    return FS.read_csv(spark, path, "id bigint, prediction int")
+    path = FS.write_csv(sequential_id(pred, ["o_orderkey"]).select("id", "o_orderkey", "prediction"),
+                        scratch_path(spark, "submission"))
+    back = FS.read_csv(spark, path, "id bigint, o_orderkey bigint, prediction int")
+    return back.select("id", "o_orderkey", F.col("prediction").between(0, m.numClasses - 1).alias("known"))
 
 
 @register("feature_importance")
@@ -214,7 +218,8 @@ def predict_topk_enriched(spark, d):
                     F.col("b.label").alias("severity"), F.col("b.colour").alias("colour"), "score"))
 
 
-@register("sink_model")
+@register("sink_model", sql=f"""
+SELECT o_orderkey, true AS equal FROM orders WHERE {split_bucket_sql('o_orderkey')} < 20""")
 def sink_model(spark, d):
     """Persist a fitted pipeline, reload it, and score with both: the
     predictions must agree row by row."""
@@ -226,4 +231,4 @@ def sink_model(spark, d):
     again = PipelineModel.load(path)
     a = model.transform(test).select("o_orderkey", F.col("prediction").alias("before"))
     b = again.transform(test).select("o_orderkey", F.col("prediction").alias("after"))
-    return a.join(b, "o_orderkey").withColumn("equal", F.col("before") == F.col("after"))
+    return a.join(b, "o_orderkey").select("o_orderkey", (F.col("before") == F.col("after")).alias("equal"))

@@ -266,12 +266,15 @@ QS = [0.25, 0.5, 0.75]
 
 
 def describe_numeric(df, cols):
-    long = P.unpivot_columns(df, [], cols, cast="double").filter(F.col("value").isNotNull())
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        R(F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("value"), 6).alias("mean"),
-        R(F.stddev_samp("value"), 5).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    # one wide pass for all columns, turned to long form afterwards
+    row = df.agg(*[F.struct(
+        F.count(c).alias("count"),
+        R(F.sum(F.col(c).cast("double").cast("decimal(18,2)")).cast("double") / F.count(c), 6).alias("mean"),
+        R(F.stddev_samp(F.col(c).cast("double")), 5).alias("std"),
+        F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
+    per = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{f}").alias(f) for f in ("count", "mean", "std", "min", "max")])
+           for c in cols]
+    stats = row.select(F.explode(F.array(*per)).alias("s")).select("s.*").filter(F.col("count") > 0)
     q = P.exact_quantiles(df, cols, QS).groupBy("column").pivot("q", QS).agg(F.first("value"))
     q = q.select("column", *[R(F.col(f"`{x}`"), 6).alias(f"p{int(x * 100)}") for x in QS])
     return stats.join(q, "column")

@@ -16,10 +16,11 @@ R = T.round_half_up
 RS = S.round_half_up
 
 
-@register("sequential_id", sql="SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS id, o_orderkey FROM orders")
+@register("sequential_id", sql="""
+SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS id, o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders""")
 def sequential_id(spark, d):
-    o = Tables(spark, d).orders.select("o_orderkey")
-    return RK.sequential_id(o, ["o_orderkey"]).select("id", "o_orderkey")
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return RK.sequential_id(o, ["o_orderkey"])
 
 
 @register("latest_per_key", sql="""

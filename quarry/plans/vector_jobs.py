@@ -103,12 +103,14 @@ def tfidf_features(spark, d):
     return long.select("doc_id", "term", R("weight", 6).alias("weight"))
 
 
-@register("text_hash_embedding")
+@register("text_hash_embedding", sql=f"""
+WITH t AS (SELECT doc_id, unnest({S.preprocess_tokens(S.clean_text('text'))}) AS t FROM documents),
+c AS (SELECT doc_id, (('0x' || substring(md5(t), 1, 7))::BIGINT % 256)::INTEGER AS slot, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT doc_id, slot, {RS('n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)::DOUBLE)', 6)} AS weight FROM c""")
 def text_hash_embedding(spark, d):
-    """Substitute sentence encoder: hashed, L2-normalised token vector per
-    document (rows-only check: the hash is Spark's own)."""
+    """Substitute sentence encoder: hashed, L2-normalised token vector per document."""
     docs = Tables(spark, d).documents.select("doc_id", T.preprocess_tokens(T.clean_text("text")).alias("toks"))
-    return TF.hash_embedding(docs, "toks").select("doc_id", "vec")
+    return TF.hash_embedding(docs, "doc_id", "toks").withColumn("weight", R("weight", 6))
 
 
 _QUERY_TERMS = f"{_ngrams_sql('t')}"

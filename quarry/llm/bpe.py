@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from quarry.llm.chunks import ChunkMemo, Rules
 from quarry.llm.common import read
 
-PAIRS_KEPT = 300_000
+PAIRS_KEPT = 150_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -24,9 +24,9 @@ import numpy as np
 
 from quarry.llm.shingles import joined_words
 
-SLOT_BITS = 21
-POOL = 12_000_000
-KEPT = 400_000
+SLOT_BITS = 20
+POOL = 6_000_000
+KEPT = 200_000
 TURNS = 10
 LONGEST = 48
 

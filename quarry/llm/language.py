@@ -37,7 +37,7 @@ HIDDEN = 16
 STEPS = 700
 BATCH = 256
 LONGEST_SEGMENT = 64
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 MIN_SCORE = 0.5
 
 

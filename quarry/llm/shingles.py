@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 4
-PIECE = 1 << 20  # bytes hashed at a time (cut at white space)
+PIECE = 1 << 18  # bytes hashed at a time (cut at white space)
 
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Own sentiment lexicon, drawn from frequent tokens of `documents` after
 # preprocessing: (word, polarity in tenths, subjectivity in tenths).
@@ -71,20 +72,23 @@ WIDE_SLOTS = 7
 
 
 def wide_items(t) -> DataFrame:
-    """Per order, Item_k = max(p_name) of its lines with l_linenumber = k."""
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    """Wide rows of WIDE_SLOTS items: an order's lines in the order of
+    (l_linenumber, l_partkey), WIDE_SLOTS to a row; ``sheet`` numbers an order's
+    rows from 0, so no line is left out however many an order has."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    li = t.lineitem.select("l_orderkey", "l_partkey", (F.row_number().over(w) - 1).alias("n"))
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return (li.join(p, "l_partkey")
-            .groupBy("l_orderkey")
-            .pivot("l_linenumber", list(range(1, WIDE_SLOTS + 1)))
-            .agg(F.max("p_name"))
-            .select("l_orderkey", *[F.col(str(k)).alias(f"Item_{k}") for k in range(1, WIDE_SLOTS + 1)]))
+            .groupBy("l_orderkey", F.expr(f"CAST(n DIV {WIDE_SLOTS} AS int)").alias("sheet"))
+            .agg(*[F.max(F.when(F.col("n") % WIDE_SLOTS == k - 1, F.col("p_name"))).alias(f"Item_{k}")
+                   for k in range(1, WIDE_SLOTS + 1)]))
 
 
 WIDE_ITEMS_SQL = (
-    "SELECT l_orderkey, "
-    + ", ".join(f"max(p_name) FILTER (WHERE l_linenumber = {k}) AS Item_{k}" for k in range(1, WIDE_SLOTS + 1))
-    + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"
+    f"SELECT l_orderkey, (n // {WIDE_SLOTS})::INTEGER AS sheet, "
+    + ", ".join(f"max(p_name) FILTER (WHERE n % {WIDE_SLOTS} = {k - 1}) AS Item_{k}" for k in range(1, WIDE_SLOTS + 1))
+    + " FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1"
+    " AS n FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 )
 
 

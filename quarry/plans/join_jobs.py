@@ -15,13 +15,13 @@ _ITEMS = ", ".join(f"Item_{k}" for k in range(1, FX.WIDE_SLOTS + 1))
 
 
 @register("lookup_join_default", sql=f"""
-SELECT l_orderkey, slot, name, coalesce(weight, 0) AS weight
+SELECT l_orderkey, sheet, slot, name, coalesce(weight, 0) AS weight
 FROM (UNPIVOT ({FX.WIDE_ITEMS_SQL}) ON {_ITEMS} INTO NAME slot VALUE name) u
 LEFT JOIN ({FX.SIZE_LOOKUP_SQL}) lk USING (name)""")
 def lookup_join_default(spark, d):
     t = Tables(spark, d)
     wide = FX.wide_items(t)
-    long = wide.unpivot(["l_orderkey"], [c for c in wide.columns if c.startswith("Item_")], "slot", "name")
+    long = wide.unpivot(["l_orderkey", "sheet"], [c for c in wide.columns if c.startswith("Item_")], "slot", "name")
     long = long.filter(F.col("name").isNotNull())
     return J.lookup_default(long, FX.size_lookup(t), "name", "weight", 0)
 

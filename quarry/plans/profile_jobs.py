@@ -64,12 +64,12 @@ def select_feature_list(spark, d):
 _ITEMS = ", ".join(f"Item_{k}" for k in range(1, FX.WIDE_SLOTS + 1))
 
 
-@register("select_by_prefix", sql=f"SELECT l_orderkey, {_ITEMS} FROM ({FX.WIDE_ITEMS_SQL}) w "
+@register("select_by_prefix", sql=f"SELECT l_orderkey, sheet, {_ITEMS} FROM ({FX.WIDE_ITEMS_SQL}) w "
                                   "JOIN orders ON o_orderkey = l_orderkey")
 def select_by_prefix(spark, d):
     t = Tables(spark, d)
     wide = FX.wide_items(t).join(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
-    return wide.select("l_orderkey", *[c for c in wide.columns if c.startswith("Item_")])
+    return wide.select("l_orderkey", "sheet", *[c for c in wide.columns if c.startswith("Item_")])
 
 
 @register("drop_null_rows", sql=f"SELECT * FROM ({FX.NULL_PART_SQL}) WHERE p_brand IS NOT NULL AND p_size IS NOT NULL")
@@ -352,7 +352,7 @@ def order_severity(t):
     weight (missing → 0) and sum per order – one join, not one per slot."""
     wide = FX.wide_items(t)
     slots = [c for c in wide.columns if c.startswith("Item_")]
-    long = wide.unpivot(["l_orderkey"], slots, "slot", "name")
+    long = wide.unpivot(["l_orderkey", "sheet"], slots, "slot", "name")
     lk = FX.size_lookup(t)
     return (long.join(lk, "name", "left")
             .groupBy("l_orderkey")
@@ -384,20 +384,23 @@ ALERT_THRESHOLD = 3
 
 
 @register("threshold_alert", sql=f"""
-SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS n_errors,
-       count(*) FILTER (WHERE event_type = 'error') >= {ALERT_THRESHOLD} AS is_alert,
-       {ALERT_THRESHOLD} AS threshold,
-       CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= {ALERT_THRESHOLD}
-            THEN 'ALERT: ' || CAST(count(*) FILTER (WHERE event_type = 'error') AS VARCHAR) || ' errors for user '
-                 || CAST(user_id AS VARCHAR) || ' on ' || strftime(CAST(ts AS DATE), '%Y-%m-%d')
-            ELSE 'ok' END AS message
-FROM events GROUP BY user_id, CAST(ts AS DATE)""")
+WITH k AS (SELECT user_id, d::DATE AS day FROM (SELECT DISTINCT user_id FROM events),
+  (SELECT unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM events)),
+c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY ALL)
+SELECT user_id, day, coalesce(n, 0) AS n_errors, coalesce(n, 0) >= {ALERT_THRESHOLD} AS is_alert, {ALERT_THRESHOLD} AS threshold,
+       CASE WHEN n >= {ALERT_THRESHOLD} THEN 'ALERT: ' || CAST(n AS VARCHAR) || ' errors for user '
+                 || CAST(user_id AS VARCHAR) || ' on ' || strftime(day, '%Y-%m-%d') ELSE 'ok' END AS message
+FROM k LEFT JOIN c USING (user_id, day)""")
 def threshold_alert(spark, d):
-    """Count detections per key; every key is kept (zero counts too) since
-    the key table is the event table itself — one partial/final aggregate."""
+    """Count detections per key of a key table (every user on every day of the
+    period): keys without any event get a count of zero."""
     e = Tables(spark, d).events
-    g = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    first, last = e.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    days = F.sequence(F.lit(first), F.lit(last)) if first else F.array().cast("array<date>")
+    keys = e.select("user_id").distinct().select("user_id", F.explode(days).alias("day"))
+    counts = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count_if(F.col("event_type") == "error").alias("n"))
+    g = keys.join(counts, ["user_id", "day"], "left").select("user_id", "day", F.coalesce("n", F.lit(0)).alias("n_errors"))
     alert = F.col("n_errors") >= ALERT_THRESHOLD
     return g.select("user_id", "day", "n_errors", alert.alias("is_alert"),
                     F.lit(ALERT_THRESHOLD).alias("threshold"),

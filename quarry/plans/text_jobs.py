@@ -114,7 +114,7 @@ _ITEM_COLS = [f"Item_{k}" for k in range(1, FX.WIDE_SLOTS + 1)]
 
 
 @register("concat_nonblank", sql=f"""
-SELECT l_orderkey, array_to_string(list_filter(list_transform([{', '.join(_ITEM_COLS)}], lambda x: {S.strip_ws('x')}),
+SELECT l_orderkey, sheet, array_to_string(list_filter(list_transform([{', '.join(_ITEM_COLS)}], lambda x: {S.strip_ws('x')}),
        lambda x: x IS NOT NULL AND x <> ''), ' ') AS text FROM ({FX.WIDE_ITEMS_SQL})""")
 def concat_nonblank(spark, d):
     """Trimmed non-blank values of the Item_ columns, space-joined — one
@@ -122,7 +122,7 @@ def concat_nonblank(spark, d):
     wide = FX.wide_items(Tables(spark, d))
     arr = F.array(*[F.col(c) for c in wide.columns if c.startswith("Item_")])
     vals = F.filter(F.transform(arr, lambda x: T.strip_ws(x)), lambda x: x.isNotNull() & (x != ""))
-    return wide.select("l_orderkey", F.array_join(vals, " ").alias("text"))
+    return wide.select("l_orderkey", "sheet", F.array_join(vals, " ").alias("text"))
 
 
 @register("append_with_separator", sql="""

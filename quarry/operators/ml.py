@@ -93,7 +93,10 @@ def logistic(label: str, max_iter: int = 1000, c: float | None = None, n: int |
 
 
 def rf_classifier(label: str, trees: int = 100, depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    """Deep forests: node ids are kept with the rows instead of sending the
+    whole forest to every task at every level."""
+    return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed,
+                                  cacheNodeIds=True, maxMemoryInMB=1024)
 
 
 def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42, parallelism: int = 4) -> OneVsRest:

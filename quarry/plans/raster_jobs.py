@@ -365,6 +365,74 @@ def raster_translate(spark, d):
     return RA.translate(raster(Tables(spark, d)), 2, 1)
 
 
+def _affine_sql(m) -> str:
+    ia, ib, ic, id_, ie, if_ = _inverse(m)
+    return W(_bilinear_sql(f"""
+SELECT img, ch, yy::INTEGER AS y, xx::INTEGER AS x, h, w,
+       {D(ia)} * xx + {D(ib)} * yy + {D(ic)} AS sx, {D(id_)} * xx + {D(ie)} * yy + {D(if_)} AS sy
+FROM {_GRID_SQL}, LATERAL (SELECT unnest(range(h)) AS yy), LATERAL (SELECT unnest(range(w)) AS xx)""", clamp=False))
+
+
+SHEAR = [[1.0, -0.15, 0.0], [0.0, 1.0, 0.0]]
+QUARTER = [[1.0, 0.0, SIDE / 4], [0.0, 1.0, SIDE / 4]]
+
+
+@register("raster_shear", sql=_affine_sql(SHEAR))
+def raster_shear(spark, d):
+    """Horizontal shear by -0.15, bilinear, 0 outside."""
+    return RA.affine(raster(Tables(spark, d)), SHEAR)
+
+
+@register("raster_quarter_shift", sql=_affine_sql(QUARTER))
+def raster_quarter_shift(spark, d):
+    """Shift by a quarter of the image in both directions."""
+    return RA.affine(raster(Tables(spark, d)), QUARTER)
+
+
+# The shifts towards the four edges (dx, dy), scaled to the fixture's 8 x 8 tiles.
+EDGE_SHIFTS = {"left": (-2, 0), "right": (2, 0), "top": (0, 2), "bottom": (0, -2)}
+
+
+@register("raster_edge_shifts", sql=W(" UNION ALL ".join(f"""
+SELECT '{name}' AS edge, c.img, c.ch, yy::INTEGER AS y, xx::INTEGER AS x, coalesce(r.v, 0) AS v
+FROM {_GRID_SQL}, LATERAL (SELECT unnest(range(h)) AS yy), LATERAL (SELECT unnest(range(w)) AS xx)
+LEFT JOIN raster r ON r.img = c.img AND r.ch = c.ch AND r.y = yy - ({dy}) AND r.x = xx - ({dx})"""
+    for name, (dx, dy) in EDGE_SHIFTS.items())))
+def raster_edge_shifts(spark, d):
+    """The image moved towards each of the four edges."""
+    r = raster(Tables(spark, d))
+    out = None
+    for name, (dx, dy) in EDGE_SHIFTS.items():
+        one = RA.translate(r, dx, dy).withColumn("edge", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("edge", *RA.KEYS, "v")
+
+
+ZOOM = 3
+_TAPS_SQL = "(VALUES " + ", ".join(
+    f"({p}, {off}, {', '.join(D(w) for w in ws)})" for p, (off, ws) in enumerate(RA.cubic_taps(ZOOM))
+) + ") AS tp(p, off, w0, w1, w2, w3)"
+
+
+def _cubic_pass(src: str, out: str, axis: str, size: str) -> str:
+    other = "y" if axis == "x" else "x"
+    at = ", ".join(f"least(greatest(i // {ZOOM} + off + {k - 1}, 0), n - 1)::INTEGER AS a{k}" for k in range(4))
+    joins = " ".join(f"JOIN {src} s{k} ON s{k}.img = t.img AND s{k}.ch = t.ch AND s{k}.{other} = t.{other} AND s{k}.{axis} = t.a{k}"
+                     for k in range(4))
+    return f"""{out}_i AS (SELECT img, ch, {other}, n, unnest(range(n * {ZOOM})) AS i FROM (
+  SELECT DISTINCT img, ch, {other}, {size} AS n FROM {src} JOIN dims USING (img))),
+{out}_t AS (SELECT img, ch, {other}, i::INTEGER AS {axis}, w0, w1, w2, w3, {at} FROM {out}_i JOIN {_TAPS_SQL} ON tp.p = i % {ZOOM}),
+{out} AS (SELECT t.img, t.ch, t.{other}, t.{axis}, w0 * s0.v + w1 * s1.v + w2 * s2.v + w3 * s3.v AS v FROM {out}_t t {joins})"""
+
+
+@register("raster_resize_cubic", sql=W(f""", src AS (SELECT img, ch, y, x, v::DOUBLE AS v FROM raster),
+{_cubic_pass('src', 'px', 'x', 'w')}, {_cubic_pass('px', 'py', 'y', 'h')}
+SELECT img, ch, y, x, {u8_sql('v')} AS v FROM py"""))
+def raster_resize_cubic(spark, d):
+    """Enlargement by three with cubic interpolation."""
+    return RA.resize_cubic(raster(Tables(spark, d)), ZOOM)
+
+
 PAD = 2
 BORDERS = ("constant", "constant_red", "reflect", "reflect101", "replicate")
 

@@ -61,6 +61,7 @@ def split_stratified(df: DataFrame, label: str, key: str, test_frac: float = 0.2
     per-class start offsets – no window over a whole class."""
     b = df.withColumn("_bucket", split_bucket(key))
     idx = global_index(b, [F.col(label), F.col("_bucket"), F.col(key)])
+    # (the positions come from one stored layout; class sizes from the table itself)
     per = df.groupBy(label).agg(F.count("*").alias("_n"))
     starts = per.select(label, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -70,6 +71,13 @@ def split_stratified(df: DataFrame, label: str, key: str, test_frac: float = 0.2
         "_bucket", "_idx", "_n", "_start")
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, out: str = "fold") -> DataFrame:
+    """Fold number by dealing each class out in (hash bucket, key) order: fold
+    sizes per class differ by one at most, whatever the partitioning."""
+    idx = global_index(df.withColumn("_bucket", split_bucket(key)), [F.col(label), F.col("_bucket"), F.col(key)])
+    return idx.withColumn(out, F.pmod("_idx", F.lit(folds)).cast("int")).drop("_bucket", "_idx")
+
+
 def assemble(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep")
 
@@ -137,18 +145,18 @@ def compare_models(train: DataFrame, valid: DataFrame, label: str, estimators: d
                                  "model string, train_acc double, valid_acc double, is_best boolean")
 
 
-def grid_search_cv(df: DataFrame, label: str, est, grid_spec: dict, folds: int = 3,
+def grid_search_cv(df: DataFrame, label: str, key: str, est, grid_spec: dict, folds: int = 3,
                    parallelism: int = 4, seed: int = 42):
-    """Cross-validated grid search (accuracy); returns (best model, result
-    rows per parameter combination)."""
+    """Cross-validated grid search (accuracy) over stratified folds; returns
+    (best model, result rows per parameter combination)."""
     b = ParamGridBuilder()
     for param, values in grid_spec.items():
         b = b.addGrid(getattr(est, param), values)
     grid = b.build()
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(df)
+                        parallelism=parallelism, seed=seed, foldCol="fold")
+    model = cv.fit(stratified_folds(df, label, key, folds))
     rows = []
     for pm, metric in zip(grid, model.avgMetrics):
         rows.append((", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(metric)))

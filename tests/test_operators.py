@@ -234,3 +234,20 @@ def test_reachability_stops_at_the_goal(spark):
     seeds = spark.createDataFrame([(0,)], "node int")
     got = {r.node: r.hop for r in reachability(edges, seeds, goal=3).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_stratified_folds_deal_every_class_out(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.ml import stratified_folds
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("cls"))
+    got = {(r.cls, r.fold): r.n for r in stratified_folds(df, "cls", "id").groupBy("cls", "fold").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {(c, f) for c in (0, 1) for f in range(3)}
+    assert all(abs(got[c, f] - n / 3) < 1 for c, n in ((0, 900), (1, 100)) for f in range(3))
+
+
+def test_cubic_weights_sum_to_one_and_keep_flat_images(spark):
+    from quarry.operators import raster as RA
+    assert all(abs(sum(w) - 1) < 1e-12 for _, w in RA.cubic_taps(3) + RA.cubic_taps(4))
+    r = spark.createDataFrame([(0, 0, y, x, 77) for y in range(3) for x in range(5)], "img bigint, ch int, y int, x int, v int")
+    got = RA.resize_cubic(r, 3).collect()
+    assert len(got) == 135 and {t["v"] for t in got} == {77}

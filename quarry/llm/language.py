@@ -38,7 +38,7 @@ STEPS = 700
 BATCH = 256
 LONGEST_SEGMENT = 64
 REMEMBERED = 150_000
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

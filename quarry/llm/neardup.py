@@ -42,6 +42,7 @@ NODE = 2048
 BRANCHES = 2
 DEPTH = 4
 BLOCK_SHINGLES = 1_000_000
+BLOCK_MEMBERS = 128
 SMALL_IDS = 1_000_000
 PERCENT = 80
 
@@ -274,10 +275,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     ids = clusters.select(F.col("cid").alias("doc_id"))
     texts = docs.join(F.broadcast(ids) if n <= SMALL_IDS else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "cid")
     member = clusters.join(classes.select("cid", "size"), "cid")
-    weight = member.groupBy("root").agg(F.sum("size").alias("weight"))
-    member = member.join(weight, "root").select(F.col("root").alias("grp"), "cid", "weight")
+    # Blocks of a cluster are small in members and in shingles, so that a large
+    # group of copies is many tasks.
+    per = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("k")
+    member = member.join(member.groupBy("root").agg(per), "root").select(F.col("root").alias("grp"), "cid", "k")
     sets = member.join(full_sets(texts), "cid")
-    links = grouped_edges(blocks(sets, F.ceil(F.col("weight") / BLOCK_SHINGLES)), ["full"], exact_like)
+    links = grouped_edges(blocks(sets, F.col("k")), ["full"], exact_like)
     roots = stored(components(links), "components")
     classed = classes.select("key", "cid").join(roots, "cid", "left").select(
         "key", F.coalesce("root", "cid").alias("root"))

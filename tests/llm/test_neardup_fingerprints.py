@@ -56,6 +56,7 @@ def test_op7_components_against_brute_force(spark, write, monkeypatch, small_nod
         monkeypatch.setattr(neardup, "NODE", 6)
         monkeypatch.setattr(neardup, "DEPTH", 2)
         monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 150)
+        monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 3)
     rows = corpus()
     sf = write("documents", [(d, t, "a", "b", None) for d, t in rows] + [(None, "one two", None, None, None)], DOCS)
     got = {r.doc_id: r for r in neardup.op7_chosen_path_dedup(spark, sf).collect()}

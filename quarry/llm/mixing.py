@@ -108,12 +108,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Leaves (domain, lang, source, tokens) with ``given``, ``whole`` epochs and
     ``rest`` of a further one. Rooms are summed up the tree, budgets go down it."""
     rooms = leaves.withColumn("room", F.col("tokens") * mix.epochs)
-    level = rooms.groupBy("domain").agg(F.sum("room").alias("room"))
-    total = leaves.agg(F.sum("tokens").alias("t")).select(
-        F.expr(f"CAST((CAST(t AS decimal(20,0)) * {mix.share_percent}) DIV 100 AS long)").alias("budget"))
-    room_all = rooms.agg(F.sum("room").alias("room_all"))
-    top = level.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(room_all)).withColumn(  # one-row tables
-        "budget", F.least("budget", "room_all")).drop("room_all")
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0  # one number
+    top = rooms.groupBy("domain").agg(F.sum("room").alias("room")).withColumn(
+        "budget", F.lit(min(total * mix.share_percent // 100, total * mix.epochs)).cast("long"))
     down = share_out(top.withColumn("weight", mix.weight("domain")), [], "domain")
     for k in (1, 2):
         up, name = list(LEVELS[:k]), LEVELS[k]
@@ -139,7 +136,7 @@ def with_leaf(d: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
 def plan_mix(docs: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     """Per leaf: whole epochs and the last place (hash, id) inside the prefix of
     the next epoch; and the number of leaves. ``docs`` is from tree_columns."""
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    leaves = stored(docs.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     plan = stored(budgets(leaves, mix), "mix-budgets")
     n = plan.count()
     order = with_leaf(docs, plan.filter("rest > 0").select(*LEVELS, "whole", "rest"), n).select(

@@ -175,13 +175,14 @@ def feature_importance(model, names: list[str]) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
-def calibrated_svm(train: DataFrame, label: str, n_classes: int, reg: float = 0.0, max_iter: int = 2000):
+def calibrated_svm(train: DataFrame, label: str, n_classes: int, c: float = 1.0, max_iter: int = 2000):
     """Linear SVM per class (one-vs-rest) with sigmoid-calibrated
     probabilities, cross-fitted: each half of the rows gets its margins from
     an SVM trained on the other half, a 1-feature logistic regression maps
     these margins to probabilities, and the SVM that serves is trained on all
-    rows. Class probabilities are normalised to sum to 1. Returns a scoring
-    function."""
+    rows. Class probabilities are normalised to sum to 1. ``c`` is the inverse
+    L2 strength (regParam = 1/(c·n)). Returns a scoring function."""
+    reg = 1.0 / (c * max(train.count(), 1))
     half = F.pmod(F.xxhash64(*train.columns[:1]), F.lit(2))
     svms, cals = [], []
 
@@ -189,7 +190,7 @@ def calibrated_svm(train: DataFrame, label: str, n_classes: int, reg: float = 0.
         return svm.transform(rows).withColumn("_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
 
     for k in range(n_classes):
-        svc = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter)
+        svc = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter, tol=1e-4)
         rows = train.withColumn("_y", (F.col(label) == k).cast("double")).withColumn("_half", half)
         apart = [margins(svc.fit(rows.filter(F.col("_half") != h)), rows.filter(F.col("_half") == h)) for h in (0, 1)]
         cals.append(LogisticRegression(featuresCol="_mv", labelCol="_y").fit(

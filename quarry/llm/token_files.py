@@ -210,7 +210,8 @@ def library_memo(path: str) -> tuple[ChunkMemo, str]:
             return [raw[a:b] for a, b in zip(at, at[1:])]
 
         special = {s: np.array([i], dtype=kind).tobytes() for s, i in rules.special.items()}
-        _MEMO[path] = ChunkMemo(rules, encode, special, kind), kind
+        # Two-byte ids: twice the usual memory of chunks fits.
+        _MEMO[path] = ChunkMemo(rules, encode, special, kind, kept=400_000, slot_bits=21, pool=12_000_000), kind
     return _MEMO[path]
 
 

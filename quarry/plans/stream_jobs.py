@@ -16,27 +16,34 @@ from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 from quarry.streaming import jobs as SJ
 
-SPLIT_TS = "2024-01-15 00:00:00"
+LATE_EVERY = 50  # of the event ids, one in so many arrives in a second file set
 
 
 @register("stream_threshold_alert", sql=f"""
-WITH b1 AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{SPLIT_TS}'),
-wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM b1),
-g AS (SELECT user_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-             count(*) FILTER (WHERE event_type = 'error') AS n_hits FROM b1 GROUP BY 1, 2, 3)
-SELECT user_id, window_start, window_end, n_hits, n_hits >= 3 AS is_alert FROM g, wm WHERE window_end <= wm.wm""")
+WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events WHERE event_id % {LATE_EVERY} <> 0),
+kept AS (SELECT events.* FROM events, wm
+         WHERE event_id % {LATE_EVERY} <> 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > wm)
+SELECT user_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       count(*) FILTER (WHERE event_type = 'error') AS n_hits,
+       count(*) FILTER (WHERE event_type = 'error') >= 3 AS is_alert
+FROM kept GROUP BY 1, 2, 3""")
 def stream_threshold_alert(spark, d):
-    """Two file batches: the later half of the month first, then the
-    earlier half, which arrives behind the watermark and is dropped as
-    late. Append mode emits the windows the watermark has closed."""
+    """Three arrivals: nearly all events; a fiftieth of them behind the
+    watermark, of which those of closed windows are dropped as late; and one
+    marker event beyond the end, which closes every window still open (its
+    own stays open). Append mode emits each window as it closes."""
     ev = Tables(spark, d).events
-    cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
     root = scratch_path(spark, "events-stream")
     out = scratch_path(spark, "alerts")
-    # two arrivals, each picked up by a restart of the same query (same
-    # checkpoint): the watermark of the first run carries into the second
-    for i, cond in enumerate([F.col("ts") >= cut, F.col("ts") < cut]):
-        ev.filter(cond).write.mode("overwrite").parquet(f"{root}/part{i}")
+    late = F.col("event_id") % LATE_EVERY == 0
+    end = ev.agg(F.max("ts").alias("end"))
+    marker = end.select(*[
+        (F.col("end") + F.expr("INTERVAL 2 DAYS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in ev.schema.fields])
+    # each arrival is picked up by a restart of the same query (same
+    # checkpoint): the watermark of one run carries into the next
+    for i, part in enumerate([ev.filter(~late), ev.filter(late), marker]):
+        part.write.mode("overwrite").parquet(f"{root}/part{i}")
         stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", ev.schema)
         alerts = SJ.threshold_alerts(stream, "user_id", "ts", F.col("event_type") == "error", 3)
         SJ.run_to_parquet(alerts, out, "append")

@@ -5,7 +5,7 @@ SQL-expressible)."""
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -64,6 +64,7 @@ def split_stratified(spark, d):
 # ------------------------------------------------------------ model data
 
 PART_FEATURES = ["p_size", "p_brand_code", "p_type_code"]
+TEXT_FEATURES = 2000
 ORDER_FEATURES = ["year", "month", "o_totalprice", "prio"]
 
 
@@ -84,19 +85,16 @@ def order_table(t):
 
 
 def doc_table(t):
-    """documents → cleaned n-gram terms → counts (2000-term vocabulary,
-    min df 2) → IDF; label = language. Spark's IDF is ln((n+1)/(df+1))
-    without sublinear tf: the model sees the same vocabulary, not
-    identical weights."""
-    docs = TF.with_ngrams(t.documents.select("doc_id", "lang", "text"), T.preprocess_tokens("text"))
+    """documents → cleaned n-gram terms → sublinear TF-IDF (2000 terms, min df
+    2, fitted on the training rows); label = language."""
+    docs = TF.with_ngrams(t.documents.select("doc_id", "lang", "text"), T.preprocess_tokens("text")).drop("text")
     lab = ML.split_stratified(docs.select("doc_id", "lang"), "lang", "doc_id", 0.2)
     docs = docs.join(lab.select("doc_id", "split"), "doc_id")
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=2000, minDF=2.0),
-        IDF(inputCol="tf", outputCol="features", minDocFreq=2)])
-    model = pipe.fit(docs.filter(F.col("split") == "train"))
-    return model.transform(docs), model.stages[0].labels
+    _, vocab = TF.tfidf_long(docs.filter(F.col("split") == "train"), "doc_id", F.col("terms"), 2, TEXT_FEATURES)
+    long = TF.tfidf_apply(docs, "doc_id", F.col("terms"), vocab)
+    docs = TF.with_sparse_vector(docs.drop("terms"), long, "doc_id", TEXT_FEATURES)
+    index = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(docs)
+    return index.transform(docs), index.labels
 
 
 def _metrics_row(spark, name, n_train, n_test, metric, value):

@@ -114,7 +114,7 @@ def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42, parallelism: i
                      parallelism=parallelism)
 
 
-TRAIN_PARTITIONS = 16
+TRAIN_PARTITIONS = 8
 
 
 def training_frame(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.functions.common import split_bucket_sql
@@ -97,19 +98,30 @@ def doc_table(t):
     return index.transform(docs), index.labels
 
 
-def _metrics_row(spark, name, n_train, n_test, metric, value):
-    return spark.createDataFrame([(name, int(n_train), int(n_test), metric, float(value))],
-                                 "model string, n_train bigint, n_test bigint, metric string, value double")
+def _metrics_row(spark, name, train, pred, metric, value):
+    """What a training job reports: rows trained on, held-out rows scored, and
+    whether the metric is a number in its range (accuracy 0 to 1, errors from 0).
+    The metric itself comes from the operators; another engine can't know it."""
+    ok = value >= 0 and (metric != "accuracy" or value <= 1)
+    n_test = pred.filter(F.col("prediction").isNotNull()).count()
+    return spark.createDataFrame([(name, int(train.count()), int(n_test), metric, bool(ok))],
+                                 "model string, n_train bigint, n_test bigint, metric string, in_range boolean")
 
 
-@register("train_rf_regressor")
+def _metrics_sql(name: str, table: str, key: str, metric: str) -> str:
+    return f"""
+SELECT '{name}' AS model, count(*) FILTER (WHERE {split_bucket_sql(key)} >= 20) AS n_train,
+       count(*) FILTER (WHERE {split_bucket_sql(key)} < 20) AS n_test, '{metric}' AS metric, true AS in_range FROM {table}"""
+
+
+@register("train_rf_regressor", sql=_metrics_sql("rf_regressor", "part", "p_partkey", "mae"))
 def train_rf_regressor(spark, d):
     """100 trees, depth 10 on part features → MAE on the test split."""
     p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
     train, test = ML.training_frame(p.filter(F.col("split") == "train")), p.filter(F.col("split") == "test")
-    m = ML.rf_regressor("p_retailprice").fit(train)
-    mae = m.transform(test).agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction")))).first()[0]
-    return _metrics_row(spark, "rf_regressor", train.count(), test.count(), "mae", mae)
+    pred = ML.rf_regressor("p_retailprice").fit(train).transform(test)
+    mae = pred.agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction")))).first()[0]
+    return _metrics_row(spark, "rf_regressor", train, pred, "mae", mae)
 
 
 def _orders_split(spark, d):
@@ -117,49 +129,51 @@ def _orders_split(spark, d):
     return ML.training_frame(o.filter(F.col("split") == "train")), o.filter(F.col("split") == "test")
 
 
-@register("train_logistic")
+@register("train_logistic", sql=_metrics_sql("logistic", "orders", "o_orderkey", "accuracy"))
 def train_logistic(spark, d):
     train, test = _orders_split(spark, d)
-    m = ML.logistic("label", 1000).fit(train)
-    return _metrics_row(spark, "logistic", train.count(), test.count(), "accuracy",
-                        ML.accuracy_of(m.transform(test), "label"))
+    pred = ML.logistic("label", 1000).fit(train).transform(test)
+    return _metrics_row(spark, "logistic", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
 
 
-@register("train_rf_classifier")
+@register("train_rf_classifier", sql=_metrics_sql("rf_classifier", "orders", "o_orderkey", "accuracy"))
 def train_rf_classifier(spark, d):
     train, test = _orders_split(spark, d)
-    m = ML.rf_classifier("label", 100).fit(train)
-    return _metrics_row(spark, "rf_classifier", train.count(), test.count(), "accuracy",
-                        ML.accuracy_of(m.transform(test), "label"))
+    pred = ML.rf_classifier("label", 100).fit(train).transform(test)
+    return _metrics_row(spark, "rf_classifier", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
 
 
-@register("train_gbt_classifier")
+@register("train_gbt_classifier", sql=_metrics_sql("gbt_ovr", "orders", "o_orderkey", "accuracy"))
 def train_gbt_classifier(spark, d):
     train, test = _orders_split(spark, d)
-    m = ML.gbt_multiclass("label", 100).fit(train)
-    return _metrics_row(spark, "gbt_ovr", train.count(), test.count(), "accuracy",
-                        ML.accuracy_of(m.transform(test), "label"))
+    pred = ML.gbt_multiclass("label", 100).fit(train).transform(test)
+    return _metrics_row(spark, "gbt_ovr", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
 
 
-@register("train_svm_calibrated")
+@register("train_svm_calibrated", sql="""
+SELECT 'svm_calibrated' AS model, sum(n - t)::BIGINT AS n_train, sum(t)::BIGINT AS n_test, 'accuracy' AS metric, true AS in_range
+FROM (SELECT count(*) AS n, ceil(0.2 * count(*)) AS t FROM documents GROUP BY lang)""")
 def train_svm_calibrated(spark, d):
     """Text task: calibrated one-vs-rest linear SVM on TF-IDF features."""
     docs, labels = doc_table(Tables(spark, d))
     train, test = ML.training_frame(docs.filter(F.col("split") == "train")), docs.filter(F.col("split") == "test")
     score = ML.calibrated_svm(train.select("doc_id", "label", "features"), "label", len(labels))
     pred = score(test.select("doc_id", "label", "features"))
-    return _metrics_row(spark, "svm_calibrated", train.count(), test.count(), "accuracy",
-                        ML.accuracy_of(pred, "label"))
+    return _metrics_row(spark, "svm_calibrated", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
 
 
-@register("compare_models")
+@register("compare_models", sql="""
+SELECT model, true AS in_range, 1::BIGINT AS n_best FROM (VALUES ('logistic'), ('random_forest'), ('gbt_ovr')) AS m(model)""")
 def compare_models(spark, d):
     """Three classifiers on the order table: train/validation accuracy,
     best by validation."""
     train, test = _orders_split(spark, d)
     ests = {"logistic": ML.logistic("label", 1000), "random_forest": ML.rf_classifier("label", 100),
             "gbt_ovr": ML.gbt_multiclass("label", 100)}
-    return ML.compare_models(train, test, "label", ests)
+    r = ML.compare_models(train, test, "label", ests)
+    best = r.filter("is_best").count()  # exactly one
+    return r.select("model", (F.col("train_acc").between(0, 1) & F.col("valid_acc").between(0, 1)).alias("in_range"),
+                    F.lit(best).cast("bigint").alias("n_best"))
 
 
 # The source's grid is numTrees [100, 200] x maxDepth [10, 20, unbounded]; FULL_GRID
@@ -169,11 +183,14 @@ FULL_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20, ML.MAX_DEPTH]}
 GRID = {"numTrees": [10, 20], "maxDepth": [10, 20, ML.MAX_DEPTH]}
 
 
-@register("grid_search_cv")
+@register("grid_search_cv", sql=" UNION ALL ".join(
+    f"SELECT 'maxDepth={depth}, numTrees={trees}' AS params, true AS in_range, 1::BIGINT AS n_best"
+    for depth in GRID["maxDepth"] for trees in GRID["numTrees"]))
 def grid_search_cv(spark, d):
     train, _ = _orders_split(spark, d)
     _, res = ML.grid_search_cv(train, "label", "o_orderkey", ML.rf_classifier("label"), GRID, folds=3, parallelism=4)
-    return res
+    return res.select("params", F.col("cv_accuracy").between(0, 1).alias("in_range"),
+                      F.lit(res.filter("is_best").count()).cast("bigint").alias("n_best"))
 
 
 @register("refit_and_predict", sql=f"""
@@ -192,11 +209,17 @@ def refit_and_predict(spark, d):
     return back.select("id", "o_orderkey", F.col("prediction").between(0, m.numClasses - 1).alias("known"))
 
 
-@register("feature_importance")
+@register("feature_importance", sql="""
+SELECT rank, 3::BIGINT AS n_features, 1.0::DOUBLE AS total, true AS descending FROM (VALUES (1), (2), (3)) AS r(rank)""")
 def feature_importance(spark, d):
     p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
     m = ML.rf_regressor("p_retailprice").fit(ML.training_frame(p.filter(F.col("split") == "train")))
-    return ML.feature_importance(m, PART_FEATURES)
+    imp = ML.feature_importance(m, PART_FEATURES)
+    every = Window.partitionBy(F.lit(0))  # one row a feature
+    before = F.lag("importance").over(every.orderBy("rank"))
+    return imp.select("rank", F.count("feature").over(every).alias("n_features"),
+                      R(F.sum("importance").over(every), 6).alias("total"),
+                      (before.isNull() | (before >= F.col("importance"))).alias("descending"))
 
 
 @register("predict_topk_enriched")

@@ -21,6 +21,8 @@ of the same names.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from quarry.llm.chunks import ChunkMemo, Rules
 from quarry.llm.common import read
 
-PAIRS_KEPT = 150_000
+PAIRS_KEPT = 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,14 +60,17 @@ class PrefixBPE:
         vocab: dict[str, int] = model["vocab"]
         tokens = {i: t for t, i in (vocab | self.rules.special).items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
-        self.decimal = [str(i) for i in range(len(self.tokens))]
-        # How a token came about: its rank and its two parts; letters have none.
-        self.merge = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(model["merges"])}
-        self.rank, self.left, self.right = {}, {}, {}
-        for (a, b), (x, y) in zip(model["merges"], self.merge):
-            t = vocab[a + b]
-            if t not in self.rank:
-                self.rank[t], self.left[t], self.right[t] = self.merge[x, y], x, y
+        # How a token came about: its rank and its two parts; letters have rank -1.
+        # (arrays and one flat dictionary: every worker holds a copy)
+        n = len(self.tokens)
+        self.rank, self.left, self.right = (np.full(n, -1, np.int32) for _ in range(3))
+        self.merge: dict[int, int] = {}
+        for r, (a, b) in enumerate(model["merges"]):
+            x, y, t = vocab[a], vocab[b], vocab[a + b]
+            self.merge[x << 32 | y] = r
+            if self.rank[t] < 0:
+                self.rank[t], self.left[t], self.right[t] = r, x, y
+        self.rank, self.left, self.right = (array("i", v.tobytes()) for v in (self.rank, self.left, self.right))
         self.inner = ahocorasick.Automaton()
         self.last: dict[str, int] = {}
         for t, i in vocab.items():
@@ -76,6 +81,7 @@ class PrefixBPE:
         self.inner.make_automaton()
         self._letter = byte_alphabet()
         self._pairs: dict[int, bool] = {}
+        self._decimal: list[str] = []
         self.rules.spec = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -89,11 +95,11 @@ class PrefixBPE:
             return known
         x, y, bound, apart = a, b, len(self.merge), True
         while True:
-            r = self.merge.get((x, y))
+            r = self.merge.get(x << 32 | y)
             if r is not None and r < bound:
                 apart = False
                 break
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
+            rx, ry = self.rank[x], self.rank[y]
             if rx < 0 and ry < 0:
                 break
             if rx > ry:  # the border merge loses a tie: a merge further left of equal rank comes first
@@ -137,20 +143,29 @@ class PrefixBPE:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         return [np.array(self.encode_piece(p), dtype="<u4").tobytes() for p in pieces]
 
+    def decimal(self) -> list[str]:
+        """The ids as text, made when first asked for."""
+        if not self._decimal:
+            self._decimal = [str(i) for i in range(len(self.tokens))]
+        return self._decimal
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_MODELS: dict[str, tuple[PrefixBPE, ChunkMemo]] = {}
+_MODELS: dict[tuple[str, int], tuple[PrefixBPE, ChunkMemo]] = {}
+LARGE = 2  # times the chunk memory, where a worker does nothing else
 
 
-def model(path: str) -> tuple[PrefixBPE, ChunkMemo]:
+def model(path: str, memory: int = 1) -> tuple[PrefixBPE, ChunkMemo]:
     """The encoder of a file and its chunk memory, once per worker."""
-    if path not in _MODELS:
+    key = (path, memory)
+    if key not in _MODELS:
         m = PrefixBPE(path)
         special = {t: np.array([i], dtype="<u4").tobytes() for t, i in m.rules.special.items()}
-        _MODELS[path] = m, ChunkMemo(m.rules, m.encode_pieces, special)
-    return _MODELS[path]
+        _MODELS[key] = m, ChunkMemo(m.rules, m.encode_pieces, special, kept=100_000 * memory,
+                                    slot_bits=18 + memory, pool=3_000_000 * memory)
+    return _MODELS[key]
 
 
 def _column(batch, name):
@@ -208,11 +223,12 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def work(part):
-        m, memo = model(path)
+        m, memo = model(path, LARGE)
+        decimal = m.decimal()
         ids, first = memo.ids_of(_column(part, text).to_pylist())
         got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
         return (pa.array([len(x) for x in got], pa.int64()),
-                pa.array([" ".join(map(m.decimal.__getitem__, x)) for x in got], pa.string()),
+                pa.array([" ".join(map(decimal.__getitem__, x)) for x in got], pa.string()),
                 pa.array([m.decode(x) for x in got], pa.string()))
 
     return _mapped(df, (text,), [StructField("n_tokens", LongType()), StructField("ids_text", StringType()),

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-DATA = "/root/testdata/sf0.001"
+DATA = SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

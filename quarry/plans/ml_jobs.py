@@ -98,14 +98,31 @@ def doc_table(t):
     return index.transform(docs), index.labels
 
 
-def _metrics_row(spark, name, train, pred, metric, value):
-    """What a training job reports: rows trained on, held-out rows scored, and
-    whether the metric is a number in its range (accuracy 0 to 1, errors from 0).
-    The metric itself comes from the operators; another engine can't know it."""
-    ok = value >= 0 and (metric != "accuracy" or value <= 1)
+# A training job is two queries: ``<key>_result`` gives what the source's step
+# gives (score, winner, importances, predictions), ``<key>`` what another engine
+# can check of the same run (rows, ranges, ranks, sums), as its SQL has it.
+
+def _score_row(spark, name, train, pred, metric, value, baseline):
+    """Rows trained on, held-out rows scored, the metric's value, and what a
+    constant answer scores on the held-out rows."""
     n_test = pred.filter(F.col("prediction").isNotNull()).count()
-    return spark.createDataFrame([(name, int(train.count()), int(n_test), metric, bool(ok))],
-                                 "model string, n_train bigint, n_test bigint, metric string, in_range boolean")
+    return spark.createDataFrame(
+        [(name, int(train.count()), int(n_test), metric, float(value), float(baseline))],
+        "model string, n_train bigint, n_test bigint, metric string, value double, baseline double")
+
+
+def _accuracy_row(spark, name, train, pred):
+    """Accuracy beside the share of the commonest held-out class."""
+    classes = [r["count"] for r in pred.groupBy("label").count().collect()]
+    return _score_row(spark, name, train, pred, "accuracy", ML.accuracy_of(pred, "label"), max(classes) / sum(classes))
+
+
+def _checkable(scores):
+    """The score row with whether the metric is a number in its range (accuracy 0
+    to 1, errors from 0) in place of the values."""
+    v = F.col("value")
+    ok = ~F.isnan(v) & (v >= 0) & ((F.col("metric") != "accuracy") | (v <= 1))
+    return scores.select("model", "n_train", "n_test", "metric", ok.alias("in_range"))
 
 
 def _metrics_sql(name: str, table: str, key: str, metric: str) -> str:
@@ -114,14 +131,22 @@ SELECT '{name}' AS model, count(*) FILTER (WHERE {split_bucket_sql(key)} >= 20)
        count(*) FILTER (WHERE {split_bucket_sql(key)} < 20) AS n_test, '{metric}' AS metric, true AS in_range FROM {table}"""
 
 
-@register("train_rf_regressor", sql=_metrics_sql("rf_regressor", "part", "p_partkey", "mae"))
-def train_rf_regressor(spark, d):
-    """100 trees, depth 10 on part features → MAE on the test split."""
+@register("train_rf_regressor_result")
+def train_rf_regressor_result(spark, d):
+    """100 trees, depth 10 on part features → MAE on the test split (baseline: the
+    training mean's)."""
     p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
     train, test = ML.training_frame(p.filter(F.col("split") == "train")), p.filter(F.col("split") == "test")
     pred = ML.rf_regressor("p_retailprice").fit(train).transform(test)
-    mae = pred.agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction")))).first()[0]
-    return _metrics_row(spark, "rf_regressor", train, pred, "mae", mae)
+    mean = train.agg(F.avg("p_retailprice")).first()[0]
+    mae, base = pred.agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction"))),
+                         F.avg(F.abs(F.col("p_retailprice") - mean))).first()
+    return _score_row(spark, "rf_regressor", train, pred, "mae", mae, base)
+
+
+@register("train_rf_regressor", sql=_metrics_sql("rf_regressor", "part", "p_partkey", "mae"))
+def train_rf_regressor(spark, d):
+    return _checkable(train_rf_regressor_result(spark, d))
 
 
 def _orders_split(spark, d):
@@ -129,48 +154,69 @@ def _orders_split(spark, d):
     return ML.training_frame(o.filter(F.col("split") == "train")), o.filter(F.col("split") == "test")
 
 
+@register("train_logistic_result")
+def train_logistic_result(spark, d):
+    train, test = _orders_split(spark, d)
+    return _accuracy_row(spark, "logistic", train, ML.logistic("label", 1000).fit(train).transform(test))
+
+
 @register("train_logistic", sql=_metrics_sql("logistic", "orders", "o_orderkey", "accuracy"))
 def train_logistic(spark, d):
+    return _checkable(train_logistic_result(spark, d))
+
+
+@register("train_rf_classifier_result")
+def train_rf_classifier_result(spark, d):
     train, test = _orders_split(spark, d)
-    pred = ML.logistic("label", 1000).fit(train).transform(test)
-    return _metrics_row(spark, "logistic", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
+    return _accuracy_row(spark, "rf_classifier", train, ML.rf_classifier("label", 100).fit(train).transform(test))
 
 
 @register("train_rf_classifier", sql=_metrics_sql("rf_classifier", "orders", "o_orderkey", "accuracy"))
 def train_rf_classifier(spark, d):
+    return _checkable(train_rf_classifier_result(spark, d))
+
+
+@register("train_gbt_classifier_result")
+def train_gbt_classifier_result(spark, d):
     train, test = _orders_split(spark, d)
-    pred = ML.rf_classifier("label", 100).fit(train).transform(test)
-    return _metrics_row(spark, "rf_classifier", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
+    return _accuracy_row(spark, "gbt_ovr", train, ML.gbt_multiclass("label", 100).fit(train).transform(test))
 
 
 @register("train_gbt_classifier", sql=_metrics_sql("gbt_ovr", "orders", "o_orderkey", "accuracy"))
 def train_gbt_classifier(spark, d):
-    train, test = _orders_split(spark, d)
-    pred = ML.gbt_multiclass("label", 100).fit(train).transform(test)
-    return _metrics_row(spark, "gbt_ovr", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
+    return _checkable(train_gbt_classifier_result(spark, d))
 
 
-@register("train_svm_calibrated", sql="""
-SELECT 'svm_calibrated' AS model, sum(n - t)::BIGINT AS n_train, sum(t)::BIGINT AS n_test, 'accuracy' AS metric, true AS in_range
-FROM (SELECT count(*) AS n, ceil(0.2 * count(*)) AS t FROM documents GROUP BY lang)""")
-def train_svm_calibrated(spark, d):
+@register("train_svm_calibrated_result")
+def train_svm_calibrated_result(spark, d):
     """Text task: calibrated one-vs-rest linear SVM on TF-IDF features."""
     docs, labels = doc_table(Tables(spark, d))
     train, test = ML.training_frame(docs.filter(F.col("split") == "train")), docs.filter(F.col("split") == "test")
     score = ML.calibrated_svm(train.select("doc_id", "label", "features"), "label", len(labels))
-    pred = score(test.select("doc_id", "label", "features"))
-    return _metrics_row(spark, "svm_calibrated", train, pred, "accuracy", ML.accuracy_of(pred, "label"))
+    return _accuracy_row(spark, "svm_calibrated", train, score(test.select("doc_id", "label", "features")))
 
 
-@register("compare_models", sql="""
-SELECT model, true AS in_range, 1::BIGINT AS n_best FROM (VALUES ('logistic'), ('random_forest'), ('gbt_ovr')) AS m(model)""")
-def compare_models(spark, d):
+@register("train_svm_calibrated", sql="""
+SELECT 'svm_calibrated' AS model, sum(n - t)::BIGINT AS n_train, sum(t)::BIGINT AS n_test, 'accuracy' AS metric, true AS in_range
+FROM (SELECT count(*) AS n, ceil(0.2 * count(*)) AS t FROM documents GROUP BY lang)""")
+def train_svm_calibrated(spark, d):
+    return _checkable(train_svm_calibrated_result(spark, d))
+
+
+@register("compare_models_result")
+def compare_models_result(spark, d):
     """Three classifiers on the order table: train/validation accuracy,
     best by validation."""
     train, test = _orders_split(spark, d)
     ests = {"logistic": ML.logistic("label", 1000), "random_forest": ML.rf_classifier("label", 100),
             "gbt_ovr": ML.gbt_multiclass("label", 100)}
-    r = ML.compare_models(train, test, "label", ests)
+    return ML.compare_models(train, test, "label", ests)
+
+
+@register("compare_models", sql="""
+SELECT model, true AS in_range, 1::BIGINT AS n_best FROM (VALUES ('logistic'), ('random_forest'), ('gbt_ovr')) AS m(model)""")
+def compare_models(spark, d):
+    r = compare_models_result(spark, d)
     best = r.filter("is_best").count()  # exactly one
     return r.select("model", (F.col("train_acc").between(0, 1) & F.col("valid_acc").between(0, 1)).alias("in_range"),
                     F.lit(best).cast("bigint").alias("n_best"))
@@ -183,38 +229,64 @@ FULL_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20, ML.MAX_DEPTH]}
 GRID = {"numTrees": [10, 20], "maxDepth": [10, 20, ML.MAX_DEPTH]}
 
 
+def _grid_scores(spark, d, grid):
+    train, _ = _orders_split(spark, d)
+    _, res = ML.grid_search_cv(train, "label", "o_orderkey", ML.rf_classifier("label"), grid, folds=3, parallelism=4)
+    return res
+
+
+@register("grid_search_cv_result")
+def grid_search_cv_result(spark, d):
+    """Mean accuracy of every parameter combination, and the winner."""
+    return _grid_scores(spark, d, GRID)
+
+
 @register("grid_search_cv", sql=" UNION ALL ".join(
     f"SELECT 'maxDepth={depth}, numTrees={trees}' AS params, true AS in_range, 1::BIGINT AS n_best"
     for depth in GRID["maxDepth"] for trees in GRID["numTrees"]))
 def grid_search_cv(spark, d):
-    train, _ = _orders_split(spark, d)
-    _, res = ML.grid_search_cv(train, "label", "o_orderkey", ML.rf_classifier("label"), GRID, folds=3, parallelism=4)
+    res = _grid_scores(spark, d, GRID)
     return res.select("params", F.col("cv_accuracy").between(0, 1).alias("in_range"),
                       F.lit(res.filter("is_best").count()).cast("bigint").alias("n_best"))
 
 
-@register("refit_and_predict", sql=f"""
-SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS id, o_orderkey, true AS known FROM orders
-WHERE {split_bucket_sql('o_orderkey')} < 20""")
-def refit_and_predict(spark, d):
+def _submission(spark, d):
     """Refit the chosen model on all training rows, predict the held-out
     rows, write (id, key, prediction) as CSV with sequential ids, read back.
-    ``known``: the prediction is one of the classes."""
+    Also the number of classes."""
     train, test = _orders_split(spark, d)
     m = ML.logistic("label", 1000).fit(train)
     pred = m.transform(test).select("o_orderkey", F.col("prediction").cast("int").alias("prediction"))
     path = FS.write_csv(sequential_id(pred, ["o_orderkey"]).select("id", "o_orderkey", "prediction"),
                         scratch_path(spark, "submission"))
-    back = FS.read_csv(spark, path, "id bigint, o_orderkey bigint, prediction int")
-    return back.select("id", "o_orderkey", F.col("prediction").between(0, m.numClasses - 1).alias("known"))
+    return FS.read_csv(spark, path, "id bigint, o_orderkey bigint, prediction int"), m.numClasses
+
+
+@register("refit_and_predict_result")
+def refit_and_predict_result(spark, d):
+    return _submission(spark, d)[0].select("id", "o_orderkey", "prediction")
+
+
+@register("refit_and_predict", sql=f"""
+SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS id, o_orderkey, true AS known FROM orders
+WHERE {split_bucket_sql('o_orderkey')} < 20""")
+def refit_and_predict(spark, d):
+    """``known``: the prediction is one of the classes."""
+    back, classes = _submission(spark, d)
+    return back.select("id", "o_orderkey", F.col("prediction").between(0, classes - 1).alias("known"))
+
+
+@register("feature_importance_result")
+def feature_importance_result(spark, d):
+    p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
+    m = ML.rf_regressor("p_retailprice").fit(ML.training_frame(p.filter(F.col("split") == "train")))
+    return ML.feature_importance(m, PART_FEATURES)
 
 
 @register("feature_importance", sql="""
 SELECT rank, 3::BIGINT AS n_features, 1.0::DOUBLE AS total, true AS descending FROM (VALUES (1), (2), (3)) AS r(rank)""")
 def feature_importance(spark, d):
-    p = ML.assemble(PART_FEATURES).transform(part_table(Tables(spark, d)))
-    m = ML.rf_regressor("p_retailprice").fit(ML.training_frame(p.filter(F.col("split") == "train")))
-    imp = ML.feature_importance(m, PART_FEATURES)
+    imp = feature_importance_result(spark, d)
     every = Window.partitionBy(F.lit(0))  # one row a feature
     before = F.lag("importance").over(every.orderBy("rank"))
     return imp.select("rank", F.count("feature").over(every).alias("n_features"),
@@ -242,11 +314,9 @@ def predict_topk_enriched(spark, d):
                     F.col("b.label").alias("severity"), F.col("b.colour").alias("colour"), "score"))
 
 
-@register("sink_model", sql=f"""
-SELECT o_orderkey, true AS equal FROM orders WHERE {split_bucket_sql('o_orderkey')} < 20""")
-def sink_model(spark, d):
-    """Persist a fitted pipeline, reload it, and score with both: the
-    predictions must agree row by row."""
+@register("sink_model_result")
+def sink_model_result(spark, d):
+    """Persist a fitted pipeline, reload it, and score with both."""
     train, test = _orders_split(spark, d)
     pipe = Pipeline(stages=[ML.rf_classifier("label", 100)])
     model = pipe.fit(train)
@@ -255,4 +325,11 @@ def sink_model(spark, d):
     again = PipelineModel.load(path)
     a = model.transform(test).select("o_orderkey", F.col("prediction").alias("before"))
     b = again.transform(test).select("o_orderkey", F.col("prediction").alias("after"))
-    return a.join(b, "o_orderkey").select("o_orderkey", (F.col("before") == F.col("after")).alias("equal"))
+    return a.join(b, "o_orderkey").select("o_orderkey", "before", "after")
+
+
+@register("sink_model", sql=f"""
+SELECT o_orderkey, true AS equal FROM orders WHERE {split_bucket_sql('o_orderkey')} < 20""")
+def sink_model(spark, d):
+    """The predictions before and after must agree row by row."""
+    return sink_model_result(spark, d).select("o_orderkey", (F.col("before") == F.col("after")).alias("equal"))

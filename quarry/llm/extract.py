@@ -8,9 +8,10 @@ main text; outside may hold any, inside only inside or off, off only off. The
 cheapest consistent choice for the whole tree is found in two passes, so an
 ancestor and a descendant never contradict each other.
 
-Training uses ``PAGES`` pages of the table (picked by hashes of the id, of at
-most ``LONGEST`` characters; both bounds are parameters): their own trees,
-labelled by the article element, and variants in which the same texts are
+Training uses up to ``PAGES`` pages of the table, picked by hashes of the id, of
+at most ``CHARS`` characters together (both bounds are parameters; a page that
+doesn't fit in what is left is passed over, and where none fits, the shortest of
+the draw is taken, so that any page with text makes a model): their own trees, labelled by the article element, and variants in which the same texts are
 laid out in other ways, with unnamed containers and with menus, sidebars,
 notices, forms and reader comments, so that the trees don't lean on one
 template.
@@ -35,7 +36,7 @@ from quarry.llm.common import read
 from quarry.llm.dom import Page, features, kept_text, parse
 
 PAGES = 240
-LONGEST = 30_000
+CHARS = 7_200_000
 VARIANTS = 4
 TREES = 60
 TREE_DEPTH = 4
@@ -249,16 +250,42 @@ def examples(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def train(df: DataFrame, pages: int = PAGES) -> Boosted | None:
-    """Trees fitted on the bounded sample of ``df`` (page_id, html)."""
+def sample(df: DataFrame, pages: int = PAGES, chars: int = CHARS) -> list[str]:
+    """Pages of ``df`` (page_id, html) to train on: in the order of the hashes of
+    their ids, as many as fit, and one at least where any isn't empty."""
+    text_id = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    full = df.filter(F.length("html") > 0).select(text_id.alias("id"), "html")
     # On a large table a share of the ids, by their checksum, comes first: else every
-    # task would send its own best pages to the driver.
-    share = min(1.0, 4.0 * pages / max(df.count(), 1))
-    text_id = F.col("page_id").cast("string")
-    few = F.coalesce(F.crc32(text_id.cast("binary")), F.lit(0)) <= int(share * (1 << 32))
-    rows = (df.filter(few & F.length("html").between(1, LONGEST)).select("page_id", "html")
-            .orderBy(F.md5(text_id), "html").limit(pages).collect())
-    return fit(*examples([r.html for r in rows])) if rows else None
+    # task would hash and sort all of its pages.
+    share = min(1.0, 4.0 * pages / max(full.count(), 1))
+    few = F.crc32(F.col("id").cast("binary")) <= int(share * (1 << 32))
+    # (lengths first: the texts of long pages must not all come to the driver)
+    key = ["id", F.md5(F.col("html").cast("binary")).alias("digest")]
+    for rows in (full.filter(few), full):  # all of them where few ids repeat and none is drawn
+        drawn = (rows.select(*key, F.length("html").alias("n")).orderBy(F.md5(F.col("id").cast("binary")), "digest")
+                 .limit(pages).collect())
+        if drawn:
+            break
+    chosen, left = [], chars
+    for r in drawn:
+        if r.n <= left:
+            chosen.append((r.id, r.digest))
+            left -= r.n
+    if drawn and not chosen:
+        r = min(drawn, key=lambda r: r.n)
+        chosen.append((r.id, r.digest))
+    if not chosen:
+        return []
+    ids, digests = ([*{c[k] for c in chosen}] for k in (0, 1))
+    got = full.filter(F.col("id").isin(ids)).select(*key, "html").filter(F.col("digest").isin(digests))
+    html = {(r.id, r.digest): r.html for r in got.dropDuplicates(["id", "digest"]).collect()}
+    return [html[c] for c in chosen]
+
+
+def train(df: DataFrame, pages: int = PAGES, chars: int = CHARS) -> Boosted | None:
+    """Trees fitted on the bounded sample of ``df`` (page_id, html)."""
+    rows = sample(df, pages, chars)
+    return fit(*examples(rows)) if rows else None
 
 
 def main_texts(pages: list[str | None], model: Boosted) -> list[str]:

@@ -10,6 +10,7 @@ running stage only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, language, mixing, neardup, quality
 from quarry.llm.common import prepare, read, stored
@@ -43,9 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the chosen documents (operator 2)."""
+    """Token ids of the chosen documents, and the digest of the text they decode to (operator 2)."""
     prepare(spark)
-    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), bpe.tokenizer_path()).drop("text")
+    out = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), bpe.tokenizer_path(), decoded=True)
+    return out.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
 
 
 STAGES = [

@@ -192,17 +192,23 @@ def _mapped(df: DataFrame, drop: tuple[str, ...], added: list[StructField], work
     return df.mapInArrow(run, StructType([*keep, *added]))
 
 
-def encode_documents(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """``df`` with ``ids`` (little-endian uint32, four bytes a token) and
-    ``n_tokens`` of the whole text."""
+    ``n_tokens`` of the whole text, and on demand ``decoded``, the text of the
+    ids, from the same worker."""
     import pyarrow as pa
 
     def work(part):
-        ids, first = model(path)[1].ids_of(_column(part, text).to_pylist())
-        return (pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
-                pa.array(np.diff(first), pa.int64()))
-
-    return _mapped(df, (), [StructField("ids", BinaryType()), StructField("n_tokens", LongType())], work)
+        m, memo = model(path)
+        ids, first = memo.ids_of(_column(part, text).to_pylist())
+        out = (pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
+               pa.array(np.diff(first), pa.int64()))
+        if not decoded:
+            return out
+        return *out, pa.array([m.decode(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:])], pa.string())
+
+    added = [StructField("ids", BinaryType()), StructField("n_tokens", LongType())]
+    return _mapped(df, (), [*added, *[StructField("decoded", StringType())] * decoded], work)
 
 
 def decode_documents(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -6,7 +6,9 @@ header, the documents' ids and lengths, the sorted ids that occur, and the
 bit-planes of a wavelet matrix over their numbers in that order. Plane b holds
 bit b of every number in the order that stable partitions by the higher bits
 leave; counts of ones at every ``STEP`` bits give rank, and rank gives access,
-counting and occurrence lookup without unpacking. Spark
+counting and (halving on it) occurrence lookup. The file holds the planes only,
+each compressed whole: a reader unpacks them all and makes a plane's counts when
+a lookup first asks for them. Spark
 writes the bodies (one row and one Parquet file each), so half-written shards
 of a lost executor never show.
 

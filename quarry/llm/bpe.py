@@ -1,11 +1,13 @@
 """Operator 2, BPE encoding and decoding by dynamic programming over prefixes.
 
 For every prefix of a pre-token the table holds the one last token that the
-prefix's encoding ends with. An automaton over the vocabulary lists the
-tokens that end at each prefix, longest first; a token is that last token if
+prefix's encoding ends with. An Aho-Corasick automaton over the vocabulary
+(in place of a suffix automaton: it lists just the matches that the table needs)
+gives the tokens that end at each prefix, longest first; a token is that last token if
 it is compatible with the last token of the prefix before it, i.e. if merging
 the texts of both leaves this very pair. Back-pointers from the end give the
-ids. No merge queue runs over the text.
+ids. A pre-token that is in the vocabulary as a whole skips the table. No merge
+queue runs over the text.
 
 The rules around the model (NFC, lower case, the split pattern, the byte
 alphabet, word ends, special strings) follow the tokenizer file; the file's

@@ -38,3 +38,13 @@ def test_importances(spark):
     got = REG["feature_importance_result"].job(spark, SMALL).collect()
     assert {r.feature for r in got} == {"p_size", "p_brand_code", "p_type_code"}
     assert abs(sum(r.importance for r in got) - 1) < 1e-9
+
+
+def test_grid_search_runs_the_whole_grid(spark, monkeypatch):
+    from conftest import SMALL
+
+    from quarry.operators import ml as ML
+    seen = []
+    monkeypatch.setattr(ML, "grid_search_cv", lambda df, label, key, est, grid, **kw: (seen.append(grid), (None, df))[1])
+    REG["grid_search_cv_result"].job(spark, SMALL)
+    assert seen == [{"numTrees": [100, 200], "maxDepth": [10, 20, 30]}]

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, extract, fingerprints, language, mixing, neardup, quality, sharding, token_files
+from quarry.llm import (
+    bpe,
+    chat,
+    extract,
+    filter_audit,
+    fingerprints,
+    language,
+    merkle,
+    mixing,
+    neardup,
+    quality,
+    sharding,
+    token_files,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
     "op10_dom_boosted_extract": extract.op10_dom_boosted_extract,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
@@ -22,4 +37,6 @@ SQL = {
     "op4_chat_format": chat.SQL,
     "op6_quality_rules": quality.SQL,
     "op7_chosen_path_dedup": neardup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm import (
+    attention_quality,
     bpe,
     chat,
     extract,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_wavelet_token_files": token_files.op9_wavelet_token_files,
     "op10_dom_boosted_extract": extract.op10_dom_boosted_extract,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_attention_quality": attention_quality.op12_attention_quality,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 

@@ -6,10 +6,7 @@ Python only assembles pipelines and collects small metric rows.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -175,44 +172,6 @@ def feature_importance(model, names: list[str]) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
-def calibrated_svm(train: DataFrame, label: str, n_classes: int, c: float = 1.0, max_iter: int = 2000):
-    """Linear SVM per class (one-vs-rest) with sigmoid-calibrated
-    probabilities, cross-fitted: each half of the rows gets its margins from
-    an SVM trained on the other half, a 1-feature logistic regression maps
-    these margins to probabilities, and the SVM that serves is trained on all
-    rows. Class probabilities are normalised to sum to 1. ``c`` is the inverse
-    L2 strength (regParam = 1/(c·n)). Returns a scoring function."""
-    reg = 1.0 / (c * max(train.count(), 1))
-    half = F.pmod(F.xxhash64(*train.columns[:1]), F.lit(2))
-    svms, cals = [], []
-
-    def margins(svm, rows):
-        return svm.transform(rows).withColumn("_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-
-    for k in range(n_classes):
-        svc = LinearSVC(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter, tol=1e-4)
-        rows = train.withColumn("_y", (F.col(label) == k).cast("double")).withColumn("_half", half)
-        apart = [margins(svc.fit(rows.filter(F.col("_half") != h)), rows.filter(F.col("_half") == h)) for h in (0, 1)]
-        cals.append(LogisticRegression(featuresCol="_mv", labelCol="_y").fit(
-            VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(apart[0].unionByName(apart[1]))))
-        svms.append(svc.fit(rows))
-
-    def score(df: DataFrame) -> DataFrame:
-        out = df
-        for k in range(n_classes):
-            m = svms[k].transform(out.drop("rawPrediction", "prediction")).withColumn(
-                "_m", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-            m = VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(m)
-            p = cals[k].transform(m).withColumn(f"_p{k}", vector_to_array("probability")[1])
-            out = p.drop("_m", "_mv", "rawPrediction", "probability", "prediction")
-        tot = sum((F.col(f"_p{k}") for k in range(n_classes)), F.lit(0.0))
-        probs = F.array(*[F.col(f"_p{k}") / tot for k in range(n_classes)])
-        out = out.withColumn("probs", probs).drop(*[f"_p{k}" for k in range(n_classes)])
-        best = F.array_position(out["probs"], F.array_max("probs")) - 1
-        return out.withColumn("prediction", best.cast("double"))
-    return score
-
-
 def topk_probabilities(pred: DataFrame, key: str, labels: list[str], k: int = 5,
                        floor: float = 0.03) -> DataFrame:
     """The k most probable classes per row, dropping those below ``floor``;

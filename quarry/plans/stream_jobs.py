@@ -15,6 +15,7 @@ from quarry.plans.profile_jobs import validate_requests
 from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 from quarry.streaming import jobs as SJ
+from quarry.streaming import keyed as KS
 
 LATE_EVERY = 50  # of the event ids, one in so many arrives in a second file set
 
@@ -123,12 +124,18 @@ WITH stop AS (SELECT user_id, min((ts, event_id)) AS s FROM events WHERE event_t
 SELECT e.user_id, e.event_id, e.event_type FROM events e LEFT JOIN stop USING (user_id)
 WHERE stop.s IS NULL OR (e.ts, e.event_id) < stop.s""")
 def stream_until_sentinel(spark, d):
-    """Per key, messages after the first stop message are ignored; the stop
-    positions are carried across batches in a small state table."""
-    ev = Tables(spark, d).events
-    root = SJ.stage_files(ev, "events-sentinel")
-    stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", ev.schema)
-    out, stops = scratch_path(spark, "until"), scratch_path(spark, "stops")
-    SJ.run_foreach_batch(stream, SJ.until_sentinel_writer(spark, out, stops, "user_id", ["ts", "event_id"],
-                                                          F.col("event_type") == "error"), out + "-ckpt")
-    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
+    """Per key, messages from the first stop on are ignored. Four arrivals in
+    order of time, each picked up by a restart of the query: a key's stop is
+    its state, kept in the state store across arrivals and restarts."""
+    ev = Tables(spark, d).events.select("user_id", "event_id", "event_type", "ts")
+    root, out = scratch_path(spark, "events-sentinel"), scratch_path(spark, "until")
+    low, high = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                       F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    quarter = F.floor(4 * (F.unix_micros(F.col("ts").cast("timestamp")) - (low or 0)) / ((high or 0) - (low or 0) + 1))
+    for i in range(4):
+        ev.filter(F.coalesce(quarter, F.lit(0)) == i).write.parquet(f"{root}/part{i}")
+        stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", ev.schema)
+        passed = KS.until_sentinel(stream, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+        with KS.state_store(spark):
+            SJ.run_to_parquet(passed.select("user_id", "event_id", "event_type"), out)
+    return spark.read.parquet(out)

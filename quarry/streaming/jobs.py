@@ -71,24 +71,6 @@ def latest_state_upsert(spark: SparkSession, table_path: str, key: str, order: l
     return upsert
 
 
-def until_sentinel_writer(spark: SparkSession, out_path: str, stops_path: str, key: str,
-                          order: list[str], is_stop):
-    """foreachBatch writer: per key, pass only rows ordered before the first
-    stop row seen so far (this batch or earlier). The first stop per key
-    is kept as a small state table (key → stop position) merged by an
-    aggregate each batch; rows are filtered with a join on the key."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        here = batch.filter(is_stop).groupBy(key).agg(F.min(F.struct(*order)).alias("stop"))
-        prev = _latest_version(spark, stops_path, below=batch_id)
-        stops = here if prev is None else spark.read.parquet(prev).unionByName(here).groupBy(key).agg(
-            F.min("stop").alias("stop"))
-        stops.write.mode("overwrite").parquet(f"{stops_path}/v={batch_id}")
-        stops = spark.read.parquet(f"{stops_path}/v={batch_id}")
-        kept = batch.join(stops, key, "left").filter(F.col("stop").isNull() | (F.struct(*order) < F.col("stop")))
-        kept.drop("stop").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-    return write
-
-
 def _latest_version(spark: SparkSession, path: str, below: int) -> str | None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

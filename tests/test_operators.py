@@ -1,6 +1,10 @@
 """Operator-level properties on tiny inputs: null semantics, ties,
 duplicate keys, round trips."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import joins as J
@@ -104,25 +108,53 @@ def test_split_merge_round_trip(spark):
     assert sorted(map(tuple, back.select("img", "ch", "y", "x", "v").collect())) == sorted(rows)
 
 
-def test_box_overlap_counts_match_brute_force(spark):
-    """Negative and real coordinates, boxes without an area, an image of many boxes."""
-    import random
+def _boxes(rnd, n, images):
+    """Negative and real coordinates, ties, boxes without an area; the first image is the hot one."""
+    return [(i, rnd.randrange(images) if i % 2 else 0, rnd.choice([rnd.randrange(-20, 20), rnd.uniform(-20, 20)]) * 1.0,
+             rnd.randrange(-5, 40) * 1.0, rnd.choice([0.0, 0.5, rnd.randrange(1, 15) * 1.0]),
+             rnd.choice([0.0, -1.0, 3.0, rnd.uniform(1, 15)])) for i in range(n)]
+
+
+_BOX = "id bigint, img bigint, x double, y double, w double, h double"
+
+
+@pytest.mark.parametrize("slab", [1 << 16, 64, 7])
+def test_box_overlap_counts_match_brute_force(spark, slab):
+    """In one slab, and in so many that blocks of slabs count."""
     from quarry.operators.boxes import overlap_counts
-    rnd = random.Random(7)
-    rows = []
-    for i in range(160):
-        img = rnd.randrange(3) if i < 100 else 0  # image 0 is the hot one
-        rows.append((i, img, rnd.choice([rnd.randrange(-20, 20), rnd.uniform(-20, 20)]) * 1.0, rnd.randrange(-5, 40) * 1.0,
-                     rnd.choice([0.0, 0.5, rnd.randrange(1, 15) * 1.0]), rnd.choice([0.0, -1.0, 3.0, rnd.uniform(1, 15)])))
-    df = spark.createDataFrame(rows, "id bigint, img bigint, x double, y double, w double, h double")
-    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df).collect()}
+    rows = _boxes(random.Random(7), 260, 4)
+    got = {r["id"]: r["n_overlap"] for r in overlap_counts(spark.createDataFrame(rows, _BOX), slab=slab).collect()}
     for a in rows:
         want = sum(1 for b in rows if b[0] != a[0] and b[1] == a[1] and min(a[4], a[5], b[4], b[5]) > 0
                    and b[2] < a[2] + a[4] and a[2] < b[2] + b[4] and b[3] < a[3] + a[5] and a[3] < b[3] + b[5])
         assert got[a[0]] == want
+
+
+def test_boxes_that_overlap_nothing(spark):
+    from quarry.operators.boxes import overlap_counts
+    rows = [(1, 1, 0.0, 0.0, 5.0, 5.0), (2, 1, None, 0.0, 5.0, 5.0), (3, None, 0.0, 0.0, 5.0, 5.0), (4, None, 0.0, 0.0, 5.0, 5.0),
+            (5, 1, 0.0, 0.0, None, 5.0), (6, 1, 5.0, 0.0, 1.0, 1.0), (7, 2, -0.0, 0.0, 1.0, 1.0), (8, 2, -1.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, _BOX)
+    assert {(r["id"], r["n_overlap"]) for r in overlap_counts(df).collect()} == {(k, 0) for k in range(1, 9)}
     assert overlap_counts(df.limit(0)).count() == 0
 
 
+def test_one_image_of_many_boxes(spark):
+    from quarry.operators.boxes import overlap_counts
+    n = 100_000
+    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_000)) / 1000.0 for k in range(4)]
+    df = spark.range(n).select("id", F.lit(1).cast("bigint").alias("img"), u[0].alias("x"), (u[1] - 500).alias("y"),
+                               (u[2] / 50).alias("w"), (u[3] / 50).alias("h"))
+    got = {r["id"]: r["n_overlap"] for r in overlap_counts(df, slab=1 << 14).collect()}
+    m = np.array([tuple(r) for r in df.select("id", "x", "y", "w", "h").collect()])
+    x, y, x2, y2 = m[:, 1], m[:, 2], m[:, 1] + m[:, 3], m[:, 2] + m[:, 4]
+    assert len(got) == n
+    solid = (m[:, 3] > 0) & (m[:, 4] > 0)
+    for k in range(0, n, 97):
+        want = int(((x < x2[k]) & (x[k] < x2) & (y < y2[k]) & (y[k] < y2) & solid).sum()) - 1 if solid[k] else 0
+        assert got[int(m[k, 0])] == want
+
+
 def test_global_index_with_payload_columns(spark):
     """Ids are 1..n in order whatever the frame carries and later drops."""
     from pyspark.sql import functions as F

@@ -8,8 +8,9 @@ united with the other failing ids and their bits are put together; documents
 with equal bits, part and labels are counted, and only these few combinations
 are laid out over all orders of the filters.
 
-Scale: texts are read twice and exchanged only where their hash occurs more
-than once. Copies of one text are dealt over as many salts as they are
+Scale: texts are read twice and exchanged once, by their hash, to find those
+whose hash occurs more than once (always so: a broadcast of such hashes while
+they are few would only hide what the join costs); what is left goes on. Copies of one text are dealt over as many salts as they are
 thousands, and the one row of the first copy is repeated for each of them, so
 no text, however common, is one task. Everything else that is exchanged is
 ids, hashes and counts.
@@ -74,7 +75,7 @@ def later_copies(docs: DataFrame, facts: DataFrame) -> DataFrame:
                     .select("hash", F.ceil(F.col("n") / COPIES).cast("int").alias("salts")), "audit-shared")
     texts = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("hash", F.sha2("text", 256)).join(shared, "hash")
+    texts = texts.withColumn("hash", F.sha2("text", 256)).join(shared.hint("merge"), "hash")
     texts = stored(texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")), "audit-texts")
     firsts = (texts.groupBy("hash", "text", "salts").agg(F.min("doc_id").alias("first_id"))
               .select("hash", "text", "first_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))

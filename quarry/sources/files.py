@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, scratch_path
 
 
 # A null cell. Quoted empty cells are empty texts; a text equal to this mark
@@ -102,6 +102,26 @@ def materialize_or_reuse(spark: SparkSession, path: str, build: Callable[[], Dat
     return spark.read.parquet(path)
 
 
+_RESULTS: dict[tuple, str] = {}
+
+
+def once_per_input(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result ``name`` of the table at ``source``, built and stored once per
+    application and state of the table (bytes, files, time of its last change)
+    and read back by whoever asks again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, status = fs.getContentSummary(p), fs.getFileStatus(p)
+    key = (spark.sparkContext.applicationId, name, source, size.getLength(), size.getFileCount(),
+           status.getModificationTime())
+    path = _RESULTS.get(key)
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _RESULTS[key] = path
+    return spark.read.parquet(path)
+
+
 def write_vectors(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").parquet(path)
     return path

@@ -266,11 +266,19 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> Data
              .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     # Ids first: only the labels that have a document count.
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    pick = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    known = known.withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= most).drop("n")
-    # (two label values, ``most`` ids each)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
-        F.md5(F.col("doc_id").cast("string")).alias("key"), "quality", "text")
+    known = known.withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    # Only keys below a share that holds the first ``most`` of each value with room to spare are ordered.
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
+    share = {q: min(1.0, (1.2 * most + 100) / n) for q, n in counts.items()}
+    limit = F.lit("")
+    for q, part in share.items():
+        limit = F.when(F.col("quality") == q, F.lit(f"{int(part * 0xFFFFFFFF):08x}" + "g")).otherwise(limit)
+    pick = Window.partitionBy("quality").orderBy("key", "doc_id")
+    known = known.filter(F.col("key") < limit).withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= most)
+    known = known.select("doc_id", "quality", "key")
+    # (two label values, ``most`` ids each; of rows that repeat an id, the least text)
+    return (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+            .groupBy("key", "quality").agg(F.min("text").alias("text")))
 
 
 @dataclass

@@ -5,15 +5,15 @@ Texts are encoded, sorted by document id and cut into shards of about
 header, the documents' ids and lengths, the sorted ids that occur, and the
 bit-planes of a wavelet matrix over their numbers in that order. Plane b holds
 bit b of every number in the order that stable partitions by the higher bits
-leave; counts of ones at every ``STEP`` bits give rank, and rank gives access,
-counting and (halving on it) occurrence lookup. The file holds the planes only,
-each compressed whole: a reader unpacks them all and makes a plane's counts when
-a lookup first asks for them. Spark
+leave. Planes are compressed in blocks of ``BLOCK`` bits; beside them stand the
+ones before each block, where its bytes begin, and the block of every
+``BLOCK``-th one and zero. So access, rank (counting) and select (occurrence
+lookup) open only the blocks that they touch, a few per plane. Spark
 writes the bodies (one row and one Parquet file each), so half-written shards
 of a lost executor never show.
 
 Defined results: a null or blank text has no ids of its own, only the end id.
-Documents of equal id follow each other by their text. A text is never cut:
+A null document id comes first, kept apart from the number 0 by a flag. Documents of equal id follow each other by their text. A text is never cut:
 a very long one makes its shard longer. An empty table gives no shard and an
 empty result; other columns are ignored, whatever their names.
 """
@@ -33,64 +33,139 @@ from quarry.llm.bpe import tokenizer_path
 from quarry.llm.chunks import ChunkMemo, Rules
 from quarry.llm.common import read, scratch_path
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 SHARD_IDS = 1 << 20
-STEP = 512
+BLOCK = 1 << 15
+KEPT_BLOCKS = 64
 END_ID = 2
 
 
+def planes_of(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted ids that occur, and the bit-planes (packed, whole blocks) of
+    the ids' places among them, highest bit first."""
+    n = len(ids)
+    seen = np.bincount(ids) > 0 if n else np.zeros(0, bool)
+    alphabet = np.flatnonzero(seen).astype("<u4")
+    bits = max(len(alphabet) - 1, 0).bit_length()
+    kind = np.uint16 if bits <= 16 else np.uint32
+    a = (np.cumsum(seen) - 1).astype(kind)[ids] if n else np.zeros(0, kind)
+    room = -(-n // BLOCK) * (BLOCK // 8)
+    planes = []
+    for b in range(bits - 1, -1, -1):
+        one = (a & kind(1 << b)) != 0
+        plane = np.zeros(room, dtype=np.uint8)
+        packed = np.packbits(one, bitorder="little")
+        plane[: len(packed)] = packed
+        planes.append(plane)
+        if b:
+            a = np.concatenate([a.compress(~one), a.compress(one)])
+    return alphabet, planes
+
+
+def _samples(before: np.ndarray) -> np.ndarray:
+    """The block that holds every BLOCK-th of the bits counted by ``before`` (counts before each block, and in all)."""
+    return np.searchsorted(before[1:], np.arange(0, before[-1], BLOCK), "right").astype("<u4")
+
+
+_HEAD = "<4sIQQ"
+
+
+def pack(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
+    """One shard's file body."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    alphabet, planes = planes_of(ids)
+    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
+    index = squeeze(b"".join([known.tobytes(), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
+                              np.array(sizes, dtype="<i8").tobytes()]))
+    support, blocks, at = [], [], 0
+    for plane in planes:
+        rows = plane.reshape(-1, BLOCK // 8)
+        per = np.bitwise_count(rows.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        ones = np.concatenate([[0], np.cumsum(per)])
+        # (the bits after the last id are zeros that no lookup asks for)
+        zeros = np.minimum(np.arange(len(ones)) * BLOCK, len(ids)) - ones
+        small = [squeeze(r.tobytes()) for r in rows]
+        offsets = at + np.concatenate([[0], np.cumsum([len(x) for x in small])])
+        at = int(offsets[-1])
+        support += [ones.astype("<u8"), offsets.astype("<u8"), _samples(ones), _samples(zeros)]
+        blocks += small
+    parts = [index, squeeze(alphabet.tobytes()), b"".join(x.tobytes() for x in support)]
+    head = struct.pack(_HEAD, MAGIC, len(planes), len(doc_ids), len(ids))
+    return b"".join([head, struct.pack(f"<{len(parts)}Q", *map(len, parts)), *parts, *blocks])
+
+
 class WaveletMatrix:
-    """Bit-planes of a sequence of tokens, highest bit first; ``alphabet`` has
-    the sorted tokens that occur, and the planes their places in it."""
-
-    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray]):
-        self.n, self.alphabet, self.bits, self.planes = n, alphabet, len(planes), planes
-        self.zeros = [n - int(np.bitwise_count(p.view(np.uint64)).sum(dtype=np.int64)) for p in planes]
-        self._ones: dict[int, np.ndarray] = {}
-
-    def _blocks(self, level: int) -> np.ndarray:
-        """Ones before each block of STEP bits of a plane, made when first asked for."""
-        if level not in self._ones:
-            per = np.bitwise_count(self.planes[level]).reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
-            self._ones[level] = np.concatenate([[0], np.cumsum(per)])
-        return self._ones[level]
-
-    @staticmethod
-    def build(ids: np.ndarray) -> WaveletMatrix:
-        n = len(ids)
-        seen = np.bincount(ids) > 0 if n else np.zeros(0, bool)
-        alphabet = np.flatnonzero(seen).astype("<u4")
-        bits = max(len(alphabet) - 1, 0).bit_length()
-        kind = np.uint16 if bits <= 16 else np.uint32
-        a = (np.cumsum(seen) - 1).astype(kind)[ids] if n else np.zeros(0, kind)
-        room = -(-n // STEP) * (STEP // 8)
-        planes = []
-        for b in range(bits - 1, -1, -1):
-            one = (a & kind(1 << b)) != 0
-            plane = np.zeros(room, dtype=np.uint8)
-            packed = np.packbits(one, bitorder="little")
-            plane[: len(packed)] = packed
-            planes.append(plane)
-            if b:
-                a = np.concatenate([a.compress(~one), a.compress(one)])
-        return WaveletMatrix(n, alphabet, planes)
+    """Lookups in a shard's body. A lookup opens the blocks that it touches: one
+    a plane for access, two a plane at most for rank, and for select one more on
+    the way up; ``opened`` counts them. A few opened blocks are kept."""
+
+    def __init__(self, body: bytes | memoryview, n: int, alphabet: np.ndarray, bits: int, support: np.ndarray, first: int):
+        self.n, self.alphabet, self.bits = n, alphabet, bits
+        self._body, self._first, self.opened = memoryview(body), first, 0
+        self._open: dict[tuple[int, int], bytes] = {}
+        nb, at = -(-n // BLOCK) + 1, 0
+        self._ones, self._offset, self._samples = [], [], []
+        for _ in range(bits):
+            self._ones.append(np.frombuffer(support, "<u8", nb, at).astype(np.int64))
+            self._offset.append(np.frombuffer(support, "<u8", nb, at + 8 * nb).astype(np.int64))
+            at += 16 * nb
+            total = int(self._ones[-1][-1])
+            pair = []
+            for count in (n - total, total):
+                size = -(-count // BLOCK)
+                pair.append(size)
+            one = np.frombuffer(support, "<u4", pair[1], at)
+            zero = np.frombuffer(support, "<u4", pair[0], at + 4 * pair[1])
+            self._samples.append((zero, one))
+            at += 4 * (pair[0] + pair[1])
+        self.zeros = [n - int(o[-1]) for o in self._ones]
+
+    def _block(self, level: int, k: int) -> bytes:
+        """The bits of one block of a plane."""
+        got = self._open.get((level, k))
+        if got is None:
+            import zstandard
+
+            a, b = self._offset[level][k: k + 2]
+            got = zstandard.ZstdDecompressor().decompress(self._body[self._first + a: self._first + b])
+            self.opened += 1
+            if len(self._open) >= KEPT_BLOCKS:
+                self._open.pop(next(iter(self._open)))
+            self._open[level, k] = got
+        return got
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // STEP
-        p = self.planes[level][block * (STEP // 8): i // 8]
-        ones = int(self._blocks(level)[block]) + int(np.bitwise_count(p).sum())
-        if i % 8:
-            ones += (int(self.planes[level][i // 8]) & ((1 << i % 8) - 1)).bit_count()
+        k, rest = divmod(i, BLOCK)
+        ones = int(self._ones[level][k])
+        if rest:
+            ones += (int.from_bytes(self._block(level, k)[: -(-rest // 8)], "little") & ((1 << rest) - 1)).bit_count()
         return ones
 
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8]) >> (i % 8) & 1
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) bit of the given value in a plane: the
+        samples name two blocks between which it lies, the counts the one."""
+        ones = self._ones[level]
+        marks = self._samples[level][bit]
+        lo = int(marks[k // BLOCK])
+        hi = int(marks[k // BLOCK + 1]) if k // BLOCK + 1 < len(marks) else len(ones) - 2
+
+        def before(j: int) -> int:
+            return int(ones[j]) if bit else j * BLOCK - int(ones[j])
+
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if before(mid) <= k else (lo, mid - 1)
+        row = np.unpackbits(np.frombuffer(self._block(level, lo), np.uint8), bitorder="little")
+        return lo * BLOCK + int(np.flatnonzero(row == bit)[k - before(lo)])
 
     def access(self, i: int) -> int:
         v = 0
         for lev in range(self.bits):
-            bit, ones = self._bit(lev, i), self._rank1(lev, i)
+            bit = self._block(lev, i // BLOCK)[i % BLOCK // 8] >> (i % 8) & 1
+            ones = self._rank1(lev, i)
             v = v << 1 | bit
             i = self.zeros[lev] + ones if bit else i - ones
         return int(self.alphabet[v])
@@ -99,46 +174,57 @@ class WaveletMatrix:
         k = int(np.searchsorted(self.alphabet, token))
         return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
-    def _range(self, code: int, lo: int, hi: int) -> tuple[int, int]:
+    def _bit_of(self, code: int, level: int) -> int:
+        return code >> (self.bits - 1 - level) & 1
+
+    def _down(self, code: int, i: int) -> int:
+        """Where the first i places lead below the last plane."""
         for lev in range(self.bits):
-            a, b = self._rank1(lev, lo), self._rank1(lev, hi)
-            if code >> (self.bits - 1 - lev) & 1:
-                lo, hi = self.zeros[lev] + a, self.zeros[lev] + b
-            else:
-                lo, hi = lo - a, hi - b
-        return lo, hi
+            ones = self._rank1(lev, i)
+            i = self.zeros[lev] + ones if self._bit_of(code, lev) else i - ones
+        return i
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of a token among the first i ids."""
         code = self._code(token)
-        if code is None:
-            return 0
-        lo, hi = self._range(code, 0, i)
-        return hi - lo
+        return 0 if code is None else self._down(code, i) - self._down(code, 0)
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        hi = self.n if hi is None else hi
-        return self.rank(token, hi) - self.rank(token, lo)
+        code = self._code(token)
+        return 0 if code is None else self._down(code, self.n if hi is None else hi) - self._down(code, lo)
 
     def select(self, token: int, k: int) -> int:
-        """Position of the k-th occurrence (from 0), found by halving on rank."""
-        if k < 0 or k >= self.rank(token, self.n):
+        """Position of the k-th occurrence (from 0)."""
+        if k < 0 or k >= self.count(token):
             raise IndexError(k)
-        lo, hi = 0, self.n
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(token, mid) > k else (mid, hi)
-        return lo
+        code = self._code(token)
+        return self._up(code, self._down(code, 0) + k)
+
+    def _up(self, code: int, i: int) -> int:
+        for lev in range(self.bits - 1, -1, -1):
+            bit = self._bit_of(code, lev)
+            i = self._select(lev, bit, i - self.zeros[lev] if bit else i)
+        return i
 
     def find(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.rank(token, self.n))]
+        code = self._code(token)
+        if code is None:
+            return []
+        return [self._up(code, i) for i in range(self._down(code, 0), self._down(code, self.n))]
+
+    def _plane(self, level: int) -> bytes:
+        import zstandard
+
+        opened = zstandard.ZstdDecompressor()
+        cuts = (self._first + self._offset[level]).tolist()
+        return b"".join(opened.decompress(self._body[a:b]) for a, b in zip(cuts, cuts[1:]))
 
     def all(self) -> np.ndarray:
         """Every id in order: the stable partitions undone from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         v = np.zeros(self.n, dtype=kind)
         for lev in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[lev], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(np.frombuffer(self._plane(lev), np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, dtype=kind)
             z = self.zeros[lev]
             out[np.flatnonzero(~one)] = v[:z]
@@ -147,36 +233,23 @@ class WaveletMatrix:
         return self.alphabet[v]
 
 
-def pack(doc_ids: list[int], sizes: list[int], ids: np.ndarray) -> bytes:
-    """One shard's file body."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    wm = WaveletMatrix.build(ids)
-    index = squeeze(np.array([doc_ids, sizes], dtype="<i8").tobytes())
-    planes = [squeeze(p.tobytes()) for p in wm.planes]
-    parts = [index, squeeze(wm.alphabet.tobytes()), *planes]
-    head = struct.pack("<4sIQQ", MAGIC, wm.bits, len(doc_ids), len(ids))
-    return b"".join([head, struct.pack(f"<{len(parts)}Q", *map(len, parts)), *parts])
-
-
-def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, their numbers of ids, and the wavelet matrix of a shard."""
+def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Document ids, their numbers of ids, and the lookups of a shard; no plane is opened."""
     import zstandard
 
-    magic, bits, n_docs, n = struct.unpack_from("<4sIQQ", body)
+    magic, bits, n_docs, n = struct.unpack_from(_HEAD, body)
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    at = struct.calcsize("<4sIQQ")
-    lengths = struct.unpack_from(f"<{bits + 2}Q", body, at)
-    at += 8 * (bits + 2)
-    parts = []
-    for size in lengths:
-        parts.append(zstandard.ZstdDecompressor().decompress(body[at: at + size]))
-        at += size
-    index = np.frombuffer(parts[0], dtype="<i8").reshape(2, n_docs)
-    return index[0], index[1], WaveletMatrix(
-        n, np.frombuffer(parts[1], dtype="<u4"), [np.frombuffer(p, dtype=np.uint8) for p in parts[2:]])
+    at = struct.calcsize(_HEAD)
+    lengths = struct.unpack_from("<3Q", body, at)
+    cuts = np.cumsum([at + 24, *lengths]).tolist()
+    opened = zstandard.ZstdDecompressor().decompress
+    index = opened(body[cuts[0]: cuts[1]])
+    known = np.frombuffer(index, np.uint8, n_docs)
+    ids, sizes = (np.frombuffer(index, "<i8", n_docs, n_docs * (1 + 8 * k)) for k in range(2))
+    alphabet = np.frombuffer(opened(body[cuts[1]: cuts[2]]), "<u4")
+    return ([d if k else None for d, k in zip(ids.tolist(), known.tolist())], sizes,
+            WaveletMatrix(body, n, alphabet, bits, body[cuts[2]: cuts[3]], cuts[3]))
 
 
 _MEMO: dict[str, tuple[ChunkMemo, str]] = {}
@@ -285,7 +358,7 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(ends - sizes),
-                     pa.array(docs), pa.array(sizes), pa.array(crc, pa.int64())],
+                     pa.array(docs, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64())],
                     names=["part", "shard", "at", "doc_id", "n_tokens", "ids_crc32"])
 
     bodies = spark.read.parquet(where).select("part", "shard", "body")

@@ -100,7 +100,7 @@ def test_wavelet_matrix_against_brute_force():
     for n, top in ((0, 5), (1, 5), (700, 1), (5000, 49408), (3000, 7)):
         ids = r.integers(0, top, n).astype("<u2")
         docs, sizes, wm = token_files.unpack(token_files.pack([4], [n], ids))
-        assert docs.tolist() == [4] and sizes.tolist() == [n] and wm.all().tolist() == ids.tolist()
+        assert docs == [4] and sizes.tolist() == [n] and wm.all().tolist() == ids.tolist()
         for i in r.integers(0, max(n, 1), 20) if n else []:
             assert wm.access(int(i)) == ids[i]
         for t in [0, 3, 49407, *ids[:5].tolist()]:
@@ -109,3 +109,26 @@ def test_wavelet_matrix_against_brute_force():
             assert [wm.select(t, k) for k in range(min(len(at), 10))] == at[:10]
             if len(at) < 50:
                 assert wm.find(t) == at
+
+
+def test_lookups_open_only_the_blocks_they_touch():
+    r = np.random.default_rng(2)
+    ids = r.integers(0, 3000, 400_000).astype("<u2")
+    ids[::7] = 5
+    body = token_files.pack([1, None], [100, len(ids) - 100], ids)
+    blocks = -(-len(ids) // token_files.BLOCK) * 12
+    at = {t: np.flatnonzero(ids == t) for t in (5, 17)}
+    for ask, most, want in [(lambda w: w.access(333_333), 12, ids[333_333]), (lambda w: w.rank(17, 200_000), 24, (at[17] < 200_000).sum()),
+                            (lambda w: w.select(5, 30_000), 60, at[5][30_000]), (lambda w: w.select(17, 99), 60, at[17][99])]:
+        docs, sizes, wm = token_files.unpack(body)
+        assert wm.opened == 0 and docs == [1, None]
+        assert ask(wm) == want and wm.opened <= most < blocks
+    assert wm.find(17) == at[17].tolist() and (wm.all() == ids).all()
+
+
+def test_op9_null_ids_come_first(spark, write):
+    rows = [(0, "zero", None, None, None), (None, "of no id", None, None, None), (5, None, None, None, None),
+            (None, None, None, None, None), (-1, "minus", None, None, None)]
+    got = token_files.op9_wavelet_token_files(spark, write("documents", rows, DOCS)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -1, 0, 5]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()

@@ -6,15 +6,18 @@ prefix's encoding ends with. An Aho-Corasick automaton over the vocabulary
 gives the tokens that end at each prefix, longest first; a token is that last token if
 it is compatible with the last token of the prefix before it, i.e. if merging
 the texts of both leaves this very pair. Back-pointers from the end give the
-ids. A pre-token that is in the vocabulary as a whole skips the table. No merge
-queue runs over the text.
+ids. Only the longest word-end token's length of suffixes is tried at the end
+of a pre-token, so its cost grows with its length alone. No merge queue runs
+over the text.
 
-The rules around the model (NFC, lower case, the split pattern, the byte
-alphabet, word ends, special strings) follow the tokenizer file; the file's
-path is a parameter and nothing of it is stored here.
+The file's path is a parameter. Its vocabulary, merges, word end and special
+strings are used as they are; the steps around the model (NFC, lower case, the
+split pattern, the byte alphabet) are built in, and a file that asks for
+others is refused (``chunks.refuse_other``).
 
 Defined results: a null or blank text has no ids and decodes to the empty
-text. Decoding joins the tokens by one space, as the library does for a file
+text; a text of millions of letters without a blank is one pre-token and is
+encoded whole. A null or repeated id is passed on like any other. Decoding joins the tokens by one space, as the library does for a file
 without a decoder. Repeated rows give repeated results; an empty table gives
 an empty result. Other columns, whatever their names, pass through
 ``encode_documents`` untouched, except that its two outputs replace columns
@@ -81,6 +84,7 @@ class PrefixBPE:
             else:
                 self.inner.add_word(t, (i, len(t)))
         self.inner.make_automaton()
+        self.longest = max(map(len, self.last))
         self._letter = byte_alphabet()
         self._pairs: dict[int, bool] = {}
         self._decimal: list[str] = []
@@ -120,9 +124,6 @@ class PrefixBPE:
         elif not piece.isprintable():
             piece = "".join(map(self._letter.__getitem__, piece.encode("ascii")))
         n = len(piece)
-        whole = self.last.get(piece)
-        if whole is not None:
-            return [whole]
         token, back, compatible = [-1] * (n + 1), [0] * (n + 1), self.compatible
         for end, (t, size) in self.inner.iter(piece):
             i = end + 1
@@ -132,9 +133,10 @@ class PrefixBPE:
                 j = i - size
                 if j == 0 or (token[j] >= 0 and compatible(token[j], t)):
                     token[i], back[i] = t, j
-        for j in range(1, n):
+        # The last token ends the word: the longest such token whose prefix has a table entry that it suits.
+        for j in range(max(0, n - self.longest), n):
             t = self.last.get(piece[j:])
-            if t is not None and token[j] >= 0 and compatible(token[j], t):
+            if t is not None and (j == 0 or (token[j] >= 0 and compatible(token[j], t))):
                 out = [t]
                 while j > 0:
                     out.append(token[j])

@@ -44,14 +44,45 @@ def split(text: str) -> list[str]:
     return text.split(" ")
 
 
+# What a tokenizer file must ask for around its model. The rules
+# below do just this; a file with others is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None,
+         "byte_fallback": False, "ignore_merges": False}
+
+
+def refuse_other(spec: dict) -> None:
+    """Raise for a tokenizer file whose rules aren't those built in here."""
+    model = spec.get("model") or {}
+    asked = [("normalizer", spec.get("normalizer"), NORMALIZER), ("pre_tokenizer", spec.get("pre_tokenizer"), PRE_TOKENIZER),
+             ("decoder", spec.get("decoder"), None), ("post_processor", spec.get("post_processor"), None),
+             *[(f"model.{k}", model.get(k), v) for k, v in MODEL.items()]]
+    for name, got, want in asked:
+        if got != want:
+            raise ValueError(f"tokenizer file with another {name}: {got!r}")
+    if not model.get("end_of_word_suffix"):
+        raise ValueError("tokenizer file without a word end")
+    odd = [t["content"] for t in spec["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]
+           or "<" not in t["content"]]
+    if odd:
+        raise ValueError(f"tokenizer file with other kinds of added tokens: {odd}")
+
+
 class Rules:
     """What the tokenizer file does before its model: special strings stand for
-    themselves, the rest is brought to NFC, lower-cased and cut by the pattern."""
+    themselves, the rest is brought to NFC, lower-cased and cut by the pattern.
+    A file that asks for anything else is refused."""
 
     def __init__(self, path: str):
         import regex
 
         self.spec = json.load(open(path, encoding="utf-8"))
+        refuse_other(self.spec)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
         self._special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")

@@ -132,3 +132,44 @@ def test_op9_null_ids_come_first(spark, write):
     got = token_files.op9_wavelet_token_files(spark, write("documents", rows, DOCS)).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, -1, 0, 5]
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
+def test_every_word_of_the_vocabulary_through_the_table(library):
+    """Also those words that are one token: the table and the library agree on all of them."""
+    m, _ = bpe.model(bpe.tokenizer_path())
+    back = {c: b for b, c in enumerate(bpe.byte_alphabet())}
+    words = []
+    for w in m.last:
+        try:
+            words.append(bytes(back[c] for c in w).decode())
+        except UnicodeDecodeError:
+            continue  # part of a character
+    words = [w for w in words if m.rules.pieces(w) == [w]]
+    assert len(words) > 30_000
+    want = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert [m.encode_piece(w) for w in words] == want
+
+
+def test_a_million_letters_without_a_blank(spark, write, library):
+    import time
+    r = random.Random(8)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    m, _ = bpe.model(bpe.tokenizer_path())
+    began = time.time()
+    ids = m.encode_piece(text)
+    assert time.time() - began < 60
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    rows = [(1, text, None, None, None), (None, text, None, None, None), (1, "x", None, None, None)]
+    got = bpe.op2_bpe_prefix_dp(spark, write("documents", rows, DOCS)).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 1), (False, len(ids)), (True, len(ids))]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}},
+                                    {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_tokenizer_files_are_refused(tmp_path, change):
+    import json
+    spec = json.load(open(bpe.tokenizer_path(), encoding="utf-8")) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="tokenizer file"):
+        bpe.PrefixBPE(str(path))

@@ -16,8 +16,13 @@ so all trees miss it with at most 0.2 ** 8 = 3e-6 (1e-5 when branched).
 What the nodes find joins classes into candidate clusters; each class's full
 set then goes once to its cluster, where links are decided on the full sets.
 Neither step emits pairs: a node or cluster gives one edge per member, to the
-smallest id of its connected part. Clusters too large for one task are cut
-into blocks, and every pair of blocks is a task.
+smallest id of its connected part. In a cluster too large for one task, a
+growing part starts at the smallest id: every round a few of its members, the
+pivots, are compared with all that is not yet reached, and what is linked with
+one of them joins the part. A round sends each unreached set once and each
+pivot once a block, so a group of near copies, however large, costs a few
+times what it holds. What no round reached is compared with the part and with
+itself, block against block, so that no link is lost.
 
 Defined results: texts without words have an empty set, are linked with
 nothing and are their own component. A null id is left out (it names no
@@ -43,8 +48,11 @@ BRANCHES = 2
 DEPTH = 4
 BLOCK_SHINGLES = 1_000_000
 BLOCK_MEMBERS = 128
+RECTANGLE = 512
 SMALL_IDS = 1_000_000
 PERCENT = 80
+PIVOTS = 8
+ROUNDS = 8
 
 _U = np.uint64
 _seeds = np.random.default_rng(20_240_607)
@@ -189,6 +197,83 @@ def blocks(df: DataFrame, n_blocks: Column) -> DataFrame:
     return d.withColumn("grp", F.when(F.col("__k") == 1, F.col("grp")).otherwise(pair)).drop("__k", "__m", "__o")
 
 
+def pivot_links(pivots: DataFrame, rest: DataFrame) -> DataFrame:
+    """(grp, a, b): each row of ``rest`` (b) that is linked with a pivot (a) of
+    its group, once. Both have grp, cid, k and full; a group's rows are dealt
+    over k keys, to each of which its pivots go."""
+    import pyarrow as pa
+
+    mine = F.pmod(F.xxhash64("cid"), F.col("k")).cast("int")
+    first = pivots.select("grp", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("salt"),
+                          F.lit(0).alias("kind"), "cid", "full")
+    both = first.unionByName(rest.select("grp", mine.alias("salt"), F.lit(1).alias("kind"), "cid", "full"))
+    ordered = both.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "kind", "cid")
+
+    def run(batches):
+        at, known = None, []
+        for batch in batches:
+            out = []
+            for grp, salt, kind, cid, full in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, salt) != at:
+                    at, known = (grp, salt), []
+                s = np.frombuffer(full, "<u8")
+                if kind == 0:
+                    known.append((cid, s))
+                    continue
+                for a, p in known:
+                    small, large = (s, p) if len(s) < len(p) else (p, s)
+                    if 100 * len(small) < PERCENT * len(large):
+                        continue  # too different in size
+                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    n = int(np.count_nonzero(large[place] == small))
+                    if 100 * n >= PERCENT * (len(s) + len(p) - n):
+                        out.append((grp, a, cid))
+                        break
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["grp", "a", "b"])
+
+    return ordered.mapInArrow(run, "grp long, a long, b long")
+
+
+def large_cluster_links(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is linked in the clusters of ``sets``
+    (grp, cid, k, full; stored), by rounds of pivots and blocks for the rest."""
+    reached = stored(sets.groupBy("grp").agg(F.min("cid").alias("cid")), "reached")
+    rest = sets.join(reached.select("cid"), "cid", "left_anti")
+    edges = []
+    for r in range(ROUNDS):
+        order = F.xxhash64("cid", F.lit(r))
+        chosen = (reached.groupBy("grp", F.pmod(order, F.lit(PIVOTS)).alias("slot"))
+                  .agg(F.min_by("cid", order).alias("cid")).select("cid"))
+        pivots = stored(sets.join(chosen, "cid", "left_semi"), "pivots")
+        found = stored(pivot_links(pivots, rest), "pivot-links")
+        edges.append(found.select("a", "b"))
+        if found.isEmpty():
+            break
+        reached = stored(reached.unionByName(found.select("grp", F.col("b").alias("cid"))), "reached")
+        rest = stored(rest.join(found.select(F.col("b").alias("cid")), "cid", "left_anti"), "unreached")
+        if rest.isEmpty():
+            return _all(edges)
+    # Rectangles of blocks: the unreached against the reached, and against each other.
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        size = F.sum(F.octet_length("full") / 8)
+        return rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / RECTANGLE), F.ceil(size / BLOCK_SHINGLES))
+                                       .cast("int").alias(name))
+
+    inside = sets.join(reached.select("cid"), "cid", "left_semi")
+    shape = sized(rest, "over").join(sized(inside, "down"), "grp")
+    inside, across = inside.join(shape, "grp"), rest.join(shape, "grp")
+    left = inside.select(F.pmod(F.xxhash64("cid"), F.col("down")).cast("int").alias("i"), "grp", "cid", "full",
+                         F.explode(F.sequence(F.lit(0), F.col("over") - 1)).alias("j"))
+    right = across.select(F.pmod(F.xxhash64("cid"), F.col("over")).cast("int").alias("j"), "grp", "cid", "full",
+                          F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"))
+    pairs = left.unionByName(right).select(F.xxhash64("grp", "i", "j").alias("grp"), "cid", "full")
+    own = blocks(across.select("grp", "cid", "over", "full"), F.col("over")).select(
+        F.xxhash64("grp", F.lit("own")).alias("grp"), "cid", "full")
+    edges.append(grouped_edges(pairs.unionByName(own), ["full"], exact_like))
+    return _all(edges)
+
+
 def nodes(classes: DataFrame) -> DataFrame:
     """(grp, cid) of every node to be compared, from the trees."""
     def sized(rows: DataFrame) -> DataFrame:
@@ -278,9 +363,14 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     # Blocks of a cluster are small in members and in shingles, so that a large
     # group of copies is many tasks.
     per = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("k")
-    member = member.join(member.groupBy("root").agg(per), "root").select(F.col("root").alias("grp"), "cid", "k")
+    member = stored(member.join(member.groupBy("root").agg(per), "root").select(F.col("root").alias("grp"), "cid", "k"),
+                    "members")
     sets = member.join(full_sets(texts), "cid")
-    links = grouped_edges(blocks(sets, F.col("k")), ["full"], exact_like)
+    links = grouped_edges(sets.filter(F.col("k") <= 1), ["full"], exact_like)
+    large = member.filter(F.col("k") > 1)
+    if not large.isEmpty():
+        links = links.unionByName(large_cluster_links(
+            stored(large.join(full_sets(texts), "cid").select("grp", "cid", "k", "full"), "large-clusters")))
     roots = stored(components(links), "components")
     classed = classes.select("key", "cid").join(roots, "cid", "left").select(
         "key", F.coalesce("root", "cid").alias("root"))

@@ -69,6 +69,49 @@ def test_op7_components_against_brute_force(spark, write, monkeypatch, small_nod
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in want.items() if c == d} | {None}
 
 
+def test_a_large_cluster_ships_each_set_a_few_times(spark, write, monkeypatch):
+    """Thousands of distinct near copies of one text, some of which only chains hold together."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(2500):
+        w = base[:]
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(300)] = f"x{r.randrange(10 ** 6)}"
+        rows.append((d, " ".join(w)))
+    sent = []
+    ordered = neardup.grouped_edges
+    monkeypatch.setattr(neardup, "grouped_edges",
+                        lambda df, columns, like: (sent.append(df.count()) if columns == ["full"] else None, ordered(df, columns, like))[1])
+    pivots = neardup.pivot_links
+    monkeypatch.setattr(neardup, "pivot_links", lambda p, rest: (
+        sent.append(rest.count() + p.selectExpr("sum(k)").first()[0]), pivots(p, rest))[1])
+    sf = write("documents", [(d, t, None, None, None) for d, t in rows], DOCS)
+    got = {x.doc_id: x.component_id for x in neardup.op7_chosen_path_dedup(spark, sf).collect()}
+    # brute force by counting the shingles that pairs share (vectorised)
+    codes, sets = {}, []
+    for _, t in rows:
+        sets.append(np.array(sorted({codes.setdefault(x, len(codes)) for x in shingle_set(t, 4, True)})))
+    has = np.zeros((len(rows), len(codes)), np.float32)
+    for k, x in enumerate(sets):
+        has[k, x] = 1
+    both = has @ has.T
+    size = has.sum(1)
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    want, left = {}, set(range(len(rows)))
+    while left:
+        seed = min(left)
+        part, queue = {seed}, [seed]
+        while queue:
+            new = set(np.flatnonzero(near[queue.pop()]).tolist()) - part
+            part |= new
+            queue += new
+        want |= {d: seed for d in part}
+        left -= part
+    assert got == want
+    assert sum(sent) < 6 * len(rows)  # blocks against blocks would send 20 times as many
+
+
 def test_op7_repeated_rows_and_empty_table(spark, write):
     rows = [(1, "a b c d e", None, None, None)] * 2 + [(2, "a b c d e", None, None, None)]
     got = sorted(tuple(r) for r in neardup.op7_chosen_path_dedup(spark, write("documents", rows, DOCS)).collect())

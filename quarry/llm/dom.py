@@ -28,7 +28,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 ENDS_P = BLOCK - {"br", "option", "select", "button", "label", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -44,6 +44,13 @@ class Page:
     breaks: set = field(default_factory=set)
 
 
+def _attribute_words(a: re.Match) -> list[str]:
+    """The words of an attribute; a role is also kept as one word of its own."""
+    name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+    words = ["hidden"] if name == "hidden" else _WORD.findall(value)
+    return [*words, f"role:{value}"] if name == "role" else words
+
+
 def parse(html: str) -> Page:
     page = Page()
     stack = [0]
@@ -91,8 +98,7 @@ def parse(html: str) -> Page:
         attrs = m[3]
         got: tuple = ()
         if attrs and "=" in attrs or "hidden" in attrs:
-            got = tuple(w for a in _ATTR.finditer(attrs) for w in _WORD.findall(
-                ("hidden" if a[1].lower() == "hidden" else a[2] or a[3] or a[4] or "").lower()))
+            got = tuple(w for a in _ATTR.finditer(attrs) for w in _attribute_words(a))
         node = len(tags)
         tags.append(name)
         parents.append(stack[-1])

@@ -11,10 +11,13 @@ ancestor and a descendant never contradict each other.
 Training uses up to ``PAGES`` pages of the table, picked by hashes of the id, of
 at most ``CHARS`` characters together (both bounds are parameters; a page that
 doesn't fit in what is left is passed over, and where none fits, the shortest of
-the draw is taken, so that any page with text makes a model): their own trees, labelled by the article element, and variants in which the same texts are
+the draw is taken, so that any page with text makes a model): their own trees, and variants in which the same texts are
 laid out in other ways, with unnamed containers and with menus, sidebars,
 notices, forms and reader comments, so that the trees don't lean on one
-template.
+template. A page's main part is its article elements; where it has none, its
+main element, role or microdata; else a guess, the part that holds the most
+text outside links. Guessed pages teach only where fewer than ``KNOWN_SHARE``
+of the sample name their main part.
 
 Defined results: a null or empty page, and one without main text, give the
 empty text. Broken markup is read as far as it goes. Repeated rows give
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm.common import read
-from quarry.llm.dom import Page, features, kept_text, parse
+from quarry.llm.dom import ATTRIBUTE_GROUPS, BLOCK, Page, features, kept_text, parse
 
 PAGES = 240
 CHARS = 7_200_000
@@ -42,6 +45,12 @@ TREES = 60
 TREE_DEPTH = 4
 BINS = 32
 RATE = 0.2
+KNOWN_SHARE = 0.5  # of the sampled pages: from here on only those that name their main part teach
+
+# What a main part without an article element doesn't extend to.
+OFF_TAGS = frozenset(("nav", "aside", "footer", "header", "form", "button", "select", "label", "dialog", "menu", "script",
+                      "style", "noscript", "template", "head", "iframe", "svg"))
+OFF_WORDS = frozenset(w for g in ATTRIBUTE_GROUPS[1:6] + ATTRIBUTE_GROUPS[7:] for w in g) - {"top", "bottom", "none", "tags", "review"}
 
 
 @dataclass
@@ -125,16 +134,61 @@ def decode(parents: list[int], score: np.ndarray) -> np.ndarray:
     return state == 1
 
 
+def _off(page: Page) -> np.ndarray:
+    """Nodes of elements, or of attribute words, that don't belong to a main text, and all below them."""
+    out = np.zeros(len(page.tags), bool)
+    for i in range(1, len(out)):
+        out[i] = out[page.parents[i]] or page.tags[i] in OFF_TAGS or not OFF_WORDS.isdisjoint(page.words[i])
+    return out
+
+
+def _densest(page: Page, off: np.ndarray) -> list[int]:
+    """The node that holds the most text: every text outside links counts fully
+    for the parent of its block and half for the grandparent."""
+    own = np.zeros(len(page.tags))
+    for node, text in page.texts:
+        own[node] += 0 if off[node] else len("".join(text.split()))
+    for i in range(len(own) - 1, 0, -1):  # texts of inline elements are their block's
+        if page.tags[i] not in BLOCK:
+            own[page.parents[i]] += 0 if page.tags[i] == "a" else own[i]
+            own[i] = 0
+    held = np.zeros(len(own))
+    for i in range(1, len(own)):
+        p = page.parents[i]
+        held[p] += own[i]
+        held[max(page.parents[p], 0)] += own[i] / 2
+    held[0] = 0
+    return [int(held.argmax())] if held.max() > 0 else []
+
+
+def main_roots(page: Page) -> tuple[list[int], str]:
+    """Where the main text of a page is, and how that is known: a variant's mark,
+    article elements, main elements, roles or microdata, or (a guess) the
+    densest part."""
+    nodes = range(1, len(page.tags))
+    for how, is_root in (
+            ("mark", lambda i: "xxmain" in page.words[i]),
+            ("article", lambda i: page.tags[i] == "article" and "xxother" not in page.words[i]),
+            ("main", lambda i: page.tags[i] == "main" or "articlebody" in page.words[i]
+             or "role:main" in page.words[i] or "role:article" in page.words[i])):
+        found = [i for i in nodes if is_root(i)]
+        if found:
+            return found, how
+    return _densest(page, _off(page)), "densest"
+
+
 def labels(page: Page) -> np.ndarray:
-    """1 for the nodes of an article element, or of one marked as a variant's article."""
+    """1 for the nodes of the main part. Inside an article or a variant's main
+    part all of it counts but what is marked as off; inside the others also
+    not what its elements or attribute words say is something else."""
     out = np.zeros(len(page.tags))
+    roots, how = main_roots(page)
+    roots, off = set(roots), _off(page) if how in ("main", "densest") else None
     for i in range(1, len(out)):
         p = page.parents[i]
-        words = page.words[i]
-        if "xxoff" in words:
+        if "xxoff" in page.words[i] or (off is not None and off[i]):
             continue
-        out[i] = 1 if "xxmain" in words or (page.tags[i] == "article" and "xxother" not in words) else (
-            out[p] if "xxoff" not in page.words[p] else 0)
+        out[i] = 1 if i in roots else (out[p] if "xxoff" not in page.words[p] else 0)
     return out
 
 
@@ -242,11 +296,15 @@ def examples(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         ys.append(y)
         return y
 
-    for html in pages:
-        page = parse(html)
+    parsed = [parse(html) for html in pages]
+    known = [main_roots(p)[1] != "densest" for p in parsed]
+    if sum(known) >= KNOWN_SHARE * len(parsed):  # guesses are only for tables that say little themselves
+        parsed = [p for p, k in zip(parsed, known) if k]
+    for page in parsed:
         keep = add(page) > 0
-        for _ in range(VARIANTS):
-            add(parse(variant(page, keep, r)))
+        if keep.any():
+            for _ in range(VARIANTS):
+                add(parse(variant(page, keep, r)))
     return np.concatenate(xs), np.concatenate(ys)
 
 

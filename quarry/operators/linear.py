@@ -17,7 +17,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -79,6 +79,12 @@ class Descent:
         return -q if g @ q > 0 else -g
 
 
+def parts_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """How many tasks read rows that many passes go over: a few hundred passes
+    over little data cost what starting their tasks costs."""
+    return max(1, min(4 * max(spark.sparkContext.defaultParallelism, 8), -(-rows // per_task)))
+
+
 def _columns(batch, *names):
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
@@ -244,12 +250,11 @@ def calibrated_svm(train: DataFrame, label: str, fold: str, n_classes: int, size
     mean, over the folds, of the probabilities normalised over the classes.
 
     ``train`` has ``idx``, ``val``, the class number ``label`` and the fold
-    number ``fold``. It is stored once, in as many parts as there are cores or
-    more, because every pass reads it."""
+    number ``fold``. It is stored once, because every pass reads it."""
     import pyarrow as pa
 
     spark = train.sparkSession
-    n_parts = max(spark.sparkContext.defaultParallelism, 8)
+    n_parts = parts_for(spark, train.count(), 8 * ROWS)
     path = scratch_path(spark, "svm-rows")
     none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
     rows = train.select(F.col(label).cast("int").alias(label), F.col(fold).cast("int").alias(fold),

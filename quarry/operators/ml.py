@@ -6,12 +6,14 @@ Python only assembles pipelines and collects small metric rows.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from multiprocessing.pool import ThreadPool
+
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,13 +106,6 @@ def rf_classifier(label: str, trees: int = 100, depth: int = MAX_DEPTH, seed: in
                                   cacheNodeIds=True, maxMemoryInMB=1024)
 
 
-def gbt_multiclass(label: str, rounds: int = 100, seed: int = 42, parallelism: int = 4) -> OneVsRest:
-    """Gradient boosting is binary in Spark ML: one-vs-rest over classes,
-    the per-class models trained concurrently."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed), labelCol=label, featuresCol="features",
-                     parallelism=parallelism)
-
-
 TRAIN_PARTITIONS = 8
 
 
@@ -128,39 +123,63 @@ def accuracy_of(pred: DataFrame, label: str) -> float:
     return float(ev.evaluate(pred))
 
 
-def compare_models(train: DataFrame, valid: DataFrame, label: str, estimators: dict) -> DataFrame:
-    """Fit each estimator, score train and validation accuracy; result rows
-    (model, train_acc, valid_acc, is_best) – best by validation, first
-    listed wins a tie."""
+def compare_models(train: DataFrame, valid: DataFrame, label: str, fits: dict) -> DataFrame:
+    """Fit each candidate and score training and validation accuracy: (model,
+    train_acc, valid_acc, is_best), the first of equal ones best. ``fits``:
+    name → function of the training rows that gives a function from rows to
+    rows with ``prediction``."""
     rows = []
-    for name, est in estimators.items():
-        m = est.fit(train)
-        rows.append((name, accuracy_of(m.transform(train), label), accuracy_of(m.transform(valid), label)))
+    for name, fit in fits.items():
+        predict = fit(train)
+        rows.append((name, accuracy_of(predict(train), label), accuracy_of(predict(valid), label)))
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
     spark = train.sparkSession
     return spark.createDataFrame([(n, a, b, i == best) for i, (n, a, b) in enumerate(rows)],
                                  "model string, train_acc double, valid_acc double, is_best boolean")
 
 
-def grid_search_cv(df: DataFrame, label: str, key: str, est, grid_spec: dict, folds: int = 3,
-                   parallelism: int = 4, seed: int = 42):
-    """Cross-validated grid search (accuracy) over stratified folds; returns
-    (best model, result rows per parameter combination)."""
-    b = ParamGridBuilder()
-    for param, values in grid_spec.items():
-        b = b.addGrid(getattr(est, param), values)
-    grid = b.build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        parallelism=parallelism, seed=seed, foldCol="fold")
-    model = cv.fit(stratified_folds(df, label, key, folds))
+def forest_prefix(model: RandomForestClassificationModel, trees: int) -> RandomForestClassificationModel:
+    """The forest of a model's first trees. Trees don't know of each other, so
+    these are as good a forest of their number as one trained alone."""
+    sc = SparkContext._active_spark_context
+    java, jvm = model._java_obj, sc._jvm.org.apache.spark.ml.classification
+    every = java.trees()
+    some = sc._gateway.new_array(jvm.DecisionTreeClassificationModel, trees)
+    for k in range(trees):
+        some[k] = every[k]
+    out = RandomForestClassificationModel(jvm.RandomForestClassificationModel(
+        f"{java.uid()}-{trees}", some, java.numFeatures(), java.numClasses()))
+    out._java_obj.setFeaturesCol(java.getFeaturesCol())
+    return out
+
+
+def grid_search_cv(df: DataFrame, label: str, key: str, trees: list[int], depths: list[int], folds: int = 3,
+                   parallelism: int = 3, seed: int = 42) -> DataFrame:
+    """Cross-validated accuracy of forests for every number of trees and depth,
+    over stratified folds: (params, cv_accuracy, is_best), the first of equal
+    ones best. A forest is trained once per depth and fold, with the most trees
+    asked for; the smaller ones are its beginnings. Folds are trained side by side."""
+    dealt = stratified_folds(df, label, key, folds).persist()
+
+    def scores(task: tuple[int, int]) -> tuple[int, list[float]]:
+        depth, fold = task
+        held = F.col("fold") == fold
+        model = rf_classifier(label, max(trees), depth, seed).fit(dealt.filter(~held))
+        return depth, [accuracy_of(forest_prefix(model, n).transform(dealt.filter(held)), label) for n in trees]
+
+    tasks = [(d, f) for d in sorted(depths, reverse=True) for f in range(folds)]
+    try:
+        with ThreadPool(parallelism) as pool:
+            done = pool.map(inheritable_thread_target(df.sparkSession)(scores), tasks, chunksize=1)
+    finally:
+        dealt.unpersist()
     rows = []
-    for pm, metric in zip(grid, model.avgMetrics):
-        rows.append((", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(metric)))
+    for depth in depths:
+        of_folds = [s for d, s in done if d == depth]
+        rows += [(f"maxDepth={depth}, numTrees={n}", sum(s[k] for s in of_folds) / folds, depth, n) for k, n in enumerate(trees)]
     best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
-    res = df.sparkSession.createDataFrame([(p, m, i == best) for i, (p, m) in enumerate(rows)],
-                                          "params string, cv_accuracy double, is_best boolean")
-    return model.bestModel, res
+    return df.sparkSession.createDataFrame([(p, m, i == best, d, n) for i, (p, m, d, n) in enumerate(rows)],
+                                           "params string, cv_accuracy double, is_best boolean, max_depth int, num_trees int")
 
 
 def feature_importance(model, names: list[str]) -> DataFrame:
@@ -174,11 +193,11 @@ def feature_importance(model, names: list[str]) -> DataFrame:
 
 def topk_probabilities(pred: DataFrame, key: str, labels: list[str], k: int = 5,
                        floor: float = 0.03) -> DataFrame:
-    """The k most probable classes per row, dropping those below ``floor``;
+    """``pred`` has ``probs`` (array) or ``probability`` (ML vector). The k most probable classes per row, dropping those below ``floor``;
     confidence as a percentage with one decimal. The class list is the
     (bounded) label set of the fitted indexer."""
     from quarry.functions.text import round_half_up
-    arr = vector_to_array("probability")
+    arr = F.col("probs") if "probs" in pred.columns else vector_to_array("probability")
     ex = pred.select(key, F.posexplode(arr).alias("cls", "p"))
     w = Window.partitionBy(key).orderBy(F.desc("p"), F.asc("cls"))
     top = ex.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("p") >= floor))

@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.text import round_half_up
+from quarry.operators.graph import components
+from quarry.session import ensure_checkpoint_dir
 
 KEYS = ["img", "ch", "y", "x"]
 
@@ -576,21 +579,75 @@ def edge_candidates(g: DataFrame, low: float, high: float) -> DataFrame:
     return c.select(*KEYS, (m > high).alias("strong"))
 
 
-def canny(g: DataFrame, low: float = 100.0, high: float = 700.0) -> DataFrame:
-    """Edges with hysteresis: candidates above ``low`` after suppression
-    are kept when an 8-neighbour chain of candidates links them to a pixel
-    above ``high`` (breadth-first reachability, see operators.graph)."""
-    from quarry.operators.graph import reachability
-
-    c = edge_candidates(g, low, high)
-    cand = c.withColumn("node", F.struct(*KEYS))
-    offs = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                               for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]))
-    nbr = (cand.withColumn("o", offs)
-           .select(F.col("node").alias("src"), "img", "ch", (F.col("y") + F.col("o.dy")).alias("y"),
-                   (F.col("x") + F.col("o.dx")).alias("x")))
-    edges = nbr.join(cand.select(*KEYS, F.col("node").alias("dst")), KEYS).select("src", "dst")
-    seeds = cand.filter("strong").select("node")
-    reached = reachability(edges, seeds).select("node")
-    on = cand.join(reached, "node", "left_semi").select(*KEYS, F.lit(255).alias("e"))
+TILE = 64  # pixels along a tile's side
+
+
+def _tile_parts(table):
+    """The candidates of one tile with the first pixel (in row order) of the
+    connected part that each belongs to, by union-find over the tile's pixels."""
+    import pyarrow as pa
+
+    y, x = table["y"].to_numpy(), table["x"].to_numpy()
+    order = np.lexsort((x, y))
+    at = {(int(y[k]), int(x[k])): n for n, k in enumerate(order)}
+    up = list(range(len(at)))
+
+    def top(n: int) -> int:
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for (py, px), n in at.items():
+        for q in ((py, px - 1), (py - 1, px - 1), (py - 1, px), (py - 1, px + 1)):
+            if q in at:
+                a, b = top(at[q]), top(n)
+                up[max(a, b)] = min(a, b)
+    first = np.array([order[top(n)] for n in range(len(up))])
+    root = np.empty(len(order), int)
+    root[order] = first
+    kept = [table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in (*KEYS, "strong")]
+    return pa.table([*kept, pa.array(y[root]), pa.array(x[root])], names=[*KEYS, "strong", "ry", "rx"])
+
+
+def linked_parts(c: DataFrame, tile: int = TILE) -> tuple[DataFrame, int]:
+    """Candidates (img, ch, y, x, strong) with ``part``, the same for all that
+    8-neighbour chains link, and the rounds that joining tiles took.
+
+    Tiles are labelled on their own, a bounded number of pixels each; pixels on
+    a seam link the parts on its two sides, and these links, far fewer than the
+    pixels, are what the rounds run over (none where every image is one tile)."""
+    ensure_checkpoint_dir(c.sparkSession)
+    ints = c.select("img", "ch", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "strong")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ints.schema.fields) + ", ry int, rx int"
+    rows = (ints.withColumn("_ty", F.floor(F.col("y") / tile)).withColumn("_tx", F.floor(F.col("x") / tile))
+            .groupBy("img", "ch", "_ty", "_tx").applyInArrow(_tile_parts, schema))
+    local = F.struct("img", "ch", F.col("ry").alias("y"), F.col("rx").alias("x"))
+    rows = rows.select(*KEYS, "strong", local.alias("part")).checkpoint()
+
+    def edge(k: str):
+        return F.pmod(F.col(k), F.lit(tile)).isin(0, tile - 1)
+
+    rim = rows.filter(edge("y") | edge("x"))
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+                                 for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]))
+    ny, nx = F.col("y") + F.col("o.dy"), F.col("x") + F.col("o.dx")
+    other = (F.floor(ny / tile) != F.floor(F.col("y") / tile)) | (F.floor(nx / tile) != F.floor(F.col("x") / tile))
+    out = rim.withColumn("o", around).filter(other).select(
+        "img", "ch", ny.cast("int").alias("y"), nx.cast("int").alias("x"), F.col("part").alias("a"))
+    seams = out.join(rim.select(*KEYS, F.col("part").alias("b")), KEYS).select("a", "b").distinct().checkpoint()
+    if seams.isEmpty():
+        return rows, 0
+    whole, rounds = components(seams)
+    joined = rows.join(whole.withColumnRenamed("node", "part"), "part", "left")
+    return joined.select(*KEYS, "strong", F.coalesce("component", "part").alias("part")), rounds
+
+
+def canny(g: DataFrame, low: float = 100.0, high: float = 700.0, tile: int = TILE) -> DataFrame:
+    """Edges with hysteresis: candidates above ``low`` after suppression are
+    kept when an 8-neighbour chain of candidates links them to a pixel above
+    ``high``, i.e. when their linked part has one."""
+    parts, _ = linked_parts(edge_candidates(g, low, high), tile)
+    strong = parts.groupBy("part").agg(F.bool_or("strong").alias("_s")).filter("_s").select("part")
+    on = parts.join(strong, "part", "left_semi").select(*KEYS, F.lit(255).alias("e"))
     return g.select(*KEYS).join(on, KEYS, "left").select(*KEYS, F.coalesce("e", F.lit(0)).alias("v"))

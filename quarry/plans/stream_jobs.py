@@ -53,13 +53,16 @@ def stream_threshold_alert(spark, d):
 
 @register("stream_intent_route", sql=_INTENT_SQL)
 def stream_intent_route(spark, d):
+    """Three arrivals, each picked up by a restart of the query."""
     conv = Tables(spark, d).conversations
-    root = SJ.stage_files(conv, "conv-stream")
-    stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", conv.schema).filter(F.col("role") == "user")
-    routed = SJ.route_intents(stream, T.trim_lower("text"), FX.intent_rules_df(spark), FX.INTENT_DEFAULT)
-    out = scratch_path(spark, "routed")
-    SJ.run_to_parquet(routed.select("conv_id", "turn", "intent"), out)
-    return spark.read.parquet(out)
+    root, out = scratch_path(spark, "conv-stream"), scratch_path(spark, "routed")
+    rules = FX.intent_rules_df(spark)
+    for i in range(3):
+        conv.filter(F.pmod("conv_id", F.lit(3)) == i).write.parquet(f"{root}/part{i}")
+        stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", conv.schema).filter(F.col("role") == "user")
+        SJ.run_foreach_batch(stream, SJ.intent_writer(out, T.trim_lower("text"), rules, FX.INTENT_DEFAULT,
+                                                      ["conv_id", "turn", "intent"]), out + "-ckpt")
+    return spark.read.parquet(out).select("conv_id", "turn", "intent")
 
 
 def _syn_sql(e):
@@ -87,9 +90,7 @@ def stream_validate_score(spark, d):
     """validate → clean → sentiment per user message; accepted rows and
     rejects go to two sink tables from one foreachBatch writer."""
     conv = Tables(spark, d).conversations
-    root = SJ.stage_files(conv, "conv-validate")
-    stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", conv.schema).filter(F.col("role") == "user")
-    checked = validate_requests(stream.select("conv_id", "turn", "text"))
+    root = scratch_path(spark, "conv-validate")
     tokens = T.preprocess_tokens(T.synonym_rewrite(F.lower(T.strip_ws("text"))))
 
     def score(batch):
@@ -98,7 +99,11 @@ def stream_validate_score(spark, d):
         return s.select("conv_id", "turn", "status", "error", "polarity")
 
     ok, bad = scratch_path(spark, "accepted"), scratch_path(spark, "rejected")
-    SJ.run_foreach_batch(checked, SJ.two_sink_writer(ok, bad, prepare=score), ok + "-ckpt")
+    for i in range(3):  # each arrival is picked up by a restart of the query
+        conv.filter(F.pmod("conv_id", F.lit(3)) == i).write.parquet(f"{root}/part{i}")
+        stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", conv.schema).filter(F.col("role") == "user")
+        checked = validate_requests(stream.select("conv_id", "turn", "text"))
+        SJ.run_foreach_batch(checked, SJ.two_sink_writer(ok, bad, prepare=score), ok + "-ckpt")
     a = spark.read.parquet(ok).select("conv_id", "turn", F.lit("accepted").alias("sink"), "error", "polarity")
     b = spark.read.parquet(bad).select("conv_id", "turn", F.lit("rejected").alias("sink"), "error", "polarity")
     return a.unionByName(b)

@@ -48,9 +48,12 @@ def threshold_alerts(events: DataFrame, key: str, ts: str, is_hit, threshold: in
                     (F.col("n_hits") >= threshold).alias("is_alert"))
 
 
-def route_intents(messages: DataFrame, text, rules: DataFrame, default: str) -> DataFrame:
-    """Stateless per-message classification (rules inlined as a CASE)."""
-    return keyword_classify(messages, text, rules, default)
+def intent_writer(path: str, text, rules: DataFrame, default: str, columns: list[str]):
+    """foreachBatch writer of per-message classification: a folder a batch,
+    overwritten when the batch is replayed."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keyword_classify(batch, text, rules, default).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
 
 
 def latest_state_upsert(spark: SparkSession, table_path: str, key: str, order: list[str], fields: list[str]):

@@ -52,6 +52,7 @@ def topk_unit(queries: DataFrame, base: DataFrame, query_ids: DataFrame, base_id
     ``queries`` (qid, term, q) and ``base`` (id, term, w) are long, weights above
     0 and each term once a row; ``query_ids`` (qid) and ``base_ids`` (id) list
     all rows, also those without terms, which are at distance 2 from all."""
+    base, queries = _kept(base, "weights"), _kept(queries, "query-weights")
     sizes = base.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
     sizes = _kept(sizes.select("term", "most", F.ceil(F.col("df") / POSTINGS).cast("int").alias("salts")), "terms")
     postings = _kept(base.join(sizes.select("term", "salts"), "term").select(

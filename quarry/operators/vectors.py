@@ -200,8 +200,8 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def knn_search(queries: DataFrame, base: DataFrame, k: int = 5, query_block_rows: int = QUERY_BLOCK_ROWS,
-               base_block_rows: int = BASE_BLOCK_ROWS) -> tuple[DataFrame, dict[str, int]]:
-    """``knn_topk``, and how many of the pairs of a query and a block it visited."""
+               base_block_rows: int = BASE_BLOCK_ROWS, report: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """``knn_topk``, and (with ``report``) how many of the pairs of a query and a block it visited."""
     spark = queries.sparkSession
     path = scratch_path(spark, "queries")
     queries.filter(F.col("vec").isNotNull()).select("qid", "vec").write.parquet(path)
@@ -219,6 +219,8 @@ def knn_search(queries: DataFrame, base: DataFrame, k: int = 5, query_block_rows
     more.write.parquet(out)
     more = spark.read.schema(more.schema).parquet(out)
     found = _ranked(near.drop("rank").unionByName(_scored(more, index, k, query_block_rows)), k)
+    if not report:
+        return found, {}
     n_q = queries.count()
     homes = _visits(queries, index.blocks, k, True).count()
     return found, {"pairs": n_q * len(index.blocks.size), "visited": homes + more.count()}
@@ -231,7 +233,7 @@ def knn_topk(queries: DataFrame, base: DataFrame, k: int = 5, query_block_rows:
 
     ``queries``: (qid, vec); ``base``: (id, vec), all vectors of one length.
     Rows without a vector are left out. ``qid`` names a query."""
-    return knn_search(queries, base, k, query_block_rows, base_block_rows)[0]
+    return knn_search(queries, base, k, query_block_rows, base_block_rows, report=False)[0]
 
 
 def round_dist(df: DataFrame, digits: int = 4, col: str = "dist", out: str = "distance") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import scratch_path
 
 
 def accuracy(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame:
@@ -29,16 +29,16 @@ def classification_report(df: DataFrame, actual="actual", predicted="predicted")
     """Per class precision, recall, F1, support; then accuracy, macro and
     weighted averages as extra rows (``label`` = 'accuracy', 'macro avg',
     'weighted avg'); undefined ratios are 0."""
-    # the K×K matrix feeds four small aggregates: compute it once. Rows without
-    # one of the labels can't be judged and are left out.
-    ensure_checkpoint_dir(df.sparkSession)
-    cm = confusion_matrix(df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull()),
-                          actual, predicted).checkpoint()
-    per = cm.groupBy(F.col("actual").alias("c")).agg(
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum("n").alias("support"))
-    pred_tot = cm.groupBy(F.col("predicted").alias("c")).agg(F.sum("n").alias("npred"))
-    r = per.join(pred_tot, "c")
+    # Counts by (actual, predicted) pair that occurs, not the grid of all pairs: K
+    # classes give K rows. Rows without one of the labels can't be judged and are left out.
+    path = scratch_path(df.sparkSession, "report")
+    (df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+     .groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n")).write.parquet(path))
+    counts = df.sparkSession.read.parquet(path)
+    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)
+    sides = counts.select(F.col("a").alias("c"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).alias("npred")).unionByName(
+        counts.select(F.col("p").alias("c"), F.lit(0).alias("tp"), F.lit(0).alias("support"), F.col("n").alias("npred")))
+    r = sides.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("tp", "support", "npred")])
     r = (r.withColumn("precision", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred")), F.lit(0.0)))
          .withColumn("recall", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0)))
          .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),

@@ -22,6 +22,8 @@ from quarry.functions.common import is_test, split_bucket
 from quarry.operators.profile import global_index
 
 
+SALTS = 64
+
 # ---------------------------------------------------------------- features
 
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -56,18 +58,19 @@ def split_random(df: DataFrame, key: str, test_pct: int = 20) -> DataFrame:
 
 def split_stratified(df: DataFrame, label: str, key: str, test_frac: float = 0.2) -> DataFrame:
     """Per class, the ceil(frac·n) rows first in (hash bucket, key) order go
-    to test. Distributed: one global ordering on (class, bucket, key) plus
-    per-class start offsets – no window over a whole class."""
-    b = df.withColumn("_bucket", split_bucket(key))
+    to test; rows without a class are in neither side. Distributed: one global
+    ordering on (class, bucket, key); a class begins at its least position in
+    it. The class table is joined on the class and a salt of ``SALTS``, so that
+    a class of any share of the rows is many keys, and classes may be many."""
+    b = df.filter(F.col(label).isNotNull()).withColumn("_bucket", split_bucket(key))
     idx = global_index(b, [F.col(label), F.col("_bucket"), F.col(key)])
-    # (the positions come from one stored layout; class sizes from the table itself)
-    per = df.groupBy(label).agg(F.count("*").alias("_n"))
-    starts = per.select(label, "_n", F.coalesce(F.sum("_n").over(
-        Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    j = idx.join(F.broadcast(starts), label)  # one row per class
+    per = idx.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"), F.min("_idx").alias("_start"))
+    per = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.col("_idx"), F.lit(SALTS)).cast("int")
+    j = idx.join(per, (F.col(label) == F.col("_label")) & (salt == F.col("_salt")))
     in_test = (F.col("_idx") - F.col("_start")) < F.ceil(F.col("_n") * test_frac)
     return j.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_bucket", "_idx", "_n", "_start")
+        "_bucket", "_idx", "_n", "_start", "_label", "_salt")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, out: str = "fold") -> DataFrame:

@@ -201,9 +201,9 @@ def _orders_split(spark, d):
     return ML.training_frame(o.filter(F.col("split") == "train")), o.filter(F.col("split") == "test")
 
 
-def _fitted(estimator):
+def _fitted(make, *args, **kw):
     """An estimator as a candidate: rows → (rows → rows with predictions)."""
-    return lambda train: estimator.fit(train).transform
+    return lambda train: make("label", *args, **kw).fit(train).transform
 
 
 def _boosted(train):
@@ -211,7 +211,7 @@ def _boosted(train):
     return lambda rows: model.transform(rows.select("o_orderkey", "label", *ORDER_FEATURES), ORDER_FEATURES)
 
 
-ORDER_MODELS = {"logistic": _fitted(ML.logistic("label", 1000)), "rf_classifier": _fitted(ML.rf_classifier("label", 100)),
+ORDER_MODELS = {"logistic": _fitted(ML.logistic, 1000), "rf_classifier": _fitted(ML.rf_classifier, 100),
                 "gbt": _boosted}
 
 
@@ -277,8 +277,8 @@ def _text_svm(train, n_classes):
 
 
 def _text_models(n_classes, n_train):
-    return {"random_forest": _fitted(ML.rf_classifier("label", 300)),
-            "logistic": _fitted(ML.logistic("label", 1000, c=5.0, n=n_train)),
+    return {"random_forest": _fitted(ML.rf_classifier, 300),
+            "logistic": _fitted(ML.logistic, 1000, c=5.0, n=n_train),
             "svm_calibrated": lambda train: _text_svm(train, n_classes).transform}
 
 

@@ -30,14 +30,19 @@ def raster(t):
         F.pmod(F.col("p"), F.lit(SIDE)).cast("int").alias("x"),
         F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.col("e").cast("double") + 0.6) * 212.5)))
         .cast("int").alias("v"))
+    return px
+
+
+def colour(t):
+    """The images that have all three channels: what mixes channels needs them."""
     complete = (t.embeddings.groupBy(F.floor(F.col("vec_id") / 3).cast("bigint").alias("img"))
                 .agg(F.count_distinct(F.pmod(F.col("vec_id"), F.lit(3))).alias("n_ch"))
                 .filter(F.col("n_ch") == 3).select("img"))
-    return px.join(complete, "img", "left_semi")
+    return raster(t).join(complete, "img", "left_semi")
 
 
 def gray(t):
-    return RA.gray(raster(t))
+    return RA.gray(colour(t))
 
 
 def D(x: float) -> str:
@@ -50,13 +55,13 @@ raster AS (
   SELECT (vec_id // 3)::BIGINT AS img, (vec_id % 3)::INTEGER AS ch, ((p - 1) // {SIDE})::INTEGER AS y,
          ((p - 1) % {SIDE})::INTEGER AS x,
          least(255, greatest(0, floor((e::DOUBLE + {D(0.6)}) * {D(212.5)})))::INTEGER AS v
-  FROM (SELECT vec_id, unnest(embedding) AS e, unnest(generate_series(1, len(embedding))) AS p FROM embeddings)
-  WHERE vec_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 3) = 3)),
+  FROM (SELECT vec_id, unnest(embedding) AS e, unnest(generate_series(1, len(embedding))) AS p FROM embeddings)),
+colour AS (SELECT * FROM raster WHERE img IN (SELECT img FROM raster GROUP BY 1 HAVING count(DISTINCT ch) = 3)),
 gray AS (
   SELECT img, 0 AS ch, y, x,
          floor({D(RA.GRAY_WEIGHTS[2])} * max(v) FILTER (WHERE ch = 2) + {D(RA.GRAY_WEIGHTS[1])} * max(v) FILTER (WHERE ch = 1)
                + {D(RA.GRAY_WEIGHTS[0])} * max(v) FILTER (WHERE ch = 0))::INTEGER AS v
-  FROM raster GROUP BY img, y, x),
+  FROM colour GROUP BY img, y, x),
 dims AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM raster GROUP BY img)"""
 
 
@@ -121,14 +126,14 @@ def raster_gray(spark, d):
     return gray(Tables(spark, d)).select("img", "y", "x", "v")
 
 
-@register("raster_channel_reorder", sql=W("SELECT img, 2 - ch AS ch, y, x, v FROM raster"))
+@register("raster_channel_reorder", sql=W("SELECT img, 2 - ch AS ch, y, x, v FROM colour"))
 def raster_channel_reorder(spark, d):
-    return RA.channel_reorder(raster(Tables(spark, d)))
+    return RA.channel_reorder(colour(Tables(spark, d)))
 
 
 _HSV_SQL = W(f"""
 , px AS (SELECT img, y, x, max(v) FILTER (WHERE ch = 0)::DOUBLE AS b, max(v) FILTER (WHERE ch = 1)::DOUBLE AS g,
-               max(v) FILTER (WHERE ch = 2)::DOUBLE AS r FROM raster GROUP BY img, y, x),
+               max(v) FILTER (WHERE ch = 2)::DOUBLE AS r FROM colour GROUP BY img, y, x),
 m AS (SELECT *, greatest(b, g, r) AS mx, greatest(b, g, r) - least(b, g, r) AS d FROM px),
 h0 AS (SELECT *, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN mx = r THEN {D(60)} * (g - b) / d
                       WHEN mx = g THEN {D(120)} + {D(60)} * (b - r) / d ELSE {D(240)} + {D(60)} * (r - g) / d END AS h FROM m)
@@ -140,13 +145,13 @@ _HSV_SQL = _HSV_SQL.replace("dims AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS
 
 @register("raster_hsv", sql=_HSV_SQL)
 def raster_hsv(spark, d):
-    return RA.hsv(raster(Tables(spark, d)))
+    return RA.hsv(colour(Tables(spark, d)))
 
 
-@register("raster_split_merge", sql=W("SELECT * FROM raster"))
+@register("raster_split_merge", sql=W("SELECT * FROM colour"))
 def raster_split_merge(spark, d):
     """split → (b, g, r) per pixel → merge back: must give the input."""
-    return RA.merge_channels(RA.split_channels(raster(Tables(spark, d))))
+    return RA.merge_channels(RA.split_channels(colour(Tables(spark, d))))
 
 
 @register("raster_minmax_norm", sql=W("""

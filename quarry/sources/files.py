@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.session import ensure_checkpoint_dir, scratch_path
+from quarry.sources.records import csv_records
 
 
-# A null cell. Quoted empty cells are empty texts; a text equal to this mark
-# is the one value that a round trip can't keep.
+# A null cell. Quoted empty cells are empty texts; a text that is this mark, or
+# backslashes and this mark, is written with one backslash more.
 NULL_MARK = "\\N"
-_CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": NULL_MARK, "emptyValue": "",
+_CSV = {"quote": '"', "escape": '"', "nullValue": NULL_MARK, "emptyValue": "",
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CORRUPT = "_corrupt_record"
 
 
+def _strings(df: DataFrame, names, change: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with its string columns among ``names`` changed."""
+    kinds = dict(df.dtypes)
+    return df.select(*[change(F.col(f"`{c}`")).alias(c) if c in names and kinds[c] == "string" else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Header line, no index column; overwrite (idempotent on task retry).
     Blanks, quotes, line ends, empty texts and nulls come back as they were."""
-    w = df.write.mode("overwrite").options(**_CSV).option("quoteAll", True)
+    marked = _strings(df, set(df.columns) - set(partition_by or []), lambda c: F.regexp_replace(c, r"^(\\+N)$", r"\\$1"))
+    w = marked.write.mode("overwrite").options(header=True, **_CSV).option("quoteAll", True)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -35,33 +44,36 @@ def _schema(schema: StructType | str) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
+def _parsed(spark: SparkSession, path: str, schema: StructType, mode: str, **options) -> DataFrame:
+    """The records at ``path`` as columns of ``schema``, in as many tasks as the files have splits."""
+    records = csv_records(spark, path, **options)
+    how = {"mode": mode, "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true", **{k: str(v) for k, v in _CSV.items()}}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    d = records.select("file", F.from_csv("value", ddl, how).alias("r")).select(F.col("file").alias("_path"), "r.*")
+    return _strings(d, {f.name for f in schema.fields} - {CORRUPT}, lambda c: F.regexp_replace(c, r"^\\(\\+N)$", "$1"))
+
+
 def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str,
                      **options) -> tuple[DataFrame, DataFrame]:
     """(rows that fit the declared schema, rejects). Every record is parsed in
     full whatever columns are used later, so both have the same rows for
-    every query; a reject keeps its line in ``_corrupt_record``. Quoted line
-    ends belong to their cell, so a file is read by one task."""
+    every query; a reject keeps its line in ``_corrupt_record``."""
     full = StructType([*_schema(schema).fields, StructField(CORRUPT, StringType())])
-    df = (spark.read.schema(full).options(**_CSV).options(multiLine=True, mode="PERMISSIVE", columnPruning=False,
-                                                          columnNameOfCorruptRecord=CORRUPT, **options).csv(path)
-          .withColumn("_path", F.col("_metadata.file_path")))
     ensure_checkpoint_dir(spark)
-    df = df.checkpoint()  # both outputs come from one and the same parse
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select("_path", CORRUPT)
+    df = _parsed(spark, path, full, "PERMISSIVE", **options).checkpoint()  # both outputs come from one and the same parse
+    ok = df.filter(F.col(CORRUPT).isNull()).select(*[f"`{f.name}`" for f in _schema(schema).fields], "_path")
+    return ok, df.filter(F.col(CORRUPT).isNotNull()).select("_path", CORRUPT)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed CSV read: declared schema, header skipped (no inference pass). A
     row that doesn't fit fails the query instead of turning into nulls."""
-    return (spark.read.schema(schema).options(**_CSV)
-            .options(multiLine=True, mode="FAILFAST", columnPruning=False).csv(path))
+    return _parsed(spark, path, _schema(schema), "FAILFAST").drop("_path")
 
 
 def read_csv_positional(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Header present but ignored: the declared names are applied by
-    position (``enforceSchema``)."""
-    return (spark.read.schema(schema).options(**_CSV)
-            .options(multiLine=True, mode="FAILFAST", columnPruning=False, enforceSchema=True).csv(path))
+    """Header present but ignored: the declared names are applied by position."""
+    return read_csv(spark, path, schema)
 
 
 def read_csv_tree(spark: SparkSession, root: str, schema: StructType | str,

@@ -113,15 +113,15 @@ def stream_validate_score(spark, d):
 SELECT user_id, event_id, ts, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_latest_state(spark, d):
-    """Newest state per key, upserted batch by batch into a versioned table
-    (three file batches)."""
+    """Newest state per key, upserted batch by batch (three file batches) as
+    deltas on a base, merged on read."""
     ev = Tables(spark, d).events
     root = SJ.stage_files(ev, "events-latest", [F.col("event_id") % 3 == i for i in range(3)])
     stream = SJ.event_stream(spark, f"{root}/part*/*.parquet", ev.schema, max_files=1)
     table = scratch_path(spark, "latest")
-    SJ.run_foreach_batch(stream, SJ.latest_state_upsert(spark, table, "user_id", ["ts", "event_id"],
-                                                        ["event_id", "ts", "event_type", "value"]), table + "-ckpt")
-    return SJ.read_latest(spark, table)
+    how = ("user_id", ["ts", "event_id"], ["event_id", "ts", "event_type", "value"])
+    SJ.run_foreach_batch(stream, SJ.latest_state_upsert(spark, table, *how), table + "-ckpt")
+    return SJ.read_latest(spark, table, *how)
 
 
 @register("stream_until_sentinel", sql="""

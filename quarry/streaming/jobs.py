@@ -56,43 +56,60 @@ def intent_writer(path: str, text, rules: DataFrame, default: str, columns: list
     return write
 
 
-def latest_state_upsert(spark: SparkSession, table_path: str, key: str, order: list[str], fields: list[str]):
-    """foreachBatch writer keeping the newest row per key: each batch is
-    reduced to one row per key (partial aggregation), merged with the
-    current table and written as a new version; the table version is
-    named by batch id, so a replayed batch rewrites the same version."""
+COMPACT_SHARE = 0.5  # deltas of this share of the base's rows are merged into a new base
+
+
+def latest_state_upsert(spark: SparkSession, table_path: str, key: str, order: list[str], fields: list[str],
+                        share: float = COMPACT_SHARE):
+    """foreachBatch writer keeping the newest row per key, merged on read.
+
+    A batch is reduced to one row per key (partial aggregation) and written as
+    a delta of its own, so what a batch writes follows the batch, not the table.
+    When the deltas since the last base have ``share`` of its rows, base and
+    deltas become a new base: over time that costs each row a bounded number of
+    rewrites. Both are named by batch id and written with overwrite, and a base
+    counts once it is complete, so a replayed batch changes nothing."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        cur_path = f"{table_path}/v={batch_id}"
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("s"))
-        newest = newest.select(key, *[F.col(f"s.{f}").alias(f) for f in fields])
-        prev = _latest_version(spark, table_path, below=batch_id)
-        if prev is not None:
-            both = spark.read.parquet(prev).unionByName(newest)
-            newest = both.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("s")).select(
-                key, *[F.col(f"s.{f}").alias(f) for f in fields])
-        newest.write.mode("overwrite").parquet(cur_path)
+        newest = _newest(batch, key, order, fields)
+        newest.write.mode("overwrite").parquet(f"{table_path}/d={batch_id}")
+        base, deltas = _pieces(spark, table_path, batch_id)
+        rows = sum(spark.read.parquet(p).count() for p in deltas)  # (from the files' footers)
+        if base is None or rows > share * spark.read.parquet(base).count():
+            if base != f"{table_path}/v={batch_id}":
+                _merged(spark, base, deltas, key, order, fields).write.mode("overwrite").parquet(f"{table_path}/v={batch_id}")
     return upsert
 
 
-def _latest_version(spark: SparkSession, path: str, below: int) -> str | None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _newest(df: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    best = F.max_by(F.struct(*fields), F.struct(*order)).alias("s")
+    return df.groupBy(key).agg(best).select(key, *[F.col(f"s.{f}").alias(f) for f in fields])
+
+
+def _merged(spark: SparkSession, base: str | None, deltas: list[str], key: str, order: list[str],
+            fields: list[str]) -> DataFrame:
+    return _newest(spark.read.parquet(*([base] if base else []), *deltas), key, order, fields)
+
+
+def _pieces(spark: SparkSession, path: str, upto: int) -> tuple[str | None, list[str]]:
+    """The newest complete base up to a batch, and the deltas after it up to the batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v="):
-            v = int(name[2:])
-            if v < below and (best is None or v > best):
-                best = v
-    return None if best is None else f"{path}/v={best}"
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    v = _latest_version(spark, path, below=1 << 62)
-    return spark.read.parquet(v)
+    found: dict[str, list[int]] = {"v": [], "d": []}
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            kind, _, n = st.getPath().getName().partition("=")
+            done = spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
+            if kind in found and int(n) <= upto and fs.exists(done):
+                found[kind].append(int(n))
+    at = max(found["v"], default=None)
+    return (None if at is None else f"{path}/v={at}",
+            [f"{path}/d={n}" for n in sorted(found["d"]) if at is None or n > at])
+
+
+def read_latest(spark: SparkSession, path: str, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """The newest row per key of base and deltas."""
+    base, deltas = _pieces(spark, path, 1 << 62)
+    return _merged(spark, base, deltas, key, order, fields)
 
 
 def two_sink_writer(ok_path: str, bad_path: str, split_col: str = "status", ok_value: str = "accepted",

@@ -18,7 +18,8 @@ never shuffled.
 Defined results: null or blank texts have no tokens and cost nothing; a null
 language or source is the leaf named ``und``. Weights that the table
 doesn't name are ``default``. Rows with equal id (repeated rows) share their
-place in the order, so all or none of them are in a prefix. A budget of at
+place in the order, so all or none of them are in a prefix; rows without an id
+do so too. A text counts whole, however long; it is in a prefix or not. A budget of at
 least epochs * tokens takes everything; an empty table gives an empty result.
 Other columns are kept whatever their names; ``epoch`` replaces a column of
 that name.
@@ -167,7 +168,7 @@ def chosen(d: DataFrame, plan: DataFrame, n: int, mix: Mix, lang: Column, source
                (lang == F.col("__lang")) & (source == F.col("__source")))
     p = F.col("__p")
     here = place(mix, p["whole"], F.col("doc_id"))
-    part = (p["rest"] > 0) & ((here < p["cut_place"]) | ((here == p["cut_place"]) & (F.col("doc_id") <= p["cut_id"])))
+    part = (p["rest"] > 0) & ((here < p["cut_place"]) | ((here == p["cut_place"]) & ((F.col("doc_id") <= p["cut_id"]) | F.col("doc_id").eqNullSafe(p["cut_id"]))))
     d = d.withColumn("__times", p["whole"] + F.when(part, 1).otherwise(0)).filter("__times > 0")
     return d.select(*[F.col(f"`{c}`") for c in keep],
                     F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("epoch"))

@@ -15,7 +15,8 @@ _A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def prepare(spark: SparkSession) -> None:
     """Settings that the operators rely on: the package on the workers, and
-    small Arrow batches, because texts are long."""
+    small Arrow batches, because texts are long (a setting of the session, so
+    it holds for the caller's own Arrow work from then on)."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

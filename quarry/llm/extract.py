@@ -20,7 +20,8 @@ text outside links. Guessed pages teach only where fewer than ``KNOWN_SHARE``
 of the sample name their main part.
 
 Defined results: a null or empty page, and one without main text, give the
-empty text. Broken markup is read as far as it goes. Repeated rows give
+empty text. Broken markup is read as far as it goes. Pages of any length are
+read whole; null ids and addresses are passed on. Repeated rows give
 repeated results; an empty table gives an empty result. ``extract`` keeps all
 columns; ``main_text`` replaces one of that name.
 """

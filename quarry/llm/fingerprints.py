@@ -14,8 +14,10 @@ Texts are exchanged once; no window spans all rows.
 
 Defined results: null or blank texts have an empty sketch (fingerprint ``""``);
 two empty sketches resemble by 1, an empty and another one by 0. Rows of equal
-id follow each other by text. The only row is its own successor. An empty
-table gives an empty result. Other columns are ignored.
+id, or without one (these come first), follow each other by text, and lie in
+one block however many they are. Texts of any length are sketched whole: a
+row's words and hashes are in memory while it is. The only row is its own
+successor. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

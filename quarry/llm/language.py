@@ -14,7 +14,8 @@ whose crc32(id) mod 4 is not 2 are used; text is the only input.
 
 Defined results: a null text or one without a letter is ``und`` with score 0.
 Ties go to the language that sorts first. Without any labelled row every text
-is ``und``. Repeated rows give repeated results; an empty table gives an
+is ``und``. A long text is read whole, segment by segment. A null id is never
+held out and its row may teach. Repeated rows give repeated results; an empty table gives an
 empty result. ``identify`` keeps all columns; ``lang_pred`` and ``score``
 replace columns of these names.
 """

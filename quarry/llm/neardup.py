@@ -26,7 +26,8 @@ itself, block against block, so that no link is lost.
 
 Defined results: texts without words have an empty set, are linked with
 nothing and are their own component. A null id is left out (it names no
-document). Repeated rows of one id share their component. An empty table
+document). Texts of any length are taken whole, as the set of all their
+shingles. Repeated rows of one id share their component. An empty table
 gives an empty result. Other columns are ignored, or kept by
 ``filter_documents`` whatever their names.
 """

@@ -7,7 +7,8 @@ comparisons are between integers (a ratio ``a/b > p/100`` is written as
 
 Defined results: a null or blank text has no words, every count is 0 and it
 fails the base rule (fewer than 50 words). A line made of white space is not
-a line with a word. Repeated rows give repeated results. Columns other than
+a line with a word. Texts of any length are counted whole; a null id is passed
+on like any other. Repeated rows give repeated results. Columns other than
 the id and the text are ignored by the query and kept by ``filter_documents``,
 whatever they are called; an empty table gives an empty result.
 """

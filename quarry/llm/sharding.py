@@ -8,13 +8,14 @@ and the sorted run is cut into shards whose row counts differ by one at most
 and, in written files, each row group spans a small box and readers can skip
 it by its minima and maxima.
 
-The total order is (curve index, checksum of the text, length, id, text): equal texts of
+The total order is (curve index, checksum of the text, length, id): equal texts of
 equal metadata are neighbours. Sorting is a range exchange over narrow rows;
 positions come from counts per range, never from a window over all rows.
 
 Defined results: a null text has size 1 (no bytes plus 1) and the checksum of
 the empty text; null categories share one cell, null numbers the lowest one.
-Fully equal rows take any order among themselves, which leaves the result
+Null ids come before all others among rows of equal curve index, checksum and
+length. Texts are only measured, whole, whatever their length. Fully equal rows take any order among themselves, which leaves the result
 as a set unchanged. An empty table gives an empty result. ``assign`` keeps all
 columns, and its own (``shard``, ``slot``) replace columns of these names.
 """

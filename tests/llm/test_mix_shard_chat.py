@@ -121,6 +121,48 @@ def test_op8_laws(spark, write):
         assert r.text_crc32 == zlib.crc32(text[r.doc_id, r["size"]].encode()) and r.law == "rows" and r.grown_shard is None
 
 
+def test_op8_is_a_plain_sort_by_curve_index(spark, write):
+    """Shard and slot of every row, null ids, repeated rows and ties among them, from sorted() and arithmetic."""
+    rows = [(None if i % 40 == 3 else d, t, lang, src, e, q, s) for i, (d, t, lang, src, e, q, s) in enumerate(docs(211, 4))]
+    rows += rows[:7] + [(900, "long " * 100_000, "en", "hot", None, None, None)]
+    sf = write("documents", rows, DOCS)
+    got = sharding.op8_hilbert_shards(spark, sf).collect()
+    text = F.coalesce("text", F.lit(""))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    cells = sharding.quantised(d, ["size"], ["source", "lang"])
+    plain = d.select("doc_id", "crc", "size", sharding.hilbert_index(cells).alias("h")).collect()
+    order = sorted((x.h, x.crc, x["size"], x.doc_id is not None, x.doc_id or 0) for x in plain)
+    n = len(order)
+    want = []
+    for rank, (_, crc, size, known, doc) in enumerate(order):
+        shard = rank * 16 // n
+        want.append((doc if known else None, size, crc, shard, rank - -(-shard * n // 16)))
+    assert sorted(((x.doc_id, x["size"], x.text_crc32, x.shard, x.slot) for x in got), key=repr) == sorted(want, key=repr)
+
+
+def test_op1_rows_without_an_id(spark, write):
+    """They share a place in a prefix's order: all or none of them are in it, and the budget holds."""
+    rows = [(None if k % 4 == 0 else k, "w " * 10, "en", "s1", None, None, None) for k in range(40)]
+    df = spark.read.parquet(write("documents", rows, DOCS) + "/documents.parquet")
+    seen = set()
+    for seed in ("a", "b", "c", "d"):
+        for share in (30, 50, 100, 150, 200):
+            mix = mixing.Mix(epochs=2, share_percent=share, seed=seed)
+            got = mixing.select_mix(df, mix).collect()
+            whole, rest = divmod(4 * share, 400)
+            place = {r[0]: hashlib.md5(":".join([seed, str(whole), *([str(r[0])] if r[0] is not None else [])]).encode()).hexdigest()
+                     for r in rows}
+            want = 0
+            for d in {r[0] for r in rows}:
+                upto = sum(10 for r in rows if place[r[0]] <= place[d])
+                want += (whole + (rest > 0 and upto <= rest)) * sum(r[0] == d for r in rows)
+            n = sum(r.doc_id is None for r in got)
+            assert n % 10 == 0 and len(got) == want
+            seen.add((share, n))
+    assert {(30, 10), (30, 0)} <= seen or {(50, 10), (50, 0)} <= seen
+
+
 def test_op8_small_tables_and_columns(spark, write, tmp_path):
     assert sharding.op8_hilbert_shards(spark, write("documents", [], DOCS)).count() == 0
     sf = write("documents", docs(5), DOCS)

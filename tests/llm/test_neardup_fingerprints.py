@@ -165,6 +165,59 @@ def test_op3_against_brute_force(spark, write):
         assert same.setdefault(t, got[d].fingerprint) == got[d].fingerprint
 
 
+def xxh(words, seed=42):
+    """The engine's hash of several strings or longs: each hashed with the hash before it as seed."""
+    import xxhash
+    h = seed
+    for w in words:
+        raw = w.encode() if isinstance(w, str) else w.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h % (1 << 64))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_op3_sketches_of_long_texts(spark, write):
+    """Texts of far more than K shingles: sketches, likeness and counts from plain sorted hashes."""
+    r = random.Random(12)
+    k = fingerprints.K
+    base = [f"w{i}é" for i in range(900)]
+    rows = []
+    for d in range(12):
+        w = base[: r.randint(300, 900)]
+        for _ in range(r.randint(0, 60)):
+            w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    rows += [(20, rows[0][1]), (21, "Long" * 50_000), (22, " ".join(base * 12))]
+    sf = write("documents", [(d, t, None, None, None) for d, t in rows], DOCS)
+    got = {x.doc_id: x for x in fingerprints.op3_bottom_k_fingerprints(spark, sf).collect()}
+
+    def hashes(t):
+        w = [xxh([x]) for x in WORDS.findall(t)]
+        return {xxh(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else None
+
+    def low(s):
+        return sorted(s)[:k]
+
+    def near(a, b):
+        union = sorted(set(low(a)) | set(low(b)))[:k]
+        return len(set(union) & set(low(a)) & set(low(b))) / len(union)
+
+    for at, (d, t) in enumerate(rows):
+        nxt, h = rows[(at + 1) % len(rows)][1], len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        a, b, c = hashes(t), hashes(edited), hashes(nxt)
+        x = got[d]
+        if a is None:
+            assert len(x.fingerprint) == 16
+            continue
+        assert len(a) > k
+        assert x.fingerprint == "".join(f"{v % (1 << 64):016X}" for v in low(a))
+        assert x.edited_fingerprint == "".join(f"{v % (1 << 64):016X}" for v in low(b))
+        assert abs(x.near_edited - near(a, b)) < 1e-12
+        if c is not None:
+            assert abs(x.near_next - near(a, c)) < 1e-12
+        assert abs(x.n_shingles_estimate / len(a) - 1) < 0.35
+
+
 def test_op3_one_row_equal_ids_and_no_rows(spark, write):
     one = fingerprints.op3_bottom_k_fingerprints(spark, write("documents", [(4, "abcdef", None, None, None)], DOCS)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one[0].near_next == 1.0

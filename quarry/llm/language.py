@@ -276,8 +276,9 @@ def identify(df: DataFrame, net: ByteGRU | None, text: str = "text", pred: str =
 
 def filter_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` whose language is known with a score of ``MIN_SCORE`` or more."""
-    d = identify(df, train(df), "text", "__pred", "__score")
-    return d.filter((F.col("__pred") != "und") & (F.col("__score") >= MIN_SCORE)).drop("__pred", "__score")
+    pred, score = ("__" + "_" * max(map(len, df.columns)) + n for n in ("pred", "score"))  # names that df doesn't have
+    d = identify(df, train(df), "text", pred, score)
+    return d.filter((F.col(pred) != "und") & (F.col(score) >= MIN_SCORE)).drop(pred, score)
 
 
 def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

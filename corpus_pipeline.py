@@ -5,6 +5,24 @@ of ``documents``) and keeps or drops whole documents; the last turns the
 texts that are left into token ids. ``run`` writes each stage's result below
 the shared checkpoint folder and reads it back, so a lost executor costs the
 running stage only.
+
+Defined results, for all stages: texts count whole, however long; an empty
+table gives an empty result with the stage's columns; further columns pass
+through the first four stages untouched whatever their names, and the last
+keeps its own six. Rows that repeat an id are documents of their own in the
+first two stages; near-dedup keeps or drops them together, the mix takes them
+together. Stage by stage:
+
+* quality rules: a null, empty or blank text has no words and is dropped.
+* language id: a null text, or one without a letter, is ``und`` and dropped;
+  ``lang`` only teaches (null: it doesn't) and is never changed. Ties between
+  languages go to the one that sorts first.
+* near dedup: rows without an id stay; of a component the least id stays, with
+  all its rows; texts without words are linked with nothing.
+* mixing: a null language or source is the leaf ``und``; texts without words
+  cost nothing; rows without an id share a place in the order.
+* bpe: a null or blank text has no ids (``n_tokens`` 0) and decodes to the
+  empty text.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ is applied with array expressions in a fixed tap order (deterministic
 floating-point sums), and the line is exploded back. Separable kernels
 (Gaussian, box, binomial pyramids, rectangular morphology) take two line
 passes. Warps and resizes map each target pixel to its source
-neighbours and fetch them with an equi-join on pixel keys.
+neighbours and fetch them with an equi-join on pixel keys. Box sums,
+medians and extrema work on tiles (operators.windows).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions.text import round_half_up
 from quarry.operators.graph import components
+from quarry.operators.windows import windowed
 from quarry.session import ensure_checkpoint_dir
 
 KEYS = ["img", "ch", "y", "x"]
@@ -115,15 +117,6 @@ def weighted(taps: list[float], border: str, const: float = 0.0):
     return fn
 
 
-def extremum(radius: int, kind: str):
-    """min/max over the centred window; samples outside the line are
-    ignored (a truncated window)."""
-    def fn(vals, i, n):
-        items = [_at(vals, map_index(i + d, n, "ignore")) for d in range(-radius, radius + 1)]
-        return F.least(*items) if kind == "min" else F.greatest(*items)
-    return fn
-
-
 def gather(radius: int, border: str):
     """The window samples themselves (for non-separable reductions)."""
     def fn(vals, i, n):
@@ -285,8 +278,8 @@ def otsu_binary(g: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- neighbourhoods
 
 def box_sum(r: DataFrame, k: int, border: str) -> DataFrame:
-    taps = [1.0] * k
-    return separable(r, weighted(taps, border), weighted(taps, border))
+    """Sum of the k×k window around each pixel (see operators.windows)."""
+    return windowed(r, "sum", (k - 1) // 2, border)
 
 
 def gaussian_blur(r: DataFrame, k: int = 5, sigma: float = 0.0, border: str = "reflect101") -> DataFrame:
@@ -308,22 +301,14 @@ def adaptive_threshold(g: DataFrame, k: int = 5, c: float = 5.0, method: str = "
 
 
 def median_blur(r: DataFrame, k: int = 3, border: str = "replicate") -> DataFrame:
-    """k×k median: gather k samples per line in x, then k of those in y,
-    flatten, sort, take the middle (k² is odd)."""
-    rad = (k - 1) // 2
-    a = from_lines(line_pass(to_lines(r, "x"), gather(rad, border)), "x")
-    b = line_pass(to_lines(a, "y"), gather(rad, border))
-    m = b.withColumn("vals", F.transform("vals", lambda w: F.element_at(F.array_sort(F.flatten(w)), k * k // 2 + 1)))
-    return from_lines(m, "y")
+    """k×k median (k odd), at a cost that doesn't grow with k."""
+    return windowed(r, "median", (k - 1) // 2, border)
 
 
 def morph(r: DataFrame, kind: str, radius: int = 1, iterations: int = 1) -> DataFrame:
     """Rectangular min (erode) / max (dilate); n iterations of radius r
     equal one pass of radius n·r; the window is truncated at the edge."""
-    rad = radius * iterations
-    f = extremum(rad, "min" if kind == "erode" else "max")
-    a = from_lines(line_pass(to_lines(r, "x"), f), "x")
-    return from_lines(line_pass(to_lines(a, "y"), f), "y")
+    return windowed(r, "min" if kind == "erode" else "max", radius * iterations, "ignore")
 
 
 def moving_extrema(r: DataFrame, radius: int = 1) -> DataFrame:

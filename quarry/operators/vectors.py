@@ -30,7 +30,7 @@ QUERY_BLOCK_ROWS = 2048
 BASE_BLOCK_ROWS = 4096
 MAX_PIVOTS = 512
 MAX_BLOCKS = 1 << 15
-MIN_CELL_ROWS = 64
+CELLS_PER_BLOCK = 8  # cells that a full block's rows would make
 
 TIE_SCALE = 1e9
 SLACK = 1e-6  # distances are computed in doubles and compared at 1e-9
@@ -79,7 +79,7 @@ def build_index(base: DataFrame, block_rows: int = BASE_BLOCK_ROWS) -> Index:
 
     spark = base.sparkSession
     n = base.count()
-    n_pivots = min(MAX_PIVOTS, max(1, n // MIN_CELL_ROWS))
+    n_pivots = min(MAX_PIVOTS, max(1, n * CELLS_PER_BLOCK // block_rows))
     picked = base.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     wide = len(picked[0].vec) if picked else 1
     pivots = np.unique(np.array([r.vec for r in picked], dtype=np.float64).reshape(len(picked), wide), axis=0)

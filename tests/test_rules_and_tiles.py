@@ -39,6 +39,20 @@ def test_a_hundred_thousand_rules_stay_in_spark(spark):
     assert got == {1: "l55", 2: "l7", 3: "none"}
 
 
+def test_substrings_of_a_small_table_are_never_broadcast(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.range(200).select("id", F.concat(F.lit("say hello "), F.col("id")).alias("t")).write.parquet(path)
+    rules = spark.createDataFrame([(1, "greeting", "hello"), (2, "number", "1")], RULES)
+    seen = []
+    for chars, way in ((J.BROADCAST_CHARS, "BroadcastHashJoin [_kw"), (0, "SortMergeJoin [_kw")):
+        monkeypatch.setattr(J, "BROADCAST_CHARS", chars)
+        got = J.keyword_classify(spark.read.parquet(path), F.col("t"), rules, "none")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert way in plan and "BuildLeft" not in plan
+        seen.append(sorted(map(tuple, got.collect())))
+    assert seen[0] == seen[1] and {r[2] for r in seen[0]} == {"greeting"}
+
+
 def spiral(n):
     """A one-pixel line that winds inwards, two pixels apart."""
     y, x, dy, dx, seen = 0, 0, 0, 1, {(0, 0)}

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import postings as PO
 from quarry.operators import vectors as V
@@ -88,3 +89,19 @@ def test_inverted_index_against_all_pairs(spark, monkeypatch, in_a_key):
         want = [(int(j), float(d[j])) for j in np.lexsort((np.arange(n), d))[:k]]
         assert [w for w, _ in got[i]] == [w for w, _ in want]
         assert np.allclose([x for _, x in got[i]], [x for _, x in want], atol=2e-9)
+
+
+def test_terms_are_counted_in_their_rows(spark, tmp_path):
+    """No exchange before the counts are stored; equal keys, nulls and empty rows as a plain count has them."""
+    from collections import Counter
+
+    from quarry.operators import text_features as TF
+
+    rows = [(1, ["b", "a", "b", None]), (2, []), (3, None), (4, ["a"] * 5 + ["c"]), (5, ["", "z", ""])]
+    for some in (rows, [*rows, (4, ["c", "d"]), (None, ["a"]), (None, ["a"])]):
+        df = spark.createDataFrame(some, "k int, t array<string>")
+        got, n = TF.term_counts(df, ["k"], F.col("t"))
+        want = Counter((k, x) for k, t in some for x in t or () if x is not None)
+        assert n == len(some) and {(r.k, r.term): r.tf for r in got.collect()} == dict(want)
+    plan = TF.row_terms(df, ["k"], F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

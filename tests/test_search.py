@@ -42,6 +42,19 @@ def test_blocks_that_cannot_help_are_skipped(spark):
     assert share["visited"] < 0.5 * share["pairs"]
 
 
+def test_queries_travel_once_a_bundle(spark):
+    """Also where every block is visited: as many copies of a query as bundles, not as blocks."""
+    rng = np.random.default_rng(8)
+    b = rng.normal(size=(2000, 24))
+    queries, base = frames(spark, [(k, b[k]) for k in range(30)], b, np.arange(2000))
+    index = V.build_index(base, 50)
+    blocks, bundles = len(index.blocks.size), int(index.blocks.bundle.max()) + 1
+    assert blocks > 4 * bundles and (np.diff(index.blocks.bundle) >= 0).all()
+    far = V._visits(queries.withColumn("bound", F.lit(1e6)), index.blocks, 3, False)
+    assert far.count() <= 30 * bundles and far.groupBy("qid", "bundle").count().filter("count > 1").isEmpty()
+    assert answers(V.knn_topk(queries, base, 3, 7, 50)) == brute([(k, b[k]) for k in range(30)], b, np.arange(2000), 3)
+
+
 @pytest.mark.parametrize("rows, k", [(3, 5), (1, 1), (40, 40)])
 def test_fewer_rows_than_asked_for(spark, rows, k):
     rng = np.random.default_rng(6)

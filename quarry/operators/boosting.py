@@ -4,7 +4,9 @@ A round fits one small regression tree per class to the residuals of the
 softmax over the classes' scores. All trees of a round grow together, a level a
 pass: every task adds up, for each class, node, feature and bin, the residuals,
 their curvature and the rows; the sums (a few numbers per bin, whatever the
-number of rows) decide the splits. Rows carry their binned features and their
+number of rows) decide the splits. Rows of one class that share all their bins
+share their scores and residuals in every round: they are counted once and travel
+as one row with its number. Such rows carry their binned features and their
 scores; the trees since the scores were last written are applied on the fly.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from quarry.operators.forest import binned as binned_columns
 from quarry.operators.linear import _columns, _total, parts_for
 from quarry.session import scratch_path
 
@@ -58,15 +61,17 @@ def residuals(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r, np.abs(r) * (1 - np.abs(r))
 
 
-def histograms(bins: np.ndarray, r: np.ndarray, h: np.ndarray, trees: list[Tree], level: int) -> np.ndarray:
-    """[class, node, feature, bin, (residual, curvature, rows)] of some rows."""
+def histograms(bins: np.ndarray, r: np.ndarray, h: np.ndarray, n: np.ndarray, trees: list[Tree],
+               level: int) -> np.ndarray:
+    """[class, node, feature, bin, (residual, curvature, rows)] of some rows, each standing for ``n``."""
     k, f, nodes = r.shape[1], bins.shape[1], 1 << level
     out = np.zeros((k, nodes, f, BINS, 3))
+    r, h = r * n[:, None], h * n[:, None]
     for c, tree in enumerate(trees):
         node = tree.nodes(bins, level) * BINS
         for j in range(f):
             slot = node + bins[:, j]
-            for m, w in enumerate((r[:, c], h[:, c], None)):
+            for m, w in enumerate((r[:, c], h[:, c], n)):
                 out[c, :, j, :, m] = np.bincount(slot, w, nodes * BINS).reshape(nodes, BINS)
     return out
 
@@ -169,27 +174,24 @@ def fit_boosting(train: DataFrame, label: str, features: list[str], classes: int
     n = np.array([counts.get(c, 0) for c in range(classes)], float)
     prior = np.log(np.maximum(n, 1e-9) / max(n.sum(), 1))
     model = BoostedClassifier([np.unique(np.array(q or [], float)) for q in got], prior, rate)
-    n_parts = parts_for(spark, int(n.sum()), ROWS)
 
     def first(batches):
         for b in batches:
-            y, *x = (c.to_numpy(zero_copy_only=False) for c in _columns(b, "y", *[f"x{k}" for k in range(len(features))]))
-            bins = model.binned(np.stack([v.astype(float) for v in x], axis=1))
-            scores = np.tile(prior, (len(y), 1))
-            yield pack(y, bins, scores)
+            y, count, *x = (c.to_numpy(zero_copy_only=False) for c in _columns(b, "y", "count", *keys))
+            yield pack(y, count, np.stack(x, axis=1).astype(np.uint8), np.tile(prior, (len(y), 1)))
 
-    def pack(y, bins, scores):
+    def pack(y, count, bins, scores):
         return pa.RecordBatch.from_arrays(
-            [pa.array(y, pa.int32()), pa.array([r.tobytes() for r in bins], pa.binary()),
-             pa.array([r.tobytes() for r in scores], pa.binary())], names=["y", "bins", "scores"])
+            [pa.array(y, pa.int32()), pa.array(count, pa.int64()), pa.array([r.tobytes() for r in bins], pa.binary()),
+             pa.array([r.tobytes() for r in scores], pa.binary())], names=["y", "count", "bins", "scores"])
 
     def read(b):
-        y, bins, scores = _columns(b, "y", "bins", "scores")
-        return (y.to_numpy(zero_copy_only=False),
+        y, count, bins, scores = _columns(b, "y", "count", "bins", "scores")
+        return (y.to_numpy(zero_copy_only=False), count.to_numpy(zero_copy_only=False),
                 np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(len(b), -1),
                 np.frombuffer(b"".join(scores.to_pylist())).reshape(len(b), -1))
 
-    schema = "y int, bins binary, scores binary"
+    schema = "y int, count bigint, bins binary, scores binary"
 
     def kept(df: DataFrame) -> tuple[DataFrame, int]:
         path = scratch_path(spark, "boosting")
@@ -197,7 +199,12 @@ def fit_boosting(train: DataFrame, label: str, features: list[str], classes: int
         frame = spark.read.schema(schema).parquet(path).persist()
         return frame, frame.rdd.getNumPartitions()
 
-    frame, parts = kept(rows.repartition(n_parts).mapInArrow(first, schema))
+    keys = [f"b{k}" for k in range(len(features))]
+    names = [f"x{k}" for k in range(len(features))]
+    path = scratch_path(spark, "boosting-cells")
+    rows.select("y", *binned_columns(names, [c.tolist() for c in model.cuts])).groupBy("y", *keys).count().write.parquet(path)
+    cells = spark.read.parquet(path)
+    frame, parts = kept(cells.repartition(parts_for(spark, cells.count(), ROWS)).mapInArrow(first, schema))
     since: list[list[Tree]] = []
     try:
         for _ in range(rounds):
@@ -209,8 +216,8 @@ def fit_boosting(train: DataFrame, label: str, features: list[str], classes: int
                     out = np.zeros(shape)
                     for b in batches:
                         if b.num_rows:
-                            y, bins, scores = read(b)
-                            out += histograms(bins, *residuals(model.added(scores, bins, earlier), y), trees, level)
+                            y, count, bins, scores = read(b)
+                            out += histograms(bins, *residuals(model.added(scores, bins, earlier), y), count, trees, level)
                     yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["total"])
 
                 return _total(frame.mapInArrow(run, "total binary"), parts, shape)
@@ -224,8 +231,8 @@ def fit_boosting(train: DataFrame, label: str, features: list[str], classes: int
                 def onward(batches):
                     for b in batches:
                         if b.num_rows:
-                            y, bins, scores = read(b)
-                            yield pack(y, bins, model.added(scores, bins, done))
+                            y, count, bins, scores = read(b)
+                            yield pack(y, count, bins, model.added(scores, bins, done))
 
                 old = frame
                 frame, parts = kept(frame.mapInArrow(onward, schema))

@@ -76,3 +76,15 @@ def test_constant_features_missing_values_and_an_absent_class(spark):
     model = B.fit_boosting(df, "label", ["a", "b", "c"], 3, rounds=3)
     got = model.transform(df, ["a", "b", "c"]).collect()
     assert len(got) == 31 and all(np.isfinite(r.probs).all() and r.prediction in (0.0, 1.0) for r in got)
+
+
+def test_the_rows_of_a_round_do_not_grow_with_the_table(spark, monkeypatch):
+    """Rows of one class and the same bins travel as one, and count as many."""
+    x, y = data(200, 3)
+    x = np.round(x, 1)
+    seen = []
+    monkeypatch.setattr(B, "parts_for", lambda spark, rows, per_task: seen.append(rows) or 2)
+    one, many = (B.fit_boosting(frame(spark, np.tile(x, (n, 1)), np.tile(y, n)), "label", ["a", "b", "c"], 3, rounds=4)
+                 for n in (1, 20))
+    assert len(seen) == 2 and max(seen) <= 200
+    assert np.allclose(one.scores(x), many.scores(x))

@@ -405,12 +405,7 @@ LEFT JOIN raster r ON r.img = c.img AND r.ch = c.ch AND r.y = yy - ({dy}) AND r.
     for name, (dx, dy) in EDGE_SHIFTS.items())))
 def raster_edge_shifts(spark, d):
     """The image moved towards each of the four edges."""
-    r = raster(Tables(spark, d))
-    out = None
-    for name, (dx, dy) in EDGE_SHIFTS.items():
-        one = RA.translate(r, dx, dy).withColumn("edge", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select("edge", *RA.KEYS, "v")
+    return RA.translations(raster(Tables(spark, d)), EDGE_SHIFTS).select("edge", *RA.KEYS, "v")
 
 
 ZOOM = 3

@@ -98,3 +98,10 @@ def test_cuts_are_all_values_or_quantiles(spark):
     df = spark.range(1000).selectExpr("CAST(id % 5 AS double) AS a", "CAST(id AS double) AS b", "CAST(NULL AS double) AS c")
     a, b, c = FO.cuts_of(df, ["a", "b", "c"])
     assert a == [0.0, 1.0, 2.0, 3.0, 4.0] and len(b) == FO.BINS - 1 and b == sorted(b) and c == []
+
+
+def test_the_order_jobs_fit_this_forest(spark):
+    from quarry.plans import ml_jobs
+    df = ML.assemble(ml_jobs.ORDER_FEATURES).transform(
+        spark.range(300).selectExpr("id % 7 AS year", "id % 12 AS month", "id * 1.5 AS o_totalprice", "id % 5 AS prio", "id % 3 AS label"))
+    assert isinstance(ml_jobs.ORDER_MODELS["rf_classifier"](df).__self__, FO.CellForestModel)

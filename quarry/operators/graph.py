@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir, scratch_path
 
 
+EDGES = 1 << 20  # at most, on average, in a bucket: what a task holds doesn't grow with the table
 COMPACT_EVERY = 16  # rounds after which the visited pieces are merged into one checkpoint
 
 
@@ -37,7 +38,8 @@ def reachability(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str
     # Edges (by source) and found nodes are written bucketed by node: a round
     # exchanges its frontier only, and the files stay with the checkpoints.
     tables: list[str] = []
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES))
 
     def bucketed(df: DataFrame, by: str) -> tuple[DataFrame, str]:
         name = f"nodes_{uuid.uuid4().hex[:12]}"
@@ -47,7 +49,7 @@ def reachability(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str
         return spark.table(name), path
 
     try:
-        e, _ = bucketed(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct(), "_s")
+        e, _ = bucketed(edges.repartition(buckets, "_s", "_d").distinct(), "_s")
         frontier, path = bucketed(seeds.select(F.col(node).alias(node)).distinct().withColumn("hop", F.lit(0)), node)
         pieces, paths, hop = [frontier], [path], 0
         while max_rounds is None or hop < max_rounds:

@@ -14,8 +14,8 @@ ORACLE_DEPTH = 64  # recursion bound of the SQL oracle only (far above the graph
 
 
 def supplier_part_edges(t):
-    """Node ids: supplier s → 2·s, part p → 2·p + 1; both directions."""
-    pairs = t.lineitem.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    """Node ids: supplier s → 2·s, part p → 2·p + 1; both directions of every line (the search drops repeats)."""
+    pairs = t.lineitem.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
     return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
 

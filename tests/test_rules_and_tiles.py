@@ -126,3 +126,17 @@ def test_reachability_leaves_no_table(spark):
     got = {r.node: r.hop for r in G.reachability(edges, seeds).collect()}
     assert got == {k: k for k in range(41)}
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_reachability_deals_edges_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """What a task holds is bounded: the edges' buckets grow with the edges, beyond the shuffle partitions."""
+    import glob
+
+    from quarry.operators import graph as G
+    paths, scratch = [], G.scratch_path
+    monkeypatch.setattr(G, "scratch_path", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    monkeypatch.setattr(G, "EDGES", 20, raising=False)
+    edges = spark.range(400).selectExpr("id % 60 AS src", "(id * 7 + 1) % 60 AS dst")
+    got = {r.node: r.hop for r in G.reachability(edges, spark.range(1).selectExpr("id AS node")).collect()}
+    assert got[0] == 0 and len(got) > 1
+    assert len(glob.glob(paths[0].removeprefix("file:") + "/*.parquet")) > int(spark.conf.get("spark.sql.shuffle.partitions"))

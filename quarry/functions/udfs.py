@@ -5,6 +5,7 @@ checked to give the same rows as its native counterpart."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,21 @@ _NON_LETTER = re.compile(f"[^a-z{WHITESPACE}]")
 _WS_RUN = re.compile(f"[{WHITESPACE}]+")
 
 
-def _clean_text_batch(s: pd.Series) -> pd.Series:
-    """Arrow-batched twin of ``functions.text.clean_text``."""
+PIECE = 256  # texts whose results are held at a time
+
+
+def _clean_text_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrow-batched twin of ``functions.text.clean_text``. Results leave in pieces:
+    a batch has a set number of rows, and texts may be long."""
     def one(t):
         if t is None:
             return None
         t = t.strip(WHITESPACE).lower()
         t = _NON_LETTER.sub(" ", t)
         return _WS_RUN.sub(" ", t).strip(WHITESPACE)
-    return s.map(one)
+    for s in batches:
+        for at in range(0, len(s), PIECE):
+            yield s.iloc[at: at + PIECE].map(one)
 
 
 def _otsu_from_histogram(v: pd.Series, n: pd.Series) -> int:
@@ -65,7 +72,7 @@ class _PipeTableRows:
 # The UDF objects are built on first use: declaring them parses their type
 # strings, which needs an active session.
 def clean_text_pandas(col):
-    return pandas_udf(_clean_text_batch, "string")(col)
+    return pandas_udf(_clean_text_batches, "string")(col)
 
 
 def otsu_from_histogram(v, n):

@@ -78,3 +78,16 @@ def test_a_class_without_rows_and_null_features(spark, missing):
 def test_partial_sums_are_added_in_rounds(spark):
     parts = spark.range(0, 100, 1, 100).select(F.lit(np.arange(6.0).tobytes()).alias("total"))
     assert np.allclose(LI._total(parts, 100, (2, 3)), 100 * np.arange(6.0).reshape(2, 3))
+
+
+def test_blocks_of_rows_share_one_clean_buffer():
+    """No matrix is made for each block, and nothing of a block is left in the next one."""
+    import pyarrow as pa
+    x, _ = sparse_rows(np.random.default_rng(7), 2 * LI.ROWS + 5, 9, 2)
+    idx = pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32()))
+    val = pa.array([r[r != 0] for r in x], pa.list_(pa.float64()))
+    seen = set()
+    for at, block in LI._dense(idx, val, 9):
+        assert (block[:, :9] == x[at: at + LI.ROWS]).all() and (block[:, 9] == 1).all()
+        seen.add(block.__array_interface__["data"][0])
+    assert len(seen) == 1 and [b.shape for _, b in LI._dense(idx[:0], val[:0], 9)] == []
